@@ -21,6 +21,8 @@ SPACE_CHARS = (
 )
 SPACE = f"[{SPACE_CHARS}]"
 NOT_SPACE = f"[^{SPACE_CHARS}]"
+OTHER_SPACE = f"[{SPACE_CHARS.replace('{20}', '{1f}')}]"
+NOT_VISIBLE, NOT_PRINTABLE = "(?![!-~])", "(?![ -~])"  # quick rejection of most characters
 START = rf"(?<!{WORD})"
 STOP = rf"(?!{WORD})"
 TAG = r"<[^>]+>"
@@ -64,11 +66,12 @@ def strip_urls(text: Column) -> Column:
 
 
 def strip_control(text: Column) -> Column:
-    return F.regexp_replace(text, CONTROL, "")
+    return F.regexp_replace(text, NOT_PRINTABLE + CONTROL, "")
 
 
 def normalize_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """White-space runs become one blank. A lone blank is no match, so plain text is not rebuilt."""
+    return F.trim(F.regexp_replace(text, f"{NOT_VISIBLE}(?: {SPACE}+|{OTHER_SPACE}{SPACE}*)", " "))
 
 
 def collapse_quotes(text: Column) -> Column:
@@ -82,7 +85,7 @@ def strip_wiki_meta(text: Column) -> Column:
 
 
 def strip_ips(text: Column) -> Column:
-    return F.regexp_replace(text, IP, "")
+    return F.regexp_replace(text, f"(?={DIGIT}){IP}", "")
 
 
 def strip_emails(text: Column) -> Column:
@@ -116,7 +119,7 @@ def detect_language(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased, white-space separated tokens in text order."""
-    return F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), f"{NOT_VISIBLE}{SPACE}+"), lambda t: t != "")
 
 
 def token_set(text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civiltext.functions.hashing import SEED
+from civiltext.functions.once import evaluated_once
 from civiltext.operators.features import fit_tfidf, term_stages, tidy_stage
 from civiltext.operators.metrics import predict_default
 from civiltext.operators.sampling import class_counts, train_subset
@@ -98,7 +99,7 @@ def predict_proba(model: PipelineModel | None, df: DataFrame) -> DataFrame:
     """Adds `p_safe` and `p_toxic`."""
     if model is None:
         raise ValueError("model is neither fitted nor loaded")
-    scored = model.transform(df).withColumn("p", vector_to_array("probability"))
+    scored = model.transform(df).withColumn("p", evaluated_once(vector_to_array("probability")))
     return scored.select(*df.columns, F.col("p")[0].alias("p_safe"), F.col("p")[1].alias("p_toxic"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civiltext.functions import text as rules
 from civiltext.functions.entities import unescape_html
+from civiltext.functions.once import evaluated_once
 
 Rule = Callable[[Column], Column]
 
@@ -63,7 +64,8 @@ def clean_text(df: DataFrame, text_col: str = "text", na_literals: str = "keep")
     """
     if na_literals == "drop":
         df = drop_na_literals(df, text_col)
-    return drop_short(apply_rules(df, text_col), MIN_LENGTH, text_col)
+    cleaned = apply_rules(df, text_col).withColumn(text_col, evaluated_once(F.col(text_col)))
+    return drop_short(cleaned, MIN_LENGTH, text_col)
 
 
 def traced_clean(df: DataFrame, text_col: str = "text") -> DataFrame:

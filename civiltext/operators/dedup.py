@@ -53,7 +53,7 @@ def _signature_udf(num_perm: int):
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def signature(hashes: pd.Series) -> pd.Series:
-        sizes = hashes.map(len, na_action="ignore").fillna(0).astype(int).to_numpy()
+        sizes = hashes.map(len).to_numpy()
         out = np.full((len(hashes), num_perm), PRIME, dtype=np.int64)
         filled = np.flatnonzero(sizes)
         if len(filled):
@@ -66,8 +66,7 @@ def _signature_udf(num_perm: int):
                 v = (v >> 31) + (v & PRIME)
                 v[v == PRIME] = 0
                 out[filled, s] = np.minimum.reduceat(v, starts)
-        rows = pd.Series(list(out), index=hashes.index)
-        return rows.where(hashes.notna(), None)
+        return pd.Series(list(out), index=hashes.index)
 
     return signature
 
@@ -78,31 +77,41 @@ def minhash_signature(
     """`(row_id, signature)`: per permutation the smallest value over the distinct tokens.
 
     Tokens are split and hashed by native expressions; Python sees only numbers. A text
-    without tokens gets the largest value everywhere, a null text no signature.
+    without tokens gets the largest value everywhere, a missing text has no signature.
     """
     hashes = F.transform(token_set(F.col(text_col)), token_hash)
-    return df.select(F.col(id_col).alias("row_id"), _signature_udf(num_perm)(hashes).alias("signature"))
+    present = df.filter(F.col(text_col).isNotNull())
+    return present.select(F.col(id_col).alias("row_id"), _signature_udf(num_perm)(hashes).alias("signature"))
 
 
-def band_keys(threshold: float, signature: Column | str = "signature", num_perm: int = NUM_PERM) -> Column:
+def band_keys(threshold: float, signature: str = "signature", num_perm: int = NUM_PERM) -> Column:
     """One digest per band; the band number is part of it, so equal digests mean a shared bucket."""
     bands, rows = band_plan(threshold, num_perm)
-    signature = F.col(signature) if isinstance(signature, str) else signature
-    return F.array(*[
-        F.md5(F.concat_ws(",", F.lit(str(i)), F.slice(signature, i * rows + 1, rows).cast("array<string>")))
-        for i in range(bands)
-    ])
+    values = F.col(signature).cast("array<string>")
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        lambda i: F.md5(F.concat_ws(",", i.cast("string"), F.slice(values, i * rows + 1, F.lit(rows)))),
+    )
 
 
 def lsh_buckets(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`(row_id, band, bucket)`."""
-    keyed = signatures.filter(F.col("signature").isNotNull()).select("row_id", band_keys(threshold).alias("keys"))
-    return keyed.select("row_id", F.posexplode("keys").alias("band", "bucket"))
+    return signatures.select("row_id", F.posexplode(band_keys(threshold)).alias("band", "bucket"))
+
+
+def bucket_leaders(buckets: DataFrame, *carried: str) -> DataFrame:
+    """Per bucket its smallest row and its size; `carried` columns are the same within a bucket."""
+    return buckets.groupBy("bucket", *carried).agg(F.min("row_id").alias("leader"), F.count("*").alias("n_rows"))
+
 
+def _part(hot: Column) -> Column:
+    """Which of the tasks of a hot key a row goes to."""
+    return F.when(hot, F.pmod(F.xxhash64("row_id"), F.lit(SPREAD))).otherwise(0).cast("int")
 
-def bucket_leaders(buckets: DataFrame) -> DataFrame:
-    """Per bucket its smallest row and its size."""
-    return buckets.groupBy("bucket").agg(F.min("row_id").alias("leader"), F.count("*").alias("n_rows"))
+
+def _parts(hot: Column) -> Column:
+    """All tasks of a key."""
+    return F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
 
 
 def spread_join(facts: DataFrame, lookup: DataFrame, key: str, min_load: int = MIN_LOAD) -> DataFrame:
@@ -110,18 +119,13 @@ def spread_join(facts: DataFrame, lookup: DataFrame, key: str, min_load: int = M
 
     `lookup.n_rows` says how many facts its key has. Keys above 1/512 of the facts, 511 at
     most, are broadcast; their facts are spread over `SPREAD` tasks by row id and their
-    lookup row is repeated that often.
+    lookup row is repeated that often. The result says in `hot` which keys those were.
     """
     total = lookup.agg(F.sum("n_rows")).scalar()
-    hot = lookup.filter(
-        (F.col("n_rows") * HOT_SHARE > total) & (F.col("n_rows") >= min_load)
-    ).select(key, F.lit(True).alias("hot"))
-    tagged = facts.join(F.broadcast(hot), key, "left").withColumn(
-        "part", F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(SPREAD))).otherwise(0).cast("int")
-    ).drop("hot")
-    is_hot = (F.col("n_rows") * HOT_SHARE > total) & (F.col("n_rows") >= min_load)
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    repeated = lookup.withColumn("part", F.explode(parts)).drop("n_rows")
+    sized = lookup.withColumn("hot", (F.col("n_rows") * HOT_SHARE > total) & (F.col("n_rows") >= min_load))
+    hot = sized.filter("hot").select(key, "hot")
+    tagged = facts.join(F.broadcast(hot), key, "left").withColumn("part", _part(F.col("hot"))).drop("hot")
+    repeated = sized.withColumn("part", F.explode(_parts(F.col("hot")))).drop("n_rows")
     return tagged.join(repeated, [key, "part"]).drop("part")
 
 
@@ -152,68 +156,68 @@ def jaccard_estimate(pairs: DataFrame, signatures: DataFrame, num_perm: int = NU
         signatures.select(F.col("row_id").alias("leader"), F.col("signature").alias("other")), "leader"
     )
     both = spread_join(own, other, "leader")
-    return both.withColumn("sim", similarity(F.col("own"), F.col("other"), num_perm)).drop("own", "other")
+    return both.withColumn("sim", similarity(F.col("own"), F.col("other"), num_perm)).drop("own", "other", "hot")
 
 
 def collapse_copies(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`(row_id, keys, n_rows)` with one row, the first, per set of equal band keys.
+    """`(row_id, keys)` with one row, the first, per set of equal band keys.
 
     Rows with equal keys collide with the same rows, and the first one always goes before
     the others: either it is kept and drops them, or what dropped it drops them too.
     """
-    keyed = signatures.filter(F.col("signature").isNotNull()).select("row_id", band_keys(threshold).alias("keys"))
-    return keyed.groupBy("keys").agg(F.min("row_id").alias("row_id"), F.count("*").alias("n_rows"))
+    keyed = signatures.select("row_id", F.transform(band_keys(threshold), F.unhex).alias("keys"))
+    return keyed.groupBy("keys").agg(F.min("row_id").alias("row_id"))
 
 
 def contested_rows(rows: DataFrame) -> DataFrame:
-    """`(row_id, keys)` of the rows that share a bucket, with only the shared buckets."""
+    """`(row_id, keys)` of the rows that share a bucket, with only the shared buckets and whether they are hot."""
     members = rows.select("row_id", F.explode("keys").alias("bucket"))
     shared = bucket_leaders(members).filter("n_rows > 1").select("bucket", "n_rows")
-    return spread_join(members, shared, "bucket").groupBy("row_id").agg(F.collect_list("bucket").alias("keys"))
+    return (
+        spread_join(members, shared, "bucket")
+        .groupBy("row_id").agg(F.collect_list(F.struct("bucket", "hot")).alias("keys"))
+    )
 
 
-def greedy_round(open_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round on undecided rows: `(kept, decided)` row ids.
+def greedy_round(open_rows: DataFrame) -> DataFrame:
+    """One round over undecided rows: adds `state`, one of kept, dropped and open.
 
     A row leading all its buckets has no undecided earlier neighbour and is kept; everyone
-    in its buckets is decided with it.
+    else in its buckets is dropped.
     """
-    members = open_rows.select("row_id", F.explode("keys").alias("bucket"))
-    leaders = bucket_leaders(members)
+    members = open_rows.select("row_id", F.explode("keys").alias("k")).select("row_id", "k.bucket", "k.hot")
+    leaders = bucket_leaders(members, "hot")
     led = leaders.groupBy(F.col("leader").alias("row_id")).agg(F.count("*").alias("n_led"))
-    kept = (
-        led.join(open_rows, "row_id").filter(F.col("n_led") == F.size("keys")).select("row_id")
+    kept = open_rows.select("row_id", F.size("keys").alias("degree")).join(led, "row_id").filter("n_led = degree")
+    closed = leaders.join(kept.select(F.col("row_id").alias("leader")), "leader", "left_semi").select(
+        "bucket", F.explode(_parts(F.col("hot"))).alias("part")
     )
-    closed = leaders.join(kept.withColumnRenamed("row_id", "leader"), "leader", "left_semi").select(
-        "bucket", "n_rows"
+    hit = members.select("row_id", "bucket", _part(F.col("hot")).alias("part")).join(
+        closed, ["bucket", "part"], "left_semi"
     )
-    decided = spread_join(members, closed, "bucket").select("row_id").distinct()
-    return kept, decided
+    states = hit.select("row_id", F.lit("dropped").alias("state")).unionByName(
+        kept.select("row_id", F.lit("kept").alias("state"))
+    ).groupBy("row_id").agg(F.max("state").alias("state"))
+    return open_rows.join(states, "row_id", "left").withColumn("state", F.coalesce("state", F.lit("open")))
 
 
 def greedy_kept(contested: DataFrame) -> DataFrame:
-    """Ids of the contested rows that the walk keeps.
+    """Ids of the contested rows that the walk keeps; `contested` is read once per round.
 
     Each round decides at least the smallest open row, so the loop ends; the number of
     rounds is the longest chain of rows waiting for one another, typically a handful.
     """
-    open_rows = cut_lineage(contested)
-    kept_parts = []
+    kept_parts, open_rows = [contested.filter("false").select("row_id")], contested
     while not open_rows.isEmpty():
-        kept, decided = greedy_round(open_rows)
-        marks = cut_lineage(
-            decided.join(kept.withColumn("kept", F.lit(True)), "row_id", "left")
-        )
-        kept_parts.append(marks.filter("kept").select("row_id"))
-        open_rows = cut_lineage(open_rows.join(marks, "row_id", "left_anti"))
-    if not kept_parts:
-        return open_rows.select("row_id")
+        decided = cut_lineage(greedy_round(open_rows))
+        kept_parts.append(decided.filter("state = 'kept'").select("row_id"))
+        open_rows = decided.filter("state = 'open'").select("row_id", "keys")
     return reduce(lambda a, b: a.unionByName(b), kept_parts)
 
 
 def kept_ids(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Ids of all rows that survive, including those without any collision."""
-    rows = cut_lineage(collapse_copies(signatures, threshold).select("row_id", "keys"))
+    rows = cut_lineage(collapse_copies(signatures, threshold))
     contested = cut_lineage(contested_rows(rows))
     free = rows.select("row_id").join(contested, "row_id", "left_anti")
     return free.unionByName(greedy_kept(contested))
@@ -269,7 +273,7 @@ def dedup_sweep(df: DataFrame, thresholds: tuple[float, ...] = SWEEP, num_perm:
     Signatures are computed once and reduced to one row per distinct signature. Thresholds
     with the same bands share their dropped set.
     """
-    signatures = cut_lineage(minhash_signature(df, num_perm).filter(F.col("signature").isNotNull()))
+    signatures = cut_lineage(minhash_signature(df, num_perm))
     distinct = cut_lineage(
         signatures.groupBy("signature").agg(F.min("row_id").alias("row_id"), F.count("*").alias("n_rows"))
     )
@@ -280,7 +284,7 @@ def dedup_sweep(df: DataFrame, thresholds: tuple[float, ...] = SWEEP, num_perm:
         plan = band_plan(threshold, num_perm)
         if plan not in pairs_by_plan:
             kept = cut_lineage(kept_ids(distinct, threshold))
-            rows = distinct.select("row_id", band_keys(threshold, num_perm=num_perm).alias("keys"))
+            rows = distinct.select("row_id", F.transform(band_keys(threshold, num_perm=num_perm), F.unhex).alias("keys"))
             sims = jaccard_estimate(keepers(rows, kept), distinct, num_perm).select("leader", "row_id", "sim")
             copied = distinct.filter("n_rows > 1").join(kept, "row_id", "left_semi")
             pairs = cut_lineage(sims.unionByName(_first_copy(signatures, copied)))

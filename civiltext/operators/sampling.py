@@ -33,10 +33,10 @@ class HashCut:
     id_col: str = "row_id"
 
     def chosen(self) -> Column:
-        key, row_id = order_key(self.id_col, self.salt, self.seed), F.col(self.id_col)
+        key, row_id = order_key(self.id_col, self.salt, self.seed), F.col(self.id_col).cast("bigint")
         tests = []
         for value, (cut_key, cut_id) in self.points.items():
-            inside = (key < cut_key) | ((key == cut_key) & (row_id <= cut_id))
+            inside = F.struct(key, row_id) <= F.struct(F.lit(cut_key), F.lit(cut_id).cast("bigint"))
             tests.append(inside if self.class_col is None else (F.col(self.class_col) == value) & inside)
         return reduce(lambda a, b: a | b, tests, F.lit(False))
 

@@ -16,7 +16,7 @@ def _rule(name: str, source):
 
 
 def text_lengths(spark, sf_dir):
-    return inputs.multilingual(spark, sf_dir).select("row_id", rules.text_length(F.col("text")).alias("length"))
+    return inputs.multilingual(spark, sf_dir).select("row_id", F.coalesce(rules.text_length(F.col("text")), F.lit(-1)).alias("length"))
 
 
 def languages(spark, sf_dir):
@@ -158,7 +158,7 @@ QUERIES = {
 }
 
 SQL = {
-    "text_lengths": with_ctes(("multilingual",), "SELECT row_id, length(text)::INTEGER AS length FROM multilingual"),
+    "text_lengths": with_ctes(("multilingual",), "SELECT row_id, coalesce(length(text), -1)::INTEGER AS length FROM multilingual"),
     "languages": with_ctes(
         ("multilingual",), f"SELECT row_id, {inputs.language_sql('text')} AS language FROM multilingual"
     ),

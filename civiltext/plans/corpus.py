@@ -34,7 +34,7 @@ def any_of_flags(spark, sf_dir):
 
 def csv_multilabel_round_trip(spark, sf_dir):
     path = scratch_path(spark, "multilabel")
-    _flags(spark, sf_dir).drop("row_id").write.options(header=True, quote='"', escape='"').csv(path)
+    _flags(spark, sf_dir).drop("row_id").write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
     read = sources.read_multilabel_csv(spark, path, source="flags")
     return read.groupBy("source", "text", "y").agg(F.count("*").alias("n"))
 
@@ -42,7 +42,7 @@ def csv_multilabel_round_trip(spark, sf_dir):
 def csv_binary_round_trip(spark, sf_dir):
     path = scratch_path(spark, "binary")
     rows = inputs.corpus(spark, sf_dir).select(F.col("text").alias("comment"), F.col("y").cast("double").alias("toxic"))
-    rows.write.options(header=True, quote='"', escape='"').csv(path)
+    rows.write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
     read = sources.read_binary_csv(spark, path, "comment", "toxic", "binary")
     return read.groupBy("source", "text", "y").agg(F.count("*").alias("n"))
 
@@ -94,7 +94,7 @@ def _four_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 def unified_union(spark, sf_dir):
     union = sources.union_corpora(*_four_sources(spark, sf_dir))
-    return union.select("row_id", "source", F.md5("text").alias("text_md5"), "y")
+    return union.select("row_id", "source", F.md5("text").alias("text_md5"), F.coalesce("y", F.lit(-1)).alias("y"))
 
 
 def missing_labels_dropped(spark, sf_dir):
@@ -226,7 +226,7 @@ SQL = {
         ("docs",), f"SELECT source, text, y, count(*) AS n FROM ({_lines_sql}) {_grouped}"
     ),
     "label_mapping": with_ctes(("docs",), f"SELECT row_id, {_mapped_sql} AS y FROM docs"),
-    "unified_union": f"SELECT row_id, source, md5(text) AS text_md5, y FROM ({_union_sql})",
+    "unified_union": f"SELECT row_id, source, md5(text) AS text_md5, coalesce(y, -1) AS y FROM ({_union_sql})",
     "missing_labels_dropped": f"""SELECT source, count(*) AS n, round(avg(y), 6) AS toxic_rate
 FROM ({_union_sql}) WHERE text IS NOT NULL AND y IS NOT NULL GROUP BY source""",
     "corpus_parquet_round_trip": with_ctes(("noisy_corpus",), "SELECT row_id, source, text, y FROM noisy_corpus"),

@@ -13,7 +13,9 @@ from civiltext.functions import text as rules
 from civiltext.functions.hashing import NUM_PERM, PRIME, text_hash
 from civiltext.operators.dedup import THRESHOLD, band_plan
 from civiltext.operators.sampling import make_splits
+from civiltext.sources.corpus import spread_small_scan
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 EXTRA = 1_000_000_000_000  # offset between the id ranges of derived rows
 
 # Appended to text number doc_id modulo the length of the list.
@@ -32,7 +34,8 @@ SCORERS = {"blind": 0, "fair": 300, "sharp": 900}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small_scan(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civiltext.functions.once import evaluated_once
 from civiltext.functions.text import SPACE_CHARS
 from civiltext.operators.cleaning import drop_na_literals
 
@@ -21,6 +22,9 @@ LABEL_MARK = "__label__"
 SAFE_LABEL = "NORMAL"
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_WRITE_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 SOURCE_STRIDE = 1 << 56
 
 CORPUS_SCHEMA = T.StructType([
@@ -86,7 +90,7 @@ def parse_label_lines(lines: DataFrame, source: str, row_id: Column | None = Non
     row_id = F.monotonically_increasing_id() if row_id is None else row_id
     edge = f"[{SPACE_CHARS}]+"
     line = F.regexp_replace(F.col("value"), rf"^{edge}|{edge}\z", "")
-    trimmed = lines.select(row_id.alias("row_id"), line.alias("line"))
+    trimmed = lines.select(row_id.alias("row_id"), evaluated_once(line).alias("line"))
     first = F.substring_index("line", " ", 1)
     data = trimmed.filter(F.col("line").startswith(LABEL_MARK) & F.col("line").contains(" "))
     return to_unified(
@@ -115,10 +119,19 @@ def union_corpora(*corpora: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), numbered)
 
 
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when a table has fewer splits than the session has cores.
+
+    A table of many files is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def write_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.options(header=True, quote='"', escape='"').csv(path)
+        writer.options(**CSV_WRITE_OPTIONS).csv(path)
     else:
         writer.format(fmt).save(path)
 
