@@ -27,6 +27,9 @@ C, MAX_ITER = 1.0, 1000
 BATCH_SIZE = 64
 SUBSET_SIZE = 100_000
 
+TOLERANCE = 1e-5
+ROWS_PER_PARTITION = 5_000
+
 
 def class_weights(df: DataFrame) -> DataFrame:
     """`(y, n, weight)` with weight n / (classes * n_class)."""
@@ -44,20 +47,27 @@ def with_class_weights(df: DataFrame) -> DataFrame:
 
 
 def logreg_fit(
-    train: DataFrame, c: float = C, max_iter: int = MAX_ITER, weighted: bool = False, **tfidf
+    train: DataFrame, c: float = C, max_iter: int = MAX_ITER, weighted: bool = False, tol: float = TOLERANCE,
+    **tfidf,
 ) -> PipelineModel:
     """TF-IDF and L2 logistic regression.
 
-    The penalty 1 / (C n) belongs to a mean loss and equals C times a summed loss.
+    The penalty 1 / (C n) belongs to a mean loss and equals C times a summed loss. Every
+    iteration is a pass over the cached vectors; a small training set is gathered into few
+    partitions first, because then the tasks of a pass cost more than its arithmetic.
     """
     features = fit_tfidf(train, **tfidf)
     rows = with_class_weights(train) if weighted else train
     n = train.count()
+    vectors = features.transform(rows).select("y", "features", *(["weight"] if weighted else []))
+    parts = max(1, n // ROWS_PER_PARTITION)
+    if parts < train.sparkSession.sparkContext.defaultParallelism:
+        vectors = vectors.repartition(parts)
     regression = LogisticRegression(
         featuresCol="features", labelCol="y", maxIter=max_iter, regParam=1 / (c * n),
-        elasticNetParam=0.0, standardization=False, **({"weightCol": "weight"} if weighted else {}),
+        elasticNetParam=0.0, standardization=False, tol=tol, **({"weightCol": "weight"} if weighted else {}),
     )
-    fitted = regression.fit(features.transform(rows))
+    fitted = regression.fit(vectors)
     return PipelineModel([*features.stages, fitted, tidy_stage("features", "rawPrediction")])
 
 

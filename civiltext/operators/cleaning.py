@@ -54,7 +54,7 @@ def apply_rules(df: DataFrame, text_col: str = "text", names: list[str] | None =
     """Rewrite `text_col` by the rules, one projection per rule, no row dropped."""
     for name in names or RULES:
         df = df.withColumn(text_col, RULES[name](F.col(text_col)))
-    return df
+    return df.withColumn(text_col, evaluated_once(F.col(text_col)))
 
 
 def clean_text(df: DataFrame, text_col: str = "text", na_literals: str = "keep") -> DataFrame:
@@ -64,8 +64,7 @@ def clean_text(df: DataFrame, text_col: str = "text", na_literals: str = "keep")
     """
     if na_literals == "drop":
         df = drop_na_literals(df, text_col)
-    cleaned = apply_rules(df, text_col).withColumn(text_col, evaluated_once(F.col(text_col)))
-    return drop_short(cleaned, MIN_LENGTH, text_col)
+    return drop_short(apply_rules(df, text_col), MIN_LENGTH, text_col)
 
 
 def traced_clean(df: DataFrame, text_col: str = "text") -> DataFrame:

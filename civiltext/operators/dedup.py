@@ -9,6 +9,7 @@ paired up, so a bucket that holds a third of the table costs as much as its rows
 from __future__ import annotations
 
 from functools import lru_cache, reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from civiltext.session import cut_lineage
 
 THRESHOLD = 0.80
 SWEEP = tuple(round(0.20 + 0.05 * i, 2) for i in range(16))
+PLANS_AT_ONCE = 4
 SPREAD = 64  # tasks a hot key is spread over
 MIN_LOAD = 100_000  # smaller keys are never worth spreading
 HOT_SHARE = 512  # a key is hot above 1/512 of all rows, hence at most 511 keys are
@@ -255,16 +257,24 @@ def keepers(rows: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
-def _first_copy(signatures: DataFrame, copied: DataFrame) -> DataFrame:
-    """`(keeper, dropped_row, sim)` for the first kept row that has exact copies, if there is one."""
-    first = copied.orderBy("row_id").limit(1)
-    match = signatures.filter(
-        (F.col("signature") == first.select("signature").scalar())
-        & (F.col("row_id") > first.select("row_id").scalar())
-    )
-    return match.agg(F.min("row_id").alias("dropped_row")).filter("dropped_row IS NOT NULL").select(
-        first.select("row_id").scalar().alias("leader"), F.col("dropped_row").alias("row_id"), F.lit(1.0).alias("sim")
+def distinct_signatures(signatures: DataFrame) -> DataFrame:
+    """`(row_id, signature, copy)`: the first row per signature and, if any, its next copy."""
+    keyed = signatures.withColumn("key", F.unhex(F.md5(F.array_join("signature", ","))))
+    first = keyed.groupBy("key").agg(F.min("row_id").alias("first"), F.count("*").alias("n_rows"))
+    copies = spread_join(keyed.select("row_id", "key"), first.filter("n_rows > 1"), "key")
+    second = copies.filter("row_id > first").groupBy(F.col("first").alias("row_id")).agg(F.min("row_id").alias("copy"))
+    return signatures.join(first.select(F.col("first").alias("row_id")), "row_id").join(second, "row_id", "left")
+
+
+def _examples(distinct: DataFrame, threshold: float, num_perm: int) -> tuple[int, DataFrame]:
+    """Number of kept rows, and `(leader, row_id, sim)` with the keeper of each dropped signature and first copy."""
+    kept = cut_lineage(kept_ids(distinct, threshold))
+    rows = distinct.select("row_id", F.transform(band_keys(threshold, num_perm=num_perm), F.unhex).alias("keys"))
+    sims = jaccard_estimate(keepers(rows, kept), distinct, num_perm).select("leader", "row_id", "sim")
+    copied = distinct.filter("copy IS NOT NULL").join(kept, "row_id", "left_semi").select(
+        F.col("row_id").alias("leader"), F.col("copy").alias("row_id"), F.lit(1.0).alias("sim")
     )
+    return kept.count(), cut_lineage(sims.unionByName(copied))
 
 
 def dedup_sweep(df: DataFrame, thresholds: tuple[float, ...] = SWEEP, num_perm: int = NUM_PERM) -> DataFrame:
@@ -274,22 +284,16 @@ def dedup_sweep(df: DataFrame, thresholds: tuple[float, ...] = SWEEP, num_perm:
     with the same bands share their dropped set.
     """
     signatures = cut_lineage(minhash_signature(df, num_perm))
-    distinct = cut_lineage(
-        signatures.groupBy("signature").agg(F.min("row_id").alias("row_id"), F.count("*").alias("n_rows"))
-    )
-    total = df.count()
-    n_signed = signatures.count()
-    pairs_by_plan, lines = {}, []
+    distinct = cut_lineage(distinct_signatures(signatures))
+    total, n_signed = df.count(), signatures.count()
+    plans = {band_plan(t, num_perm): t for t in thresholds}
+    with ThreadPool(PLANS_AT_ONCE) as pool:  # the plans are independent jobs
+        found = pool.map(lambda t: _examples(distinct, t, num_perm), plans.values())
+    examples = dict(zip(plans, found))
+    lines = []
     for threshold in thresholds:
-        plan = band_plan(threshold, num_perm)
-        if plan not in pairs_by_plan:
-            kept = cut_lineage(kept_ids(distinct, threshold))
-            rows = distinct.select("row_id", F.transform(band_keys(threshold, num_perm=num_perm), F.unhex).alias("keys"))
-            sims = jaccard_estimate(keepers(rows, kept), distinct, num_perm).select("leader", "row_id", "sim")
-            copied = distinct.filter("n_rows > 1").join(kept, "row_id", "left_semi")
-            pairs = cut_lineage(sims.unionByName(_first_copy(signatures, copied)))
-            pairs_by_plan[plan] = (n_signed - kept.count(), pairs)
-        dropped, pairs = pairs_by_plan[plan]
+        n_kept, pairs = examples[band_plan(threshold, num_perm)]
+        dropped = n_signed - n_kept
         gap = F.abs(F.col("sim") - F.lit(threshold))
         nearest = pairs.agg(F.min(F.struct(gap.alias("gap"), "leader", "row_id", "sim")).alias("ex"))
         lines.append(nearest.select(
