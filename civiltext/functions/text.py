@@ -25,6 +25,7 @@ OTHER_SPACE = f"[{SPACE_CHARS.replace('{20}', '{1f}')}]"
 NOT_VISIBLE, NOT_PRINTABLE = "(?![!-~])", "(?![ -~])"  # quick rejection of most characters
 START = rf"(?<!{WORD})"
 STOP = rf"(?!{WORD})"
+EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"  # a word boundary, also in front of a dot
 TAG = r"<[^>]+>"
 URL = rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"
 CONTROL = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]"
@@ -35,7 +36,7 @@ SIGNATURE = (
 )
 ADDRESS = rf"{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}"
 IP = START + ADDRESS + STOP
-EMAIL = rf"{START}(?={WORD})[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[a-zA-Z]{{2,}}{STOP}"
+EMAIL = rf"{EDGE}[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[a-zA-Z]{{2,}}{STOP}"
 REPLACEMENT_CHAR = "�"
 CYRILLIC = r"\x{400}-\x{4ff}"
 LATIN = r"A-Za-z\x{130}\x{212a}"

@@ -12,7 +12,7 @@ from functools import lru_cache, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,7 @@ from civiltext.session import cut_lineage
 
 THRESHOLD = 0.80
 SWEEP = tuple(round(0.20 + 0.05 * i, 2) for i in range(16))
+BLOCK_TOKENS = 32_768
 PLANS_AT_ONCE = 4
 SPREAD = 64  # tasks a hot key is spread over
 MIN_LOAD = 100_000  # smaller keys are never worth spreading
@@ -53,22 +54,31 @@ def band_plan(threshold: float, num_perm: int = NUM_PERM) -> tuple[int, int]:
 def _signature_udf(num_perm: int):
     pairs = permutations(num_perm)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def signature(hashes: pd.Series) -> pd.Series:
-        sizes = hashes.map(len).to_numpy()
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def signature(hashes: pa.Array) -> pa.Array:
+        flat, edges = hashes.flatten().to_numpy(), hashes.offsets.to_numpy()
+        edges = edges - edges[0]
         out = np.full((len(hashes), num_perm), PRIME, dtype=np.int64)
-        filled = np.flatnonzero(sizes)
-        if len(filled):
-            flat = np.concatenate([hashes.iat[i] for i in filled]).astype(np.int64)
-            starts = np.concatenate(([0], np.cumsum(sizes[filled])[:-1]))
+        filled = np.flatnonzero(np.diff(edges))
+        # blocks of rows whose tokens fit into the processor cache
+        cuts = np.flatnonzero(np.diff(edges[filled] // BLOCK_TOKENS)) + 1
+        for rows in np.split(filled, cuts):
+            if not len(rows):
+                continue
+            start = edges[rows[0]]
+            x, starts = flat[start:edges[rows[-1] + 1]], edges[rows] - start
+            v, high = np.empty_like(x), np.empty_like(x)
             for s, (a, b) in enumerate(pairs):
-                v = flat * a + b
-                # reduction modulo 2^31 - 1 by folding the high bits
-                v = (v >> 31) + (v & PRIME)
-                v = (v >> 31) + (v & PRIME)
+                np.multiply(x, a, out=v)
+                v += b
+                for _ in range(2):  # modulo 2^31 - 1 by folding the high bits
+                    np.right_shift(v, 31, out=high)
+                    v &= PRIME
+                    v += high
                 v[v == PRIME] = 0
-                out[filled, s] = np.minimum.reduceat(v, starts)
-        return pd.Series(list(out), index=hashes.index)
+                out[rows, s] = np.minimum.reduceat(v, starts)
+        lists = np.arange(len(hashes) + 1, dtype=np.int32) * num_perm
+        return pa.ListArray.from_arrays(lists, out.ravel())
 
     return signature
 
@@ -116,7 +126,7 @@ def _parts(hot: Column) -> Column:
     return F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
 
 
-def spread_join(facts: DataFrame, lookup: DataFrame, key: str, min_load: int = MIN_LOAD) -> DataFrame:
+def spread_join(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Equi-join of `facts` with a `lookup` unique on `key`, safe when few keys hold most facts.
 
     `lookup.n_rows` says how many facts its key has. Keys above 1/512 of the facts, 511 at
@@ -124,7 +134,7 @@ def spread_join(facts: DataFrame, lookup: DataFrame, key: str, min_load: int = M
     lookup row is repeated that often. The result says in `hot` which keys those were.
     """
     total = lookup.agg(F.sum("n_rows")).scalar()
-    sized = lookup.withColumn("hot", (F.col("n_rows") * HOT_SHARE > total) & (F.col("n_rows") >= min_load))
+    sized = lookup.withColumn("hot", (F.col("n_rows") * HOT_SHARE > total) & (F.col("n_rows") >= MIN_LOAD))
     hot = sized.filter("hot").select(key, "hot")
     tagged = facts.join(F.broadcast(hot), key, "left").withColumn("part", _part(F.col("hot"))).drop("hot")
     repeated = sized.withColumn("part", F.explode(_parts(F.col("hot")))).drop("n_rows")
@@ -219,7 +229,11 @@ def greedy_kept(contested: DataFrame) -> DataFrame:
 
 def kept_ids(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Ids of all rows that survive, including those without any collision."""
-    rows = cut_lineage(collapse_copies(signatures, threshold))
+    return surviving(cut_lineage(collapse_copies(signatures, threshold)))
+
+
+def surviving(rows: DataFrame) -> DataFrame:
+    """Ids the walk keeps among `(row_id, keys)`; `rows` is read twice, so store it first."""
     contested = cut_lineage(contested_rows(rows))
     free = rows.select("row_id").join(contested, "row_id", "left_anti")
     return free.unionByName(greedy_kept(contested))

@@ -12,6 +12,7 @@ from civiltext.operators.classifiers import predict_proba
 from civiltext.operators.metrics import (
     pr_auc, predict_default, quality, run_stats, tuned_metrics,
 )
+from civiltext.session import cut_lineage
 
 LATENCY_RUNS = 3
 
@@ -66,10 +67,10 @@ def evaluate_model(
 ) -> DataFrame:
     """The full result block of a model on the val and test parts of `splits`.
 
-    Every row is scored once for quality; the scores, not the texts, are kept for reuse.
+    Every row is scored once for quality; the scores, not the texts, are stored for reuse.
     """
     held_out = splits.filter(F.col("split").isin("val", "test"))
-    scored = predict_proba(model, held_out).select("row_id", "y", "split", "p_toxic").persist()
+    scored = cut_lineage(predict_proba(model, held_out).select("row_id", "y", "split", "p_toxic"))
     blocks = evaluate_scores(scored.filter("split = 'val'"), scored.filter("split = 'test'"))
     timing = timed_runs(model, held_out.filter("split = 'test'").select("row_id", "text"), runs)
     latency = run_stats(timing).select(

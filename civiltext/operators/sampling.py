@@ -154,6 +154,11 @@ def val_split(splits: DataFrame, val: float = 0.1, seed: int = SEED) -> DataFram
 def make_splits(
     df: DataFrame, test: float = 0.2, val: float = 0.1, subset: int | None = None, seed: int = SEED
 ) -> DataFrame:
+    """Test, validation and train parts.
+
+    Ids and labels are scanned a few times to find the cut points, so hand over a stored
+    table, not the unfinished result of an expensive query.
+    """
     splits = stratified_split(df, test, seed)
     if subset:
         splits = train_subset(splits, subset, seed)

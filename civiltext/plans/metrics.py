@@ -92,7 +92,8 @@ def quality_by_language(spark, sf_dir):
 
 def run_statistics(spark, sf_dir):
     turns = inputs.table(spark, sf_dir, "conversations")
-    runs = turns.select(F.col("role").alias("model"), (F.length("text") / F.lit(1000.0)).alias("ms_per_sample"))
+    # a power of two as divisor: sums are then exact in any order
+    runs = turns.select(F.col("role").alias("model"), (F.length("text") / F.lit(1024.0)).alias("ms_per_sample"))
     names = ("latency_mean_ms", "latency_std_ms", "latency_min_ms", "latency_max_ms")
     return _rounded(metrics.run_stats(runs), ("model",), names)
 
@@ -254,7 +255,7 @@ SELECT language, tn, fp, fn, tp, {_quality}, round({FP_RATE}, 6) AS fp_rate, rou
 FROM ({counts_sql('sliced', by='language')})"""),
     "run_statistics": """SELECT role AS model, round(avg(ms), 6) AS latency_mean_ms, round(stddev_pop(ms), 6) AS latency_std_ms,
   round(min(ms), 6) AS latency_min_ms, round(max(ms), 6) AS latency_max_ms
-FROM (SELECT role, length(text)::DOUBLE / 1000.0::DOUBLE AS ms FROM conversations) GROUP BY role""",
+FROM (SELECT role, length(text)::DOUBLE / 1024.0::DOUBLE AS ms FROM conversations) GROUP BY role""",
     "variant_comparison": with_ctes(("scored_models",), f"""{_model_quality}
 SELECT metric, round({_case['blind']}, 6) AS blind, round({_case['fair']}, 6) AS fair, round({_case['sharp']}, 6) AS sharp,
   round({_case['fair']} - {_case['blind']}, 6) AS fair_delta, round({_case['sharp']} - {_case['blind']}, 6) AS sharp_delta
