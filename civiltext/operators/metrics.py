@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from civiltext.functions.once import evaluated_once
+
 # The threshold grid, whose step carries the float error of (0.10 + 0.01) - 0.10.
 FIRST_THRESHOLD = 0.10
 THRESHOLD_STEP = (0.10 + 0.01) - 0.10
@@ -82,7 +84,7 @@ def pr_auc(df: DataFrame, y: str = "y", p: str = "p_toxic", slices: int = SCORE_
     edges = scores.agg(F.percentile_approx("p", cuts, 10_000)).scalar()
     sliced = (
         scores.withColumn("edges", edges)
-        .withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("p"))))
+        .withColumn("slice", evaluated_once(F.size(F.filter("edges", lambda e: e < F.col("p")))))
         .drop("edges")
     )
     above = W.orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)

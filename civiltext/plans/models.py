@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from civiltext.operators import classifiers, compare, evaluation, features, metrics, sampling
 from civiltext.plans import inputs
 from civiltext.plans.inputs import with_ctes
+from civiltext.plans.sampling import BALANCED_CTES
 from civiltext.session import scratch_path
 from civiltext.sources import artifacts
 
@@ -103,7 +104,8 @@ def promoted_checkpoint(spark, sf_dir):
     artifacts.write_splits(balanced, f"{src}/splits")
     artifacts.promote(spark, src, dst)
     size = artifacts.model_size(spark, f"{dst}/model").scalar()
-    return sampling.split_summary(artifacts.read_splits(spark, f"{dst}/splits")).withColumn("has_model", size > 0)
+    stats = sampling.split_summary(artifacts.read_splits(spark, f"{dst}/splits"))
+    return stats.select("split", "n", F.round("toxic_rate", 6).alias("toxic_rate"), (size > 0).alias("has_model"))
 
 
 def model_evaluation(spark, sf_dir):
@@ -162,5 +164,7 @@ SELECT w.row_id, w.term, round(w.w / n.norm, 6) AS weight FROM weighted w JOIN n
   round((SELECT count(*) FROM rows)::DOUBLE / ((SELECT count(DISTINCT y) FROM rows) * count(*)), 6) AS weight FROM rows GROUP BY y"""),
     "external_model_scores": """SELECT conv_id, turn, CASE WHEN z > 0 THEN 1 ELSE 0 END AS pred, round(1 / (1 + exp(-z)), 4) AS p_toxic
 FROM (SELECT conv_id, turn, ((length(text) % 100)::DOUBLE / 50 - 1)::FLOAT::DOUBLE AS z FROM conversations WHERE role = 'assistant')""",
+    "promoted_checkpoint": with_ctes(("splits",), f"""{BALANCED_CTES}
+SELECT split, count(*) AS n, round(avg(y), 6) AS toxic_rate, true AS has_model FROM balanced GROUP BY split"""),
     "saved_model_scores": with_ctes(("splits",), "SELECT row_id, true AS same FROM splits WHERE split <> 'train'"),
 }

@@ -92,7 +92,7 @@ QUERIES = {
 }
 
 _summary = "SELECT split, count(*) AS n, round(avg(y), 6) AS toxic_rate FROM splits GROUP BY split"
-_balanced = """, ranked AS (
+BALANCED_CTES = """, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('balance:42:' || row_id), row_id) AS k
   FROM splits WHERE split = 'train'),
 smallest AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM splits WHERE split = 'train' GROUP BY y)),
@@ -123,10 +123,10 @@ SELECT row_id, y, split FROM after_test WHERE split = 'test'
 UNION ALL SELECT r.row_id, r.y, r.split FROM ranked r JOIN quota q ON r.y = q.y
 WHERE k <= quota OR (SELECT sum(n) FROM part_counts) <= {SUBSET}"""),
     "premade_splits": with_ctes(("splits",), _summary),
-    "balanced_train": with_ctes(("splits",), f"{_balanced} SELECT row_id, y, split FROM balanced"),
-    "balance_check": with_ctes(("splits",), f"""{_balanced}
+    "balanced_train": with_ctes(("splits",), f"{BALANCED_CTES} SELECT row_id, y, split FROM balanced"),
+    "balance_check": with_ctes(("splits",), f"""{BALANCED_CTES}
 SELECT count(*) AS n, sum(y)::BIGINT AS n_toxic, round(avg(y), 6) AS toxic_share FROM balanced WHERE split = 'train'"""),
-    "balanced_same_size": with_ctes(("splits",), f"""{_balanced}
+    "balanced_same_size": with_ctes(("splits",), f"""{BALANCED_CTES}
 SELECT row_id, y FROM balanced WHERE split = 'train' ORDER BY md5('same-size:42:' || row_id), row_id LIMIT {SAME_SIZE}"""),
     "overfit_rows": with_ctes(("corpus",), f"""SELECT row_id, y FROM (
   SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('overfit:42:' || row_id), row_id) AS k FROM corpus)
