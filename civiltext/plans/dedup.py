@@ -39,6 +39,12 @@ def near_duplicates(spark, sf_dir):
     return dedup.dropped_ids(docs, dedup.kept_ids(dedup.minhash_signature(docs)))
 
 
+def near_duplicates_loose(spark, sf_dir):
+    """The same at the lowest threshold of the sweep, where rows wait for one another over several rounds."""
+    docs = inputs.documents(spark, sf_dir)
+    return dedup.dropped_ids(docs, dedup.kept_ids(dedup.minhash_signature(docs), dedup.SWEEP[0]))
+
+
 def deduplicated_documents(spark, sf_dir):
     return dedup.deduplicate(inputs.documents(spark, sf_dir)).select("row_id", "source", F.md5("text").alias("text_md5"))
 
@@ -68,6 +74,7 @@ QUERIES = {
     "lsh_collision_leaders": collision_leaders,
     "lsh_collision_similarity": collision_similarity,
     "near_duplicates": near_duplicates,
+    "near_duplicates_loose": near_duplicates_loose,
     "deduplicated_documents": deduplicated_documents,
     "deduplicated_counts": deduplicated_counts,
     "dedup_threshold_sweep": threshold_sweep_of_dedup,
@@ -79,7 +86,37 @@ star AS (
   WHERE b.row_id <> l.leader GROUP BY 1, 2)"""
 _joined = "array_to_string(signature, ',') AS signature"
 
+_plans = {dedup.band_plan(t): t for t in dedup.SWEEP}
+_name = {plan: f"_{plan[0]}_{plan[1]}" for plan in _plans}
+_sweep_ctes = ",\n".join(
+    f"""{inputs.buckets_cte(t, _name[plan])},
+{inputs.walk_ctes(_name[plan])},
+examples{_name[plan]} AS (
+  SELECT i, j, len(list_filter(range(1, 129), lambda k: a.signature[k] = b.signature[k]))::DOUBLE / 128 AS sim
+  FROM (SELECT min(i) AS i, j FROM pairs{_name[plan]} WHERE i NOT IN (SELECT row_id FROM dropped{_name[plan]})
+    AND j IN (SELECT row_id FROM dropped{_name[plan]}) GROUP BY j) p
+  JOIN signatures a ON a.row_id = p.i JOIN signatures b ON b.row_id = p.j)"""
+    for plan, t in _plans.items()
+)
+_sweep_rows = "\nUNION ALL\n".join(
+    f"""SELECT {t}::DOUBLE AS threshold, (SELECT count(*) FROM dropped{n}) AS dropped,
+  (SELECT count(*) FROM docs) - (SELECT count(*) FROM dropped{n}) AS remaining,
+  round(e.gap, 6) AS gap, round(e.sim, 6) AS sim, e.i AS keeper, e.j AS dropped_row
+FROM (SELECT 1) LEFT JOIN (
+  SELECT *, abs(sim - {t}::DOUBLE) AS gap FROM examples{n} ORDER BY gap, i, j LIMIT 1) e ON true"""
+    for t, n in ((t, _name[dedup.band_plan(t)]) for t in dedup.SWEEP)
+)
+
 SQL = {
+    "dedup_threshold_sweep": with_ctes(("signatures",), f",\n{_sweep_ctes}\n{_sweep_rows}", recursive=True),
+    "near_duplicates_loose": with_ctes(
+        ("signatures",),
+        f""",
+{inputs.buckets_cte(dedup.SWEEP[0])},
+{inputs.walk_ctes()}
+SELECT row_id FROM dropped""",
+        recursive=True,
+    ),
     "minhash_signatures": with_ctes(("signatures",), f"SELECT row_id, {_joined} FROM signatures"),
     "minhash_sampled_signatures": with_ctes(("signatures",), f"""SELECT row_id, {_joined} FROM signatures
 ORDER BY md5('signatures:42:' || row_id), row_id LIMIT 500"""),

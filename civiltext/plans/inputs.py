@@ -173,7 +173,6 @@ def traced_ctes(source: str, prefix: str) -> str:
 
 _noise_case = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOISE))
 _noise_text = f"text || CASE doc_id % {len(NOISE)} {_noise_case} END"
-_bands, _rows = band_plan(THRESHOLD)
 
 
 def hash_sql(text: str) -> str:
@@ -215,6 +214,31 @@ def _stratified(source: str, name: str, salt: str, fraction: float, keep: str) -
   FROM {source})"""
 
 
+def buckets_cte(threshold: float, name: str = "") -> str:
+    bands, rows = band_plan(threshold)
+    return f"""buckets{name} AS (
+  SELECT row_id, band::INTEGER AS band,
+    md5(band || ',' || array_to_string(signature[band * {rows} + 1 : band * {rows} + {rows}], ',')) AS bucket
+  FROM signatures, range({bands}) t(band))"""
+
+
+def walk_ctes(name: str = "") -> str:
+    """The first-row-wins walk as a recursion over the rows that have an earlier neighbour."""
+    return f"""pairs{name} AS (
+  SELECT DISTINCT a.row_id AS i, b.row_id AS j
+  FROM buckets{name} a JOIN buckets{name} b ON a.bucket = b.bucket AND a.row_id < b.row_id),
+nodes{name} AS (
+  SELECT j AS id, earlier, row_number() OVER (ORDER BY j) AS rn
+  FROM (SELECT j, list(i) AS earlier FROM pairs{name} GROUP BY j)),
+walk{name} AS (
+  SELECT 0::BIGINT AS rn, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT n.rn, CASE WHEN len(list_filter(n.earlier, lambda e: NOT list_contains(w.gone, e))) > 0
+    THEN list_append(w.gone, n.id) ELSE w.gone END
+  FROM walk{name} w JOIN nodes{name} n ON n.rn = w.rn + 1),
+dropped{name} AS (SELECT unnest(gone) AS row_id FROM walk{name} WHERE rn = (SELECT max(rn) FROM walk{name}))"""
+
+
 # name -> (CTEs it needs, its own text); composed by `with_ctes`
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "docs": ((), "docs AS (SELECT doc_id AS row_id, source, text FROM documents)"),
@@ -259,21 +283,8 @@ minima AS (SELECT row_id, s, min((a * x + b) % {PRIME}) AS v FROM hashes, perms
 signatures AS (
   SELECT d.row_id, CASE WHEN m.sig IS NULL THEN list_transform(range({NUM_PERM}), lambda i: {PRIME}::BIGINT) ELSE m.sig END AS signature
   FROM docs d LEFT JOIN (SELECT row_id, list(v ORDER BY s) AS sig FROM minima GROUP BY row_id) m ON d.row_id = m.row_id)"""),
-    "buckets": (("signatures",), f"""buckets AS (
-  SELECT row_id, band::INTEGER AS band,
-    md5(band || ',' || array_to_string(signature[band * {_rows} + 1 : band * {_rows} + {_rows}], ',')) AS bucket
-  FROM signatures, range({_bands}) t(band))"""),
-    "dropped": (("buckets",), """pairs AS (
-  SELECT DISTINCT a.row_id AS i, b.row_id AS j FROM buckets a JOIN buckets b ON a.bucket = b.bucket AND a.row_id < b.row_id),
-nodes AS (
-  SELECT j AS id, earlier, row_number() OVER (ORDER BY j) AS rn FROM (SELECT j, list(i) AS earlier FROM pairs GROUP BY j)),
-walk AS (
-  SELECT 0::BIGINT AS rn, CAST([] AS BIGINT[]) AS gone
-  UNION ALL
-  SELECT n.rn, CASE WHEN len(list_filter(n.earlier, lambda e: NOT list_contains(w.gone, e))) > 0
-    THEN list_append(w.gone, n.id) ELSE w.gone END
-  FROM walk w JOIN nodes n ON n.rn = w.rn + 1),
-dropped AS (SELECT unnest(gone) AS row_id FROM walk WHERE rn = (SELECT max(rn) FROM walk))"""),
+    "buckets": (("signatures",), buckets_cte(THRESHOLD)),
+    "dropped": (("buckets",), walk_ctes()),
     "terms": (("docs",), f"""words AS (
   SELECT row_id, regexp_extract_all(lower(text), '{rules.WORD}{{2,}}') AS w FROM docs),
 terms AS (
@@ -287,7 +298,7 @@ vocab AS (
 }
 
 
-def with_ctes(names: tuple[str, ...], body: str) -> str:
+def with_ctes(names: tuple[str, ...], body: str, recursive: bool = False) -> str:
     """`WITH ... body`, with everything the named CTEs depend on, once and in order."""
     order: list[str] = []
 
@@ -299,5 +310,5 @@ def with_ctes(names: tuple[str, ...], body: str) -> str:
 
     for name in names:
         add(name)
-    recursive = "RECURSIVE " if "dropped" in order else ""
-    return f"WITH {recursive}" + ",\n".join(CTES[n][1] for n in order) + f"\n{body}"
+    keyword = "WITH RECURSIVE " if recursive or "dropped" in order else "WITH "
+    return keyword + ",\n".join(CTES[n][1] for n in order) + f"\n{body}"

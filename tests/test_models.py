@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civiltext.operators import classifiers, compare, evaluation, features
 from civiltext.operators.sampling import make_splits
+from civiltext.sources import artifacts
 from civiltext.streaming.screening import screen
 
 WORDS = "calm sunny happy river garden awful stupid hate idiot trash some other common words here".split()
@@ -120,8 +121,11 @@ def test_external_linear_scorer_equals_the_model(model, splits):
     assert all(external[i] == pytest.approx(own[i], abs=1e-5) for i in own)
 
 
-def test_evaluate_model_has_every_block(spark, model, splits):
-    row = evaluation.evaluate_model(spark, model, splits, runs=2).first()
+def test_evaluate_model_has_every_block(spark, model, splits, path):
+    assert not artifacts.has_results(spark, path("results"))
+    artifacts.write_results(evaluation.evaluate_model(spark, model, splits, runs=2), path("results"))
+    assert artifacts.has_results(spark, path("results"))
+    row = artifacts.read_results(spark, path("results")).first()
     assert sum(map(sum, row.confusion_matrix)) == splits.filter("split = 'test'").count()
     assert row.throughput_samples_per_sec > 0 and row.latency.latency_min_ms <= row.latency.latency_max_ms
     assert 0.1 <= row.best_threshold <= 0.9
