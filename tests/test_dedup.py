@@ -133,3 +133,30 @@ def test_sweep_equals_the_walk(texts, signatures):
 def test_sample_signatures_caps_at_the_population(texts):
     assert dedup.sample_signatures(texts, 4).count() <= 4
     assert dedup.sample_signatures(texts, 500).count() == len(TEXTS) - 1
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_leaders_and_similarity(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(dedup, "MIN_LOAD", 2)
+        monkeypatch.setattr(dedup, "HOT_SHARE", 10**9)
+    rng = random.Random(3)
+    keys = {i: [(b, f"{b}:{rng.randrange(6)}") for b in range(2)] for i in range(40)}
+    table = [(i, b, k) for i, ks in keys.items() for b, k in ks]
+    buckets = spark.createDataFrame(table, "row_id BIGINT, band INT, bucket STRING")
+    leader = {k: min(i for i, _, other in table if other == k) for _, _, k in table}
+    expected = {}
+    for i, _, k in table:
+        if leader[k] != i:
+            expected[i, leader[k]] = expected.get((i, leader[k]), 0) + 1
+    pairs = dedup.collision_leaders(buckets)
+    assert {(r.row_id, r.leader): r.n_buckets for r in pairs.collect()} == expected
+    values = {i: [rng.randrange(3) for _ in range(8)] for i in keys}
+    signatures = spark.createDataFrame(list(values.items()), "row_id BIGINT, signature ARRAY<BIGINT>")
+    for r in dedup.jaccard_estimate(pairs, signatures, 8).collect():
+        assert r.sim == sum(a == b for a, b in zip(values[r.row_id], values[r.leader])) / 8
+
+
+def test_signature_blocks_do_not_change_the_result(spark, monkeypatch, texts, signatures):
+    monkeypatch.setattr(dedup, "BLOCK_TOKENS", 5)
+    assert {r.row_id: r.signature for r in dedup.minhash_signature(texts).collect()} == signatures
