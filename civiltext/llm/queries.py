@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from civiltext.llm import secrets
+from civiltext.llm import mixing, quality, secrets
 
-MODULES = (secrets,)
+MODULES = (secrets, mixing, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
