@@ -1,0 +1,39 @@
+"""Connected components of a graph given as edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from civiltext.llm.common import stored
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """`(node, root)` for all nodes of `edges (a, b)`; the root is the smallest node of the component.
+
+    Rounds of two steps: every node links its larger neighbours to the smallest of its neighbourhood, then
+    its smaller neighbours and itself to the smallest of those. Both keep components whole, the number of
+    rounds grows with the logarithm of the longest path, and each round is stored. Only minima meet in a
+    group, so a node with many neighbours costs no more than its edges.
+    """
+    links = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    state = None
+    while True:
+        # larger neighbours to the smallest
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.filter("u <> v").distinct(), "large")
+        # smaller neighbours and itself to the smallest
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(smallest.select("u", F.col("m").alias("v")))
+        links = stored(small.filter("u <> v").distinct(), "links")
+        seen = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == state:
+            break
+        state = seen
+    # now every node points to its root
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
