@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from civiltext.llm import mixing, quality, secrets, simhash
+from civiltext.llm import languages, mixing, quality, secrets, simhash
 
-MODULES = (secrets, mixing, quality, simhash)
+MODULES = (secrets, mixing, quality, simhash, languages)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

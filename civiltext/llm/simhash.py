@@ -78,6 +78,14 @@ def _rest(fp: Column, low: int, high: int) -> Column:
 
 def smallest_reached(rests: np.ndarray, bits: int = BITS) -> np.ndarray:
     """For distinct sorted 16-bit numbers, the smallest of each one's component under at most `bits` differing bits."""
+    if len(rests) <= 128:
+        near = np.bitwise_count(rests[:, None] ^ rests[None, :]) <= bits
+        best = rests
+        while True:
+            after = np.where(near, best[None, :], 1 << 16).min(axis=1)
+            if np.array_equal(after, best):
+                return best
+            best = after
     steps = _NEIGHBOURS[: 16 if bits == 1 else None]
     here = np.full(1 << 16, -1, dtype=np.int64)
     here[rests] = rests
@@ -96,10 +104,6 @@ def smallest_reached(rests: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _list_links(key_fp: np.ndarray, rests: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for i, members in enumerate(rests):
         members = np.unique(np.asarray(members, dtype=np.int64))
-        if len(members) == 2:
-            if int(members[0] ^ members[1]).bit_count() <= BITS:
-                yield i, members[1:], members[:1]
-            continue
         root = smallest_reached(members)
         moved = root != members
         if moved.any():
