@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from civiltext.llm import languages, mixing, quality, secrets, simhash, toxicity
+from civiltext.llm import languages, mixing, quality, secrets, simhash, tokens, toxicity
 
-MODULES = (secrets, mixing, quality, simhash, toxicity, languages)
+MODULES = (secrets, mixing, quality, simhash, tokens, toxicity, languages)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
