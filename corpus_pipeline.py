@@ -1,3 +1,80 @@
+"""From `documents` to token files: language, near-duplicates, benchmark passages, mixture, tokens.
+
+A stage takes (spark, docs, sf_dir), with the rows its predecessor kept, and returns what it keeps; all but the last
+return the columns they were given. `run` writes each result as Parquet in the shared folder and reads it again.
+
+Rows count as they are: equal ids, null ids, null texts and further columns may occur. The near-duplicate stage keeps
+one row of each group, also of rows equal in everything; the mixture repeats rows; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from civiltext.llm import decontaminate, languages, mixing, simhash, tokens
+from civiltext.llm.common import documents, stored
+from civiltext.session import scratch_path
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or far from every language learned from the labelled ones, go."""
+    model = languages.train(docs, "doc_id", "lang")
+    return languages.speaks_a_known_language(docs, model).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents linked by their fingerprints the one with the smallest id stays (a null id comes first)."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("_h"))
+    prints = stored(simhash.fingerprints(docs.select(key.alias("_key"), "text"), "_key"), "fingerprints")
+    kept = simhash.near_duplicates(prints).filter("id = component").select("id.*").distinct()
+    kept = stored(kept.withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_kept"), "kept")
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_kept"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row of an id goes that has a text with a benchmark item in it."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.contaminated(docs.select("doc_id", "text"), items)
+    found = stored(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it: not at all, once, or twice."""
+    size = mixing.words_in(F.col("text"))
+    sizes = stored(docs.select(F.col("doc_id").alias("id"), "source", size.alias("size")), "sizes")
+    mixed = mixing.mix(sizes).filter("copies > 0").select(
+        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
+    )
+    copies = stored(mixed.distinct(), "copies")
+    same = (
+        docs["doc_id"].eqNullSafe(copies["_id"]) & docs["source"].eqNullSafe(copies["_source"]) & (size == copies["_size"])
+    )
+    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the order of ids; returns what is read back from them per document."""
+    manifest = tokens.write_tokens(docs, "doc_id", scratch_path(spark, "tokens"), tokens.tokenizer_path())
+    return tokens.read_tokens(manifest)
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("near-duplicates", keep_one_of_each_group),
+    ("decontamination", drop_benchmark_passages),
+    ("mixture", mix_to_targets),
+    ("tokens", write_token_files),
+]
+# fingerprints, tiling and tokens cannot be said in SQL
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
