@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from civiltext.llm import decontaminate, languages, mixing, quality, secrets, simhash, tokens, toxicity
+from civiltext.llm import decontaminate, languages, mixing, personal_data, quality, secrets, simhash, tokens, toxicity
 
-MODULES = (secrets, mixing, decontaminate, quality, simhash, tokens, toxicity, languages)
+MODULES = (secrets, mixing, decontaminate, quality, simhash, tokens, personal_data, toxicity, languages)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
