@@ -7,7 +7,7 @@ are those of its own shape and of the two next to it. It is trained from the sma
 table below by its gradient, and decoded by Viterbi over all lines of a batch at once: step
 by step for the lines that are long enough, all in numpy. Runs of words with the same tag
 that touch no span of the patterns are added to them, so the field adds forms the patterns
-do not know: numbers without a country code, spelled-out addresses.
+do not know: numbers without a country code, addresses with a port or a spelled-out sign.
 
 A null text is an empty one. Texts are read whole; a line of any length is one sequence.
 Repeated rows stay, an empty table gives no rows.
@@ -100,11 +100,11 @@ LABELLED = (
     "write to [email jane.doe@example.com] today",
     "mail [email k.miller@mail.example.org], please",
     "e-mail: [email info@example.net]",
-    "mail me: [email jane at example dot com]",
-    "send it to [email r.smith at mail dot example dot org] soon",
-    "contact [email bob (at) example (dot) net] for this",
-    "her mail is [email ann (at) example.org] now",
-    "email [email tom at example.com] again",
+    "mail me: [email jane(at)example.com]",
+    "send it to [email r.smith(at)mail.example.org] soon",
+    "contact [email bob(at)example(dot)net] for this",
+    "her mail is [email ann@localhost] now",
+    "email [email tom.jones{at}example.com] again",
     "server ip [ip 192.0.2.17] was down",
     "ip: [ip 198.51.100.23],",
     "log in at [ip 203.0.113.5:8080] first",
@@ -132,9 +132,8 @@ LABELLED = (
     "chapter 12, page 345, line 6",
     "this dot is at the end of the line.",
     "he was at work, she was at home",
-    "at at at at at at at at at",
-    "The at at at dot dot dot at at",
-    "it is at. At At At at the dot",
+    "That line goes on and on, with many words and nothing else in it, as most lines of most texts do. They end.",
+    "A line of words (some in brackets), some* with# marks& and some not; more of them follow here, and here.",
     "a*** b### c$$$ d%%% &&& the end",
     "The | table | has | 7 | columns",
     "call me later, the phone is here",
@@ -152,7 +151,7 @@ LABELLED = (
     "room 101, floor 5, house 12b",
     "on 12 May 2006, 9:05 (UTC)",
 )
-CUES = frozenset("phone tel tel. call mobile fax number mail email e-mail ip host server address card visa credit at dot (at) (dot) [at] [dot]".split())
+CUES = frozenset("phone tel tel. call mobile fax number mail email e-mail ip host server address card visa credit".split())
 TAGS = ("O", *KINDS)
 
 _MARKED = re.compile(r"\[(%s) (.*?)\](?=[\s.,:]|$)" % "|".join(KINDS))
@@ -198,6 +197,8 @@ def features(shape: str) -> list[str]:
         out.append(f"groups{'-'.join(str(min(len(g), 9)) for g in re.split('[^0]+', core)[:6])}")
     if "@" in core:
         out += ["mail", f"mail{'.' in core.partition('@')[2]}"]
+    elif "(a)" in core or "{a}" in core or "[a]" in core:
+        out.append("spelled")
     elif "." in core:
         out.append("dotted")
     return out
