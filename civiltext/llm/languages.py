@@ -8,8 +8,8 @@ possible. The nearest language wins, ties by name.
 
 Letters that are too rare in the training texts share one symbol, so an n-gram is a small
 number and a document is counted by sorting small numbers. Profiles are learned from at most
-`PER_LANGUAGE` texts per language, those with the smallest hash of the id; their size is
-fixed, whatever the corpus holds.
+`PER_LANGUAGE` texts of each of the `MOST_LANGUAGES` most frequent languages, those with the
+smallest hash of the id; their size is fixed, whatever the corpus holds.
 
 A null text or one without a letter is `und` with score 0. A language without a training
 text is never predicted; without any, all is `und`. The score is the lead of the nearest
@@ -32,6 +32,7 @@ from civiltext.llm.common import documents, id_remainder
 UNKNOWN = "und"
 PROFILE = 400
 PER_LANGUAGE = 500
+MOST_LANGUAGES = 256  # the most frequent ones are learned
 MAX_LETTERS = 62  # and the blank and a symbol for all other letters: six bits
 FAR = 0.9
 _BLANK, _OTHER, _BITS = 0, 63, 6
@@ -157,7 +158,8 @@ def training_sample(docs: DataFrame, id_column: str, language: str, per_language
     )
     sizes = rows.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count"))
-    cuts = sizes.select("lang", ((share - 0.5) * float(2**64)).cast("bigint").alias("cut"))  # one row per language
+    cuts = sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    cuts = F.broadcast(cuts.select("lang", ((share - 0.5) * float(2**64)).cast("bigint").alias("cut")))  # at most 256 rows
     near = rows.select("lang", "h").join(cuts, "lang").filter("h <= cut").select("lang", "h").distinct()
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = ranked.filter(F.col("rank") <= per_language).select("lang", "h")
