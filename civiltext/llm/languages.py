@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import documents, id_remainder
+from civiltext.llm.common import documents, free_name, id_remainder
 
 UNKNOWN = "und"
 PROFILE = 400
@@ -172,15 +172,15 @@ def train(docs: DataFrame, id_column: str, language: str, per_language: int = PE
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def identify(docs: DataFrame, model: Profiles, text: str = "text") -> DataFrame:
-    """`docs` with a column `language (lang_pred, score, distance)`."""
+def identify(docs: DataFrame, model: Profiles, text: str = "text", into: str = "language") -> DataFrame:
+    """`docs` with a column `into (lang_pred, score, distance)`, which takes the place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame(predict(shared.value, texts.tolist()), columns=["lang_pred", "score", "distance"])
 
-    return docs.withColumn("language", F.pandas_udf(scored, "lang_pred string, score double, distance double")(text))
+    return docs.withColumn(into, F.pandas_udf(scored, "lang_pred string, score double, distance double")(text))
 
 
 def split_model(spark: SparkSession, docs: DataFrame) -> Profiles:
@@ -198,8 +198,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speaks_a_known_language(docs: DataFrame, model: Profiles, far: float = FAR) -> DataFrame:
     """The rows of `docs` that are in one of the languages: not `und`, and not as far from all profiles as foreign text."""
-    judged = identify(docs, model)
-    return judged.filter((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.distance") < far)).drop("language")
+    name = free_name(docs, "language")
+    judged = identify(docs, model, into=name)
+    return judged.filter((judged[name]["lang_pred"] != UNKNOWN) & (judged[name]["distance"] < far)).drop(name)
 
 
 QUERIES = {"op10_language": op10_language}

@@ -100,10 +100,11 @@ def matches(text: Column, templates: list[tuple[str, list[int]]], least: float =
     )
 
 
-def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """`docs` with a column `licenses (unit, license, dice)`."""
+def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str], ...] = TEMPLATES, into: str = "licenses") -> DataFrame:
+    """`docs` with a column `into (unit, license, dice)`, in place of one of that name."""
     own = prepared(docs.sparkSession, templates)
-    return docs.select("*", F.explode(F.array(matches(text_or_empty("text"), own, least))).alias("licenses"))
+    others = [docs[c] for c in docs.columns if c != into]
+    return docs.select(*others, F.explode(F.array(matches(text_or_empty("text"), own, least))).alias(into))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,8 +354,8 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """`docs` with a column `found`: counts of the patterns' spans per kind, their list, and the list of all spans."""
+def scan(docs: DataFrame, field: Field | None = None, into: str = "found") -> DataFrame:
+    """`docs` with a column `into`, in place of one of that name: counts of the patterns' spans per kind, their list, and the list of all spans."""
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -368,7 +368,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
             })
 
     schema = ", ".join(f"n_{kind} bigint" for kind in KINDS) + ", base string, spans string"
-    return docs.withColumn("found", F.pandas_udf(found, schema)("text"))
+    return docs.withColumn(into, F.pandas_udf(found, schema)("text"))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,15 +204,15 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     return fit([r.text for r in texts if r.toxic == 1], [r.text for r in texts if r.toxic != 1], n.get(True), n.get(False))
 
 
-def with_scores(docs: DataFrame, model: Model | Constant, text: str = "text") -> DataFrame:
-    """`docs` with a column `score`."""
+def with_scores(docs: DataFrame, model: Model | Constant, text: str = "text", into: str = "score") -> DataFrame:
+    """`docs` with a column `into`, which takes the place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([score(shared.value, t) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(scored, "double")(text))
+    return docs.withColumn(into, F.pandas_udf(scored, "double")(text))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
