@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiltext.llm import decontaminate, languages, mixing, simhash, tokens
-from civiltext.llm.common import documents, stored
+from civiltext.llm.common import documents, free_name, stored
 from civiltext.session import scratch_path
 
 
@@ -25,35 +25,31 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents linked by their fingerprints the one with the smallest id stays (a null id comes first)."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("_h"))
-    prints = stored(simhash.fingerprints(docs.select(key.alias("_key"), "text"), "_key"), "fingerprints")
-    kept = simhash.near_duplicates(prints).filter("id = component").select("id.*").distinct()
-    kept = stored(kept.withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_kept"), "kept")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_kept"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+    key = F.struct("doc_id", F.xxhash64("text").alias("of_text"))
+    prints = stored(simhash.fingerprints(docs.select(key.alias("key"), "text"), "key"), "fingerprints")
+    kept = stored(simhash.near_duplicates(prints).filter("id = component").select("id.*").distinct(), "kept")
+    name = free_name(docs, "of_text")
+    rows = docs.withColumn(name, F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[name] == kept["of_text"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).select(docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row of an id goes that has a text with a benchmark item in it."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = decontaminate.contaminated(docs.select("doc_id", "text"), items)
-    found = stored(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    found = stored(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it: not at all, once, or twice."""
-    size = mixing.words_in(F.col("text"))
+    size = mixing.words_in(docs["text"])
     sizes = stored(docs.select(F.col("doc_id").alias("id"), "source", size.alias("size")), "sizes")
-    mixed = mixing.mix(sizes).filter("copies > 0").select(
-        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
-    )
-    copies = stored(mixed.distinct(), "copies")
-    same = (
-        docs["doc_id"].eqNullSafe(copies["_id"]) & docs["source"].eqNullSafe(copies["_source"]) & (size == copies["_size"])
-    )
-    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = stored(mixing.mix(sizes).filter("copies > 0").select("id", "source", "size", "copies").distinct(), "copies")
+    same = docs["doc_id"].eqNullSafe(copies["id"]) & docs["source"].eqNullSafe(copies["source"]) & (size == copies["size"])
+    times = F.explode(F.sequence(F.lit(1), copies["copies"])).alias(free_name(docs, "copy"))
+    return docs.join(copies, same).select(*[docs[c] for c in docs.columns], times).select(docs.columns)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
