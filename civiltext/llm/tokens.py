@@ -88,9 +88,6 @@ class Encoder:
         return _PIECES.findall(low)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > MOST_CACHED:
-            self.words.clear()
-            self.pieces.clear()
         split = [self._split(w) for w in words]
         new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.pieces))
         texts = [" ".join(new[i : i + 256]) for i in range(0, len(new), 256)]
@@ -113,6 +110,9 @@ class Encoder:
         split = pc.ascii_split_whitespace(column)
         coded = split.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
+        if len(self.words) > MOST_CACHED:
+            self.words.clear()
+            self.pieces.clear()
         self._learn([w for w in names if w and w not in self.words])
         parts = np.empty(len(names), dtype=object)
         parts[:] = [self.words[w] if w else b"" for w in names]
