@@ -18,6 +18,7 @@ def _unescape(text: pd.Series) -> pd.Series:
 def unescape_html(text: Column) -> Column:
     """All HTML5 references, named and numeric, in a single pass.
 
-    Rows without `&` are sent to Python as null, so Arrow carries only texts that can change.
+    Rows without the start of a reference, `&` before a letter or `#`, are sent to Python as null, so Arrow
+    carries only texts that can change.
     """
-    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
+    return F.coalesce(_unescape(F.when(text.rlike("&[#A-Za-z]"), text)), text)

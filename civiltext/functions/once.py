@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def evaluated_once(column: Column) -> Column:
-    """The same values, but no filter or projection above is merged into the expression.
+    """The same values, as a column that is produced by a generator of one row per row.
 
-    A filter on a computed column is otherwise pushed below the projection together with a
-    copy of the expression, so a long chain of rules or a model would run a second time.
-    The always-true test on the partition number marks the projection as one that must
-    stay where it is. Filters on other columns stay above it too: apply those first.
+    A filter on a computed column is otherwise pushed below the projection together with a copy of
+    the expression, so a long chain of rules or a model would run a second time. Filters on the
+    generated column stay above it; those on other columns still reach the scan. A projection
+    takes one such column.
     """
-    return F.when(F.spark_partition_id() >= 0, column)
+    return F.explode(F.array(column))

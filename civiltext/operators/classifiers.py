@@ -28,7 +28,6 @@ BATCH_SIZE = 64
 SUBSET_SIZE = 100_000
 
 TOLERANCE = 1e-5
-ROWS_PER_PARTITION = 5_000
 
 
 def class_weights(df: DataFrame) -> DataFrame:
@@ -53,16 +52,12 @@ def logreg_fit(
     """TF-IDF and L2 logistic regression.
 
     The penalty 1 / (C n) belongs to a mean loss and equals C times a summed loss. Every
-    iteration is a pass over the cached vectors; a small training set is gathered into few
-    partitions first, because then the tasks of a pass cost more than its arithmetic.
+    iteration is a pass over the cached vectors.
     """
     features = fit_tfidf(train, **tfidf)
     rows = with_class_weights(train) if weighted else train
     n = train.count()
     vectors = features.transform(rows).select("y", "features", *(["weight"] if weighted else []))
-    parts = max(1, n // ROWS_PER_PARTITION)
-    if parts < train.sparkSession.sparkContext.defaultParallelism:
-        vectors = vectors.repartition(parts)
     regression = LogisticRegression(
         featuresCol="features", labelCol="y", maxIter=max_iter, regParam=1 / (c * n),
         elasticNetParam=0.0, standardization=False, tol=tol, **({"weightCol": "weight"} if weighted else {}),
@@ -134,7 +129,7 @@ def score_batches(
     `make_predict_fn` runs once per Python worker and loads the model there.
     """
     logits = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    scored = df.withColumn("logits", logits(F.col(text_col)))
+    scored = df.withColumn("logits", evaluated_once(logits(F.col(text_col))))
     return scored.withColumn("p_toxic", softmax(F.col("logits"))[1]).withColumn(
         "pred", (F.col("logits")[1] > F.col("logits")[0]).cast("int")
     ).drop("logits")

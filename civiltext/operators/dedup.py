@@ -26,9 +26,8 @@ THRESHOLD = 0.80
 SWEEP = tuple(round(0.20 + 0.05 * i, 2) for i in range(16))
 BLOCK_TOKENS = 32_768
 PLANS_AT_ONCE = 4
-SPREAD = 64  # tasks a hot key is spread over
-MIN_LOAD = 100_000  # smaller keys are never worth spreading
-HOT_SHARE = 512  # a key is hot above 1/512 of all rows, hence at most 511 keys are
+ROWS_PER_TASK = 1_000_000  # a key with more rows is hot
+MOST_HOT = 20_000  # keys whose rows are joined by a broadcast, the largest ones
 
 
 @lru_cache(maxsize=None)
@@ -111,44 +110,33 @@ def lsh_buckets(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return signatures.select("row_id", F.posexplode(band_keys(threshold)).alias("band", "bucket"))
 
 
-def bucket_leaders(buckets: DataFrame, *carried: str) -> DataFrame:
-    """Per bucket its smallest row and its size; `carried` columns are the same within a bucket."""
-    return buckets.groupBy("bucket", *carried).agg(F.min("row_id").alias("leader"), F.count("*").alias("n_rows"))
+def bucket_leaders(buckets: DataFrame) -> DataFrame:
+    """Per bucket its smallest row and its size."""
+    return buckets.groupBy("bucket").agg(F.min("row_id").alias("leader"), F.count("*").alias("n_rows"))
 
 
-def _part(hot: Column) -> Column:
-    """Which of the tasks of a hot key a row goes to."""
-    return F.when(hot, F.pmod(F.xxhash64("row_id"), F.lit(SPREAD))).otherwise(0).cast("int")
-
-
-def _parts(hot: Column) -> Column:
-    """All tasks of a key."""
-    return F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-
-
-def spread_join(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+def spread_join(facts: DataFrame, lookup: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """Equi-join of `facts` with a `lookup` unique on `key`, safe when few keys hold most facts.
 
-    `lookup.n_rows` says how many facts its key has. Keys above 1/512 of the facts, 511 at
-    most, are broadcast; their facts are spread over `SPREAD` tasks by row id and their
-    lookup row is repeated that often. The result says in `hot` which keys those were.
+    `lookup.n_rows` says how many facts its key has. The lookup rows of hot keys, those with more facts than a task
+    should take, are broadcast, so that these facts are joined where they are; only the others are shuffled. The
+    broadcast has at most `MOST_HOT` rows; any hot keys beyond are the smaller ones, and AQE splits those.
     """
-    total = lookup.agg(F.sum("n_rows")).scalar()
-    sized = lookup.withColumn("hot", (F.col("n_rows") * HOT_SHARE > total) & (F.col("n_rows") >= MIN_LOAD))
-    hot = sized.filter("hot").select(key, "hot")
-    tagged = facts.join(F.broadcast(hot), key, "left").withColumn("part", _part(F.col("hot"))).drop("hot")
-    repeated = sized.withColumn("part", F.explode(_parts(F.col("hot")))).drop("n_rows")
-    return tagged.join(repeated, [key, "part"]).drop("part")
+    hot = lookup.filter(F.col("n_rows") > (rows_per_task or ROWS_PER_TASK)).orderBy(F.desc("n_rows")).limit(MOST_HOT)
+    hot = cut_lineage(hot.drop("n_rows"))
+    near = facts.join(F.broadcast(hot), key)
+    far = facts.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup.drop("n_rows"), key)
+    return near.unionByName(far)
 
 
-def collision_leaders(buckets: DataFrame) -> DataFrame:
+def collision_leaders(buckets: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """`(row_id, leader, n_buckets)`: each row with the smallest rows of its buckets.
 
     This stands for the list of colliding pairs: a bucket of m rows yields m - 1 pairs, not m^2.
     """
     leaders = bucket_leaders(buckets).filter("n_rows > 1")
     return (
-        spread_join(buckets, leaders, "bucket")
+        spread_join(buckets, leaders, "bucket", rows_per_task)
         .filter(F.col("leader") != F.col("row_id"))
         .groupBy("row_id", "leader").agg(F.count("*").alias("n_buckets"))
     )
@@ -167,8 +155,8 @@ def jaccard_estimate(pairs: DataFrame, signatures: DataFrame, num_perm: int = NU
     other = load.join(
         signatures.select(F.col("row_id").alias("leader"), F.col("signature").alias("other")), "leader"
     )
-    both = spread_join(own, other, "leader")
-    return both.withColumn("sim", similarity(F.col("own"), F.col("other"), num_perm)).drop("own", "other", "hot")
+    both = spread_join(cut_lineage(own), other, "leader")
+    return both.withColumn("sim", similarity(F.col("own"), F.col("other"), num_perm)).drop("own", "other")
 
 
 def collapse_copies(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,12 +170,12 @@ def collapse_copies(signatures: DataFrame, threshold: float = THRESHOLD) -> Data
 
 
 def contested_rows(rows: DataFrame) -> DataFrame:
-    """`(row_id, keys)` of the rows that share a bucket, with only the shared buckets and whether they are hot."""
+    """`(row_id, keys)` of the rows that share a bucket, with only the shared buckets."""
     members = rows.select("row_id", F.explode("keys").alias("bucket"))
     shared = bucket_leaders(members).filter("n_rows > 1").select("bucket", "n_rows")
     return (
         spread_join(members, shared, "bucket")
-        .groupBy("row_id").agg(F.collect_list(F.struct("bucket", "hot")).alias("keys"))
+        .groupBy("row_id").agg(F.collect_list("bucket").alias("keys"))
     )
 
 
@@ -197,16 +185,12 @@ def greedy_round(open_rows: DataFrame) -> DataFrame:
     A row leading all its buckets has no undecided earlier neighbour and is kept; everyone
     else in its buckets is dropped.
     """
-    members = open_rows.select("row_id", F.explode("keys").alias("k")).select("row_id", "k.bucket", "k.hot")
-    leaders = bucket_leaders(members, "hot")
+    members = open_rows.select("row_id", F.explode("keys").alias("bucket"))
+    leaders = bucket_leaders(members)
     led = leaders.groupBy(F.col("leader").alias("row_id")).agg(F.count("*").alias("n_led"))
     kept = open_rows.select("row_id", F.size("keys").alias("degree")).join(led, "row_id").filter("n_led = degree")
-    closed = leaders.join(kept.select(F.col("row_id").alias("leader")), "leader", "left_semi").select(
-        "bucket", F.explode(_parts(F.col("hot"))).alias("part")
-    )
-    hit = members.select("row_id", "bucket", _part(F.col("hot")).alias("part")).join(
-        closed, ["bucket", "part"], "left_semi"
-    )
+    closed = leaders.join(kept.select(F.col("row_id").alias("leader")), "leader", "left_semi").select("bucket", "n_rows")
+    hit = spread_join(members, closed, "bucket")
     states = hit.select("row_id", F.lit("dropped").alias("state")).unionByName(
         kept.select("row_id", F.lit("kept").alias("state"))
     ).groupBy("row_id").agg(F.max("state").alias("state"))
@@ -217,7 +201,8 @@ def greedy_kept(contested: DataFrame) -> DataFrame:
     """Ids of the contested rows that the walk keeps; `contested` is read once per round.
 
     Each round decides at least the smallest open row, so the loop ends; the number of
-    rounds is the longest chain of rows waiting for one another, typically a handful.
+    rounds is half the longest chain of rows waiting for one another, so a long history of slightly changed copies takes
+    many; `decided` of each is stored.
     """
     kept_parts, open_rows = [contested.filter("false").select("row_id")], contested
     while not open_rows.isEmpty():

@@ -30,13 +30,15 @@ def tfidf_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def term_counts(terms: DataFrame) -> DataFrame:
     """`(term, df, tf)`: rows that contain the term and its occurrences, in a single shuffle."""
-    marks = F.concat(
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("row"))),
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("row"))),
+    ordered = terms.select(F.array_sort("terms").alias("terms"))
+    # the first of each run of equal terms stands for the row
+    first = F.transform(
+        "terms",
+        lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("row")),
     )
     return (
-        terms.select(F.explode(marks).alias("m")).groupBy(F.col("m.term").alias("term"))
-        .agg(F.sum(F.col("m.row")).alias("df"), F.sum(1 - F.col("m.row")).alias("tf"))
+        ordered.select(F.explode(first).alias("m")).groupBy(F.col("m.term").alias("term"))
+        .agg(F.sum(F.col("m.row")).alias("df"), F.count("*").alias("tf"))
     )
 
 
@@ -99,10 +101,7 @@ def tfidf_rows(df: DataFrame, model: PipelineModel) -> DataFrame:
     terms = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
     vector = F.unwrap_udt("features")
     entries = F.arrays_zip(vector["indices"].alias("position"), vector["values"].alias("weight"))
-    vocab = F.array(*[F.lit(t) for t in terms]) if len(terms) <= 64 else None
     long = model.transform(df.select("row_id", "text")).select("row_id", F.explode(entries).alias("e"))
-    if vocab is not None:
-        return long.select("row_id", F.element_at(vocab, F.col("e.position") + 1).alias("term"), "e.weight")
     names = df.sparkSession.createDataFrame(list(enumerate(terms)), "position INT, term STRING")
     return long.select("row_id", "e.position", "e.weight").join(
         F.broadcast(names), "position"  # at most max_features rows

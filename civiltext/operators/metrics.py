@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civiltext.functions.once import evaluated_once
+from civiltext.session import cut_lineage
 
 # The threshold grid, whose step carries the float error of (0.10 + 0.01) - 0.10.
 FIRST_THRESHOLD = 0.10
@@ -18,7 +19,7 @@ THRESHOLD_STEP = (0.10 + 0.01) - 0.10
 N_THRESHOLDS = 81
 DEFAULT_THRESHOLD = 0.5
 
-SCORE_SLICES = 128
+SCORES_PER_SLICE = 100_000
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -70,18 +71,19 @@ def error_rates(df: DataFrame, y: str = "y", pred: str = "pred", by: tuple[str,
     return with_error_rates(confusion(df, y, pred, by))
 
 
-def pr_auc(df: DataFrame, y: str = "y", p: str = "p_toxic", slices: int = SCORE_SLICES) -> DataFrame:
+def pr_auc(df: DataFrame, y: str = "y", p: str = "p_toxic", scores_per_slice: int = SCORES_PER_SLICE) -> DataFrame:
     """Average precision: precision at each distinct score times the recall gained there.
 
     Running counts over all scores would be one task. Distinct scores are cut at their own
-    quantiles into slices of like size; each slice runs its own window and starts from the
-    totals of the slices above it, a table of at most `slices + 1` rows.
+    quantiles into slices of about `scores_per_slice`; each slice runs its own window and
+    starts from the totals of the slices above it, a table of one row per slice.
     """
-    scores = df.groupBy(F.col(p).alias("p")).agg(
+    scores = cut_lineage(df.groupBy(F.col(p).alias("p")).agg(
         F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos")
-    )
-    cuts = [i / slices for i in range(1, slices)]
-    edges = scores.agg(F.percentile_approx("p", cuts, 10_000)).scalar()
+    ))
+    slices = -(-scores.count() // scores_per_slice) or 1
+    cuts = [i / slices for i in range(1, slices)] or [1.0]
+    edges = scores.agg(F.percentile_approx("p", cuts, max(10_000, 10 * slices))).scalar()
     sliced = (
         scores.withColumn("edges", edges)
         .withColumn("slice", evaluated_once(F.size(F.filter("edges", lambda e: e < F.col("p")))))
@@ -97,7 +99,7 @@ def pr_auc(df: DataFrame, y: str = "y", p: str = "p_toxic", slices: int = SCORE_
         )
     )
     running = W.partitionBy("slice").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    steps = sliced.join(F.broadcast(starts), "slice").select(
+    steps = sliced.join(starts, "slice").select(
         "pos",
         (F.col("n_above") + F.sum("n").over(running)).alias("seen"),
         (F.col("pos_above") + F.sum("pos").over(running)).alias("hits"),

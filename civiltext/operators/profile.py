@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civiltext.functions import text as rules
 from civiltext.operators.cleaning import MIN_LENGTH, traced_clean
+from civiltext.session import cut_lineage
 
 # What the reports count, which is not always what a rule rewrites.
 PROBES = {
@@ -54,11 +55,11 @@ def stats_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("y").alias("n"), F.avg("y").alias("toxic_rate"))
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Counts and percentages, largest first, equal counts by value."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    total = df.agg(F.count(column)).scalar()
-    return counts.withColumn("percent", F.round(F.col("n") * 100 / total, 1)).orderBy(F.desc("n"), column)
+def value_counts(df: DataFrame, column: str, by_value: bool = False) -> DataFrame:
+    """Counts and percentages, largest first and equal counts by value, or all by value."""
+    counts = cut_lineage(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")))
+    shares = counts.withColumn("percent", F.round(F.col("n") * 100 / counts.agg(F.sum("n")).scalar(), 1))
+    return shares.orderBy(column) if by_value else shares.orderBy(F.desc("n"), column)
 
 
 def length_stats(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:

@@ -42,9 +42,12 @@ class HashCut:
 
 
 def class_counts(df: DataFrame, class_col: str = "y") -> dict[int, int]:
-    """Rows per class; at most one row per class reaches the driver."""
-    rows = df.filter(F.col(class_col).isin(*CLASSES)).groupBy(class_col).count().collect()
-    return {row[0]: row[1] for row in sorted(rows)}
+    """Rows per class. A value that is no class is an error, and so is a missing one."""
+    other = F.when(F.col(class_col).isin(*CLASSES), F.col(class_col))
+    rows = {row[0]: row[1] for row in df.groupBy(other).count().collect()}  # one row per class, one for all others
+    if None in rows:
+        raise ValueError(f"{rows[None]} rows whose {class_col} is none of {', '.join(map(str, CLASSES))}")
+    return dict(sorted(rows.items()))
 
 
 def allocate(counts: dict[int, int], size: int) -> dict[int, int]:

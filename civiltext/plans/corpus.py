@@ -9,7 +9,8 @@ from civiltext.operators import profile
 from civiltext.operators.cleaning import apply_rules, drop_missing
 from civiltext.operators.sampling import make_splits
 from civiltext.plans import inputs
-from civiltext.plans.inputs import EXTRA, with_ctes
+from civiltext.functions.hashing import text_hash
+from civiltext.plans.inputs import hash_sql, with_ctes
 from civiltext.session import scratch_path
 from civiltext.sources import artifacts, corpus as sources
 
@@ -34,14 +35,16 @@ def any_of_flags(spark, sf_dir):
 
 def csv_multilabel_round_trip(spark, sf_dir):
     path = scratch_path(spark, "multilabel")
-    _flags(spark, sf_dir).drop("row_id").write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
+    _flags(spark, sf_dir).withColumnRenamed("row_id", "id").write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
     read = sources.read_multilabel_csv(spark, path, source="flags")
     return read.groupBy("source", "text", "y").agg(F.count("*").alias("n"))
 
 
 def csv_binary_round_trip(spark, sf_dir):
     path = scratch_path(spark, "binary")
-    rows = inputs.corpus(spark, sf_dir).select(F.col("text").alias("comment"), F.col("y").cast("double").alias("toxic"))
+    rows = inputs.corpus(spark, sf_dir).select(
+        F.col("row_id").alias("id"), F.col("y").cast("double").alias("toxic"), F.col("text").alias("comment")
+    )
     rows.write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
     read = sources.read_binary_csv(spark, path, "comment", "toxic", "binary")
     return read.groupBy("source", "text", "y").agg(F.count("*").alias("n"))
@@ -77,15 +80,15 @@ def label_mapping(spark, sf_dir):
 
 
 def _four_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Documents, assistant and user turns, and pages in the unified schema."""
+    """Documents, turns of the assistant and of all others, and pages in the unified schema."""
     docs = inputs.table(spark, sf_dir, "documents").join(inputs.table(spark, sf_dir, "labels"), "doc_id", "left")
     turns = inputs.table(spark, sf_dir, "conversations")
-    turn_id = F.col("conv_id") * 1000 + F.col("turn")
-    user, assistant = (turns.filter(F.col("role") == r) for r in ("user", "assistant"))
+    turn_id = text_hash(F.concat_ws(":", "conv_id", "turn")) % STRIDE
+    said, answered = turns.filter("role <> 'assistant' OR role IS NULL"), turns.filter("role = 'assistant'")
     return [
         sources.to_unified(docs, "documents", F.col("text"), F.col("toxic"), F.col("doc_id")),
-        sources.to_unified(user, "user", F.col("text"), F.lit(0.0), turn_id),
-        sources.to_unified(assistant, "assistant", F.col("text"), F.lit(1.0), turn_id),
+        sources.to_unified(said, "conversations", F.col("text"), F.lit(0.0), turn_id),
+        sources.to_unified(answered, "assistant", F.col("text"), F.lit(1.0), turn_id),
         sources.to_unified(
             inputs.table(spark, sf_dir, "pages"), "pages", F.col("html"), (F.col("page_id") % 2), F.col("page_id")
         ),
@@ -117,7 +120,7 @@ def splits_round_trip(spark, sf_dir):
     path = scratch_path(spark, "splits")
     artifacts.write_splits(make_splits(inputs.corpus(spark, sf_dir)), path)
     read = artifacts.read_splits(spark, path + "-missing", path)
-    return read.filter("split = 'test'").select("row_id", "y", F.md5("text").alias("text_md5"))
+    return read.select("row_id", "y", "split", F.md5("text").alias("text_md5"))
 
 
 def corpus_overall(spark, sf_dir):
@@ -134,6 +137,10 @@ def source_value_counts(spark, sf_dir):
     return profile.value_counts(inputs.documents(spark, sf_dir), "source")
 
 
+def source_counts_by_name(spark, sf_dir):
+    return profile.value_counts(inputs.documents(spark, sf_dir), "source", by_value=True)
+
+
 def class_value_counts(spark, sf_dir):
     return profile.value_counts(inputs.labels(spark, sf_dir), "y")
 
@@ -181,10 +188,11 @@ _name_sql = "CASE row_id % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enu
 _mapped_sql = f"CASE WHEN {_name_sql} = 'NORMAL' THEN 0 ELSE 1 END"
 _line_text = f"trim(regexp_replace(text, '{LINE_BREAKS}', ' ', 'g') || ' ')"
 _lines_sql = f"SELECT row_id, 'lines' AS source, rtrim({_line_text}) AS text, {_mapped_sql} AS y FROM docs WHERE row_id % 9 <> 0 AND row_id % 11 <> 0"
+_turn_sql = f"""{hash_sql("concat_ws(':', conv_id, turn)")} % {STRIDE}"""
 _union_sql = f"""
 SELECT d.doc_id AS row_id, 'documents' AS source, d.text, l.toxic AS y FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-UNION ALL SELECT {STRIDE} + conv_id * 1000 + turn, 'user', text, 0 FROM conversations WHERE role = 'user'
-UNION ALL SELECT {2 * STRIDE} + conv_id * 1000 + turn, 'assistant', text, 1 FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT {STRIDE} + {_turn_sql}, 'conversations', text, 0 FROM conversations WHERE role <> 'assistant' OR role IS NULL
+UNION ALL SELECT {2 * STRIDE} + {_turn_sql}, 'assistant', text, 1 FROM conversations WHERE role = 'assistant'
 UNION ALL SELECT {3 * STRIDE} + page_id, 'pages', html, (page_id % 2)::INTEGER FROM pages"""
 _grouped = "GROUP BY source, text, y"
 
@@ -204,6 +212,7 @@ QUERIES = {
     "corpus_by_source": corpus_by_source,
     "source_value_counts": source_value_counts,
     "class_value_counts": class_value_counts,
+    "source_counts_by_name": source_counts_by_name,
     "length_by_class": length_by_class,
     "length_histogram": length_histogram,
     "truncated_texts": truncated_texts,
@@ -232,13 +241,15 @@ FROM ({_union_sql}) WHERE text IS NOT NULL AND y IS NOT NULL GROUP BY source""",
     "corpus_parquet_round_trip": with_ctes(("noisy_corpus",), "SELECT row_id, source, text, y FROM noisy_corpus"),
     "corpus_csv_round_trip": with_ctes(("noisy_corpus",), "SELECT row_id, source, text, y FROM noisy_corpus"),
     "splits_round_trip": with_ctes(
-        ("splits",), "SELECT row_id, y, md5(text) AS text_md5 FROM splits WHERE split = 'test'"
+        ("splits",), "SELECT row_id, y, split, md5(text) AS text_md5 FROM splits"
     ),
     "corpus_overall": with_ctes(("corpus",), "SELECT count(*) AS n, round(avg(y), 6) AS toxic_rate FROM corpus"),
     "corpus_by_source": with_ctes(
         ("corpus",), "SELECT source, count(y) AS n, round(avg(y), 6) AS toxic_rate FROM corpus GROUP BY source"
     ),
     "source_value_counts": with_ctes(("docs",), """SELECT source, count(*) AS n,
+  round(count(*)::DOUBLE * 100 / (SELECT count(source) FROM docs), 1) AS percent FROM docs WHERE source IS NOT NULL GROUP BY source"""),
+    "source_counts_by_name": with_ctes(("docs",), """SELECT source, count(*) AS n,
   round(count(*)::DOUBLE * 100 / (SELECT count(source) FROM docs), 1) AS percent FROM docs WHERE source IS NOT NULL GROUP BY source"""),
     "class_value_counts": with_ctes(("rows",), """SELECT y, count(*) AS n,
   round(count(*)::DOUBLE * 100 / (SELECT count(y) FROM rows), 1) AS percent FROM rows WHERE y IS NOT NULL GROUP BY y"""),

@@ -24,7 +24,15 @@ def lsh_buckets(spark, sf_dir):
 
 
 def collision_leaders(spark, sf_dir):
-    return dedup.collision_leaders(dedup.lsh_buckets(dedup.minhash_signature(inputs.documents(spark, sf_dir))))
+    sig = dedup.cut_lineage(dedup.minhash_signature(inputs.documents(spark, sf_dir)))
+    return dedup.collision_leaders(dedup.lsh_buckets(sig))
+
+
+def hot_bucket_leaders(spark, sf_dir):
+    """Leaders of buckets of which one holds a third of the rows, more than its tasks are to take."""
+    bucket = F.when(F.col("row_id") % 3 == 0, F.lit("hot")).otherwise(F.col("source"))
+    rows = inputs.documents(spark, sf_dir).select("row_id", bucket.alias("bucket"))
+    return dedup.collision_leaders(rows, rows_per_task=60)
 
 
 def collision_similarity(spark, sf_dir):
@@ -72,6 +80,7 @@ QUERIES = {
     "minhash_sampled_signatures": sampled_signatures,
     "lsh_buckets": lsh_buckets,
     "lsh_collision_leaders": collision_leaders,
+    "hot_bucket_leaders": hot_bucket_leaders,
     "lsh_collision_similarity": collision_similarity,
     "near_duplicates": near_duplicates,
     "near_duplicates_loose": near_duplicates_loose,
@@ -108,6 +117,9 @@ FROM (SELECT 1) LEFT JOIN (
 )
 
 SQL = {
+    "hot_bucket_leaders": with_ctes(("docs",), """, b AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'hot' ELSE source END AS bucket FROM docs),
+l AS (SELECT row_id, min(row_id) OVER (PARTITION BY bucket) AS leader FROM b)
+SELECT row_id, leader, 1::BIGINT AS n_buckets FROM l WHERE row_id <> leader"""),
     "dedup_threshold_sweep": with_ctes(("signatures",), f",\n{_sweep_ctes}\n{_sweep_rows}", recursive=True),
     "near_duplicates_loose": with_ctes(
         ("signatures",),

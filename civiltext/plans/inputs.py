@@ -13,10 +13,8 @@ from civiltext.functions import text as rules
 from civiltext.functions.hashing import NUM_PERM, PRIME, text_hash
 from civiltext.operators.dedup import THRESHOLD, band_plan
 from civiltext.operators.sampling import make_splits
-from civiltext.sources.corpus import spread_small_scan
 
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-EXTRA = 1_000_000_000_000  # offset between the id ranges of derived rows
+VARIANTS = 4  # rows derived from one document get the ids 4 * doc_id and on
 
 # Appended to text number doc_id modulo the length of the list.
 NOISE = (
@@ -34,8 +32,7 @@ SCORERS = {"blind": 0, "fair": 300, "sharp": 900}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small_scan(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +59,10 @@ def _with_noise(df: DataFrame) -> DataFrame:
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    whole = _with_noise(documents(spark, sf_dir)).select("row_id", "text")
-    only_tag = docs.select((F.col("doc_id") + EXTRA).alias("row_id"), F.concat(F.lit("<"), "source", F.lit(">")).alias("text"))
-    tiny = docs.select(
-        (F.col("doc_id") + 2 * EXTRA).alias("row_id"), F.concat(F.lit("<i>"), "lang", F.lit("</i>")).alias("text")
-    )
+    first = F.col("doc_id") * VARIANTS
+    whole = _with_noise(documents(spark, sf_dir)).select((F.col("row_id") * VARIANTS).alias("row_id"), "text")
+    only_tag = docs.select((first + 1).alias("row_id"), F.concat(F.lit("<"), "source", F.lit(">")).alias("text"))
+    tiny = docs.select((first + 2).alias("row_id"), F.concat(F.lit("<i>"), "lang", F.lit("</i>")).alias("text"))
     return whole.unionByName(only_tag).unionByName(tiny)
 
 
@@ -82,7 +78,7 @@ def multilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string"),
     )
     return docs.select("row_id", F.posexplode(variants).alias("variant", "text")).select(
-        (F.col("row_id") + F.col("variant") * F.lit(EXTRA)).alias("row_id"), "text"
+        (F.col("row_id") * VARIANTS + F.col("variant")).alias("row_id"), "text"
     )
 
 
@@ -245,17 +241,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": ((), """corpus AS (
   SELECT d.doc_id AS row_id, d.source, d.text, l.toxic AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""),
     "noisy": ((), f"""noisy AS (
-  SELECT doc_id AS row_id, {_noise_text} AS text FROM documents
-  UNION ALL SELECT doc_id + {EXTRA}, '<' || source || '>' FROM documents
-  UNION ALL SELECT doc_id + {2 * EXTRA}, '<i>' || lang || '</i>' FROM documents)"""),
+  SELECT doc_id * {VARIANTS} AS row_id, {_noise_text} AS text FROM documents
+  UNION ALL SELECT doc_id * {VARIANTS} + 1, '<' || source || '>' FROM documents
+  UNION ALL SELECT doc_id * {VARIANTS} + 2, '<i>' || lang || '</i>' FROM documents)"""),
     "noisy_corpus": ((), f"""noisy_corpus AS (
   SELECT d.doc_id AS row_id, d.source, {_noise_text.replace("text", "d.text").replace("doc_id", "d.doc_id")} AS text, l.toxic AS y
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""),
     "multilingual": ((), f"""multilingual AS (
-  SELECT doc_id AS row_id, text FROM documents
-  UNION ALL SELECT doc_id + {EXTRA}, translate(lower(text), '{LATIN}', '{CYRILLIC}') FROM documents
-  UNION ALL SELECT doc_id + {2 * EXTRA}, n_chars::VARCHAR FROM documents
-  UNION ALL SELECT doc_id + {3 * EXTRA}, NULL FROM documents)"""),
+  SELECT doc_id * {VARIANTS} AS row_id, text FROM documents
+  UNION ALL SELECT doc_id * {VARIANTS} + 1, translate(lower(text), '{LATIN}', '{CYRILLIC}') FROM documents
+  UNION ALL SELECT doc_id * {VARIANTS} + 2, n_chars::VARCHAR FROM documents
+  UNION ALL SELECT doc_id * {VARIANTS} + 3, NULL FROM documents)"""),
     "traced": (("noisy",), traced_ctes("noisy", "traced")),
     "traced_corpus": (("noisy_corpus",), traced_ctes("noisy_corpus", "traced_corpus")),
     "rows": ((), "rows AS (SELECT doc_id AS row_id, toxic AS y FROM labels)"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from civiltext.functions.text import detect_language
 from civiltext.operators import classifiers, compare, evaluation, metrics
 from civiltext.plans import inputs
-from civiltext.plans.inputs import EXTRA, SCORERS, score_sql, with_ctes
+from civiltext.plans.inputs import VARIANTS, SCORERS, score_sql, with_ctes
 from civiltext.session import scratch_path
 from civiltext.sources import artifacts
 
@@ -83,7 +83,7 @@ def error_rates(spark, sf_dir):
 
 def quality_by_language(spark, sf_dir):
     """Every labelled text and its Cyrillic transcription, sliced by detected language."""
-    texts = inputs.multilingual(spark, sf_dir).withColumn("doc_id", F.col("row_id") % EXTRA)
+    texts = inputs.multilingual(spark, sf_dir).withColumn("doc_id", F.floor(F.col("row_id") / VARIANTS))
     labels = inputs.labels(spark, sf_dir).withColumnRenamed("row_id", "doc_id")
     tagged = texts.withColumn("language", detect_language(F.col("text"))).drop("text").join(labels, "doc_id")
     sliced = metrics.metrics_by(_predicted(inputs.scored_by(tagged, "fair")), "language")
@@ -222,7 +222,7 @@ _at = {
 }
 _language_rows = f""", tagged AS (
   SELECT m.row_id, {inputs.language_sql('m.text')} AS language, l.toxic AS y
-  FROM multilingual m JOIN labels l ON l.doc_id = m.row_id % {EXTRA}),
+  FROM multilingual m JOIN labels l ON l.doc_id = m.row_id // {VARIANTS}),
 sliced AS (SELECT language, y, {score_sql('fair')} AS p_toxic FROM tagged)"""
 _source_sql = f""", by_doc AS (SELECT source, y, length(text) AS n_chars, {score_sql('fair')} AS p_toxic FROM corpus),
 per_model AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civiltext.operators import sampling
@@ -21,10 +22,15 @@ def undersampled(spark, sf_dir):
 
 
 def shuffled_order(spark, sf_dir):
-    """Position of each row after the reorder, found by counting, not by collecting."""
+    """Place of each row after the reorder among those whose key starts alike, as the ordered table has them."""
     ordered = sampling.shuffle(inputs.labels(spark, sf_dir))
-    key = sampling.order_key("row_id", "shuffle")
-    return ordered.select("row_id", key.alias("order_key"))
+    prefix = F.substring(sampling.order_key("row_id", "shuffle"), 1, 2)
+    placed = ordered.select("row_id", prefix.alias("prefix"), F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy("at"))
+    # rows of other prefixes stand before and after, so the smallest place of a prefix lies above all of the one before
+    bounds = placed.groupBy("prefix").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    apart = F.coalesce(F.lag("last").over(Window.orderBy("prefix")) < F.col("first"), F.lit(True))  # 256 rows
+    return placed.select("row_id", "prefix", place.alias("place")).join(bounds.select("prefix", apart.alias("apart")), "prefix")
 
 
 def split_rows(spark, sf_dir):
@@ -107,7 +113,9 @@ SQL = {
     "undersampled": with_ctes(("corpus",), """SELECT row_id, y FROM (
   SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('balance:42:' || row_id), row_id) AS k FROM corpus)
 WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM corpus GROUP BY y))"""),
-    "shuffled_order": with_ctes(("rows",), "SELECT row_id, md5('shuffle:42:' || row_id) AS order_key FROM rows"),
+    "shuffled_order": with_ctes(("rows",), """SELECT row_id, substr(k, 1, 2) AS prefix,
+  (row_number() OVER (PARTITION BY substr(k, 1, 2) ORDER BY k, row_id))::INTEGER AS place, true AS apart
+FROM (SELECT row_id, md5('shuffle:42:' || row_id) AS k FROM rows)"""),
     "test_split_rows": with_ctes(("splits",), "SELECT row_id, y, split FROM after_test"),
     "split_rows": with_ctes(("splits",), "SELECT row_id, y, split FROM splits"),
     "split_summary": with_ctes(("splits",), _summary),

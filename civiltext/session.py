@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,6 @@ def build_session(app: str = "civiltext", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
@@ -32,28 +30,32 @@ def build_session(app: str = "civiltext", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`.
+    """The folder for intermediate tables: `spark.checkpoint.dir`, which all executors share.
 
-    Only a local-mode session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would lose data with its executor, so it is an error.
+    A local session without that setting uses its warehouse folder; on a cluster it is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="civiltext-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
+        named = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/civiltext-{context.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder, in a part of its own for this session."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this session; results that still read them have to be written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store `df` reliably in the shared folder and continue from the stored copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store `df` as Parquet in the shared folder and continue from the stored copy, whose columns can be pruned."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -85,7 +85,7 @@ def promote(spark: SparkSession, src: str, dst: str) -> None:
     """Make the model and splits of an ablation the global checkpoint. Evaluate again afterwards."""
     try:
         if _files(spark, src).isEmpty():
-            raise ValueError(f"nothing to promote in {src}")
+            raise FileNotFoundError(f"nothing to promote in {src}")
     except AnalysisException as error:
         if _missing(error):
             raise FileNotFoundError(f"no ablation at {src}") from error

@@ -1,20 +1,24 @@
 """Reading differently labelled corpora into one schema, and writing them back.
 
 Unified schema: `row_id BIGINT, source STRING, text STRING, y INT` with y 1 for toxic.
-Ids are given on the scan itself, so they follow file order and need no shuffle.
+Ids follow the order of files and lines, however the files are split.
 """
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civiltext.functions.once import evaluated_once
 from civiltext.functions.text import SPACE_CHARS
 from civiltext.operators.cleaning import drop_na_literals
+from civiltext.session import cut_lineage
 
 # Label columns and markers of the input formats.
 TOXICITY_FLAGS = ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")
@@ -46,8 +50,7 @@ def label_map(label: Column, safe: str = SAFE_LABEL) -> Column:
     return F.when(label == safe, 0).otherwise(1)
 
 
-def to_unified(df: DataFrame, source: str, text: Column, y: Column, row_id: Column | None = None) -> DataFrame:
-    row_id = F.monotonically_increasing_id() if row_id is None else row_id
+def to_unified(df: DataFrame, source: str, text: Column, y: Column, row_id: Column) -> DataFrame:
     return df.select(
         row_id.cast("bigint").alias("row_id"),
         F.lit(source).alias("source"),
@@ -56,9 +59,71 @@ def to_unified(df: DataFrame, source: str, text: Column, y: Column, row_id: Colu
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Quoted CSV with line breaks inside cells. Such a file is one task: feed many files, not one."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+def numbered(scan: DataFrame) -> DataFrame:
+    """Adds `row_id`, the place of each row in the order of files (by path) and lines, to rows just read from files.
+
+    Spark packs blocks of files into tasks by size, so a number given by the task follows no order and changes with
+    the split size. Here each block of a file gets the number of rows before it, from one count per block, and a row
+    adds its place in the block.
+    """
+    tagged = scan.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    blocks = tagged.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # one row per block
+    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    offsets = cut_lineage(blocks.select("_file", "_block", (offset - F.col("_first")).alias("_offset")))
+    placed = tagged.join(offsets, ["_file", "_block"]).withColumn("row_id", F.col("_offset") + F.col("_at"))
+    return placed.drop("_file", "_block", "_at", "_offset")
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The names in the first line of a CSV file."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")]), ()))
+
+
+def _cell(name: str, kind: str) -> Column:
+    """A cell as its type; integers may be written as 1.0."""
+    cell = F.col(name)
+    if kind == "int":
+        cell = F.coalesce(cell.try_cast("int"), cell.try_cast("double").try_cast("int"))
+    return (cell if kind == "string" else cell.try_cast(kind)).alias(name)
+
+
+def read_csv(spark: SparkSession, path: str, columns: dict[str, str], number: bool = True) -> DataFrame:
+    """The named columns of CSV files with a header each, and the place of each row as `row_id`; `columns` maps names to types.
+
+    Spark maps a given schema by position, so every file's own header decides: files with the same header are read
+    together, as text, and columns are taken by name, wherever they stand and whatever else the files hold. Cells that
+    do not fit the type become null. Cells may hold line breaks; such a file is one task: feed many files, not one.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    by_header = defaultdict(list)
+    for row in files.collect():  # one name per file
+        if header := _header(spark, row.path):
+            by_header[header].append(row.path)
+    parts = []
+    for header, same in sorted(by_header.items()):
+        missing = [c for c in columns if c not in header]
+        if missing:
+            raise ValueError(f"no column {', '.join(missing)} in {same[0]}, which has {', '.join(header)}")
+        wanted = {header.index(c): c for c in columns}
+        schema = T.StructType([T.StructField(wanted.get(i, f"_column_{i}"), T.StringType()) for i in range(len(header))])
+        cells = spark.read.schema(schema).options(**CSV_OPTIONS).csv(sorted(same))
+        parts.append(cells.select(*[_cell(c, kind) for c, kind in columns.items()], "_metadata"))
+    if not parts:
+        names = {**columns, "row_id": "bigint"} if number else columns
+        return spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, kind in names.items()))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return numbered(rows).select(*columns, "row_id") if number else rows.select(*columns)
 
 
 def read_multilabel_csv(
@@ -68,26 +133,23 @@ def read_multilabel_csv(
     label_cols: tuple[str, ...] = TOXICITY_FLAGS,
     source: str = "multilabel",
 ) -> DataFrame:
-    schema = T.StructType([T.StructField(text_col, T.StringType())])
-    for name in label_cols:
-        schema.add(name, T.IntegerType())
-    return to_unified(read_csv(spark, path, schema), source, F.col(text_col), any_of(*label_cols))
+    rows = read_csv(spark, path, {text_col: "string", **dict.fromkeys(label_cols, "int")})
+    return to_unified(rows, source, F.col(text_col), any_of(*label_cols), F.col("row_id"))
 
 
 def read_binary_csv(
     spark: SparkSession, path: str, text_col: str, label_col: str, source: str
 ) -> DataFrame:
     """Text and one 0/1 label, written as an integer or a float."""
-    schema = T.StructType([T.StructField(text_col, T.StringType()), T.StructField(label_col, T.DoubleType())])
-    return to_unified(read_csv(spark, path, schema), source, F.col(text_col), F.col(label_col))
+    rows = read_csv(spark, path, {text_col: "string", label_col: "double"})
+    return to_unified(rows, source, F.col(text_col), F.col(label_col), F.col("row_id"))
 
 
-def parse_label_lines(lines: DataFrame, source: str, row_id: Column | None = None, safe: str = SAFE_LABEL) -> DataFrame:
+def parse_label_lines(lines: DataFrame, source: str, row_id: Column, safe: str = SAFE_LABEL) -> DataFrame:
     """`__label__NAME text` in column `value`; lines without the mark or without a space are no data.
 
     Only the first token is the label. Further labels of a line stay in the text.
     """
-    row_id = F.monotonically_increasing_id() if row_id is None else row_id
     edge = f"[{SPACE_CHARS}]+"
     line = F.regexp_replace(F.col("value"), rf"^{edge}|{edge}\z", "")
     trimmed = lines.select(row_id.alias("row_id"), evaluated_once(line).alias("line"))
@@ -103,7 +165,7 @@ def parse_label_lines(lines: DataFrame, source: str, row_id: Column | None = Non
 
 
 def read_fasttext(spark: SparkSession, path: str, source: str = "fasttext", safe_label: str = SAFE_LABEL) -> DataFrame:
-    return parse_label_lines(spark.read.text(path), source, safe=safe_label)
+    return parse_label_lines(numbered(spark.read.text(path).select("value", "_metadata")), source, F.col("row_id"), safe_label)
 
 
 def union_corpora(*corpora: DataFrame) -> DataFrame:
@@ -119,15 +181,6 @@ def union_corpora(*corpora: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), numbered)
 
 
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when a table has fewer splits than the session has cores.
-
-    A table of many files is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def write_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
@@ -144,5 +197,9 @@ def read_corpus(
     na_literals: str = "keep",
 ) -> DataFrame:
     """Read a written corpus; `na_literals="drop"` also drops texts such as `NA` or `null`."""
-    df = read_csv(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
+    if fmt == "csv":
+        fields = T._parse_datatype_string(schema).fields if isinstance(schema, str) else schema.fields
+        df = read_csv(spark, path, {f.name: f.dataType.simpleString() for f in fields}, number=False)
+    else:
+        df = spark.read.schema(schema).format(fmt).load(path)
     return drop_na_literals(df) if na_literals == "drop" else df

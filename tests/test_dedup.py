@@ -57,10 +57,9 @@ def test_known_shapes(spark):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_random_graphs_equal_the_walk(spark, monkeypatch, hot):
-    """Many small graphs side by side; with `hot`, every shared bucket takes the spread path."""
+    """Many small graphs side by side; with `hot`, every shared bucket of more than two rows takes the broadcast path."""
     if hot:
-        monkeypatch.setattr(dedup, "MIN_LOAD", 2)
-        monkeypatch.setattr(dedup, "HOT_SHARE", 10**9)
+        monkeypatch.setattr(dedup, "ROWS_PER_TASK", 2)
     rng, keys = random.Random(1), {}
     for graph in range(60):
         n, buckets = rng.randint(2, 14), rng.randint(1, 10)
@@ -70,7 +69,7 @@ def test_random_graphs_equal_the_walk(spark, monkeypatch, hot):
 
 
 def test_one_bucket_with_a_third_of_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "MIN_LOAD", 50)
+    monkeypatch.setattr(dedup, "ROWS_PER_TASK", 50)
     rng = random.Random(2)
     keys = {i: [f"a{i % 3 and i}", f"b{rng.randrange(400)}"] for i in range(600)}
     assert surviving(spark, keys) == walk(keys)[0]
@@ -138,8 +137,7 @@ def test_sample_signatures_caps_at_the_population(texts):
 @pytest.mark.parametrize("hot", [False, True])
 def test_leaders_and_similarity(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(dedup, "MIN_LOAD", 2)
-        monkeypatch.setattr(dedup, "HOT_SHARE", 10**9)
+        monkeypatch.setattr(dedup, "ROWS_PER_TASK", 2)
     rng = random.Random(3)
     keys = {i: [(b, f"{b}:{rng.randrange(6)}") for b in range(2)] for i in range(40)}
     table = [(i, b, k) for i, ks in keys.items() for b, k in ks]

@@ -59,7 +59,7 @@ def test_strict_default_and_inclusive_tuned_threshold(spark):
 @pytest.mark.parametrize("levels", [None, 10, 1])
 def test_average_precision(spark, levels):
     pairs = random_scores(700, 3, levels)
-    got = metrics.pr_auc(scored(spark, pairs), slices=16).first()[0]
+    got = metrics.pr_auc(scored(spark, pairs), scores_per_slice=20).first()[0]
     assert got == pytest.approx(average_precision(pairs), abs=1e-12)
 
 
