@@ -1,21 +1,8 @@
 import pytest
 
-from civiltext.session import build_session
-
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    shared = str(tmp_path_factory.mktemp("shared"))
-    session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false",
-        "spark.checkpoint.dir": shared,
-    })
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
-
 @pytest.fixture
 def tables(spark, tmp_path):
     """Writes small tables, with further columns whose names clash with those the operators make, and gives their folder."""
