@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from civiltext.functions.hashing import SEED
 from civiltext.functions.once import evaluated_once
 from civiltext.operators.features import fit_tfidf, term_stages, tidy_stage
+from civiltext.operators.linear import linear_model, toxic_probability
 from civiltext.operators.metrics import predict_default
 from civiltext.operators.sampling import class_counts, train_subset
 
@@ -101,9 +102,12 @@ def fit(kind: str, train: DataFrame, **options) -> PipelineModel:
 
 
 def predict_proba(model: PipelineModel | None, df: DataFrame) -> DataFrame:
-    """Adds `p_safe` and `p_toxic`."""
+    """Adds `p_safe` and `p_toxic`. TF-IDF with logistic regression is scored in arrays, other pipelines by their stages."""
     if model is None:
         raise ValueError("model is neither fitted nor loaded")
+    if (arrays := linear_model(model)) is not None:
+        scored = df.withColumn("p_toxic", evaluated_once(toxic_probability(arrays, F.col("text"))))
+        return scored.select(*df.columns, (1 - F.col("p_toxic")).alias("p_safe"), "p_toxic")
     scored = model.transform(df).withColumn("p", evaluated_once(vector_to_array("probability")))
     return scored.select(*df.columns, F.col("p")[0].alias("p_safe"), F.col("p")[1].alias("p_toxic"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
-from civiltext.operators import classifiers, compare, evaluation, features
+from civiltext.operators import classifiers, cleaning, compare, evaluation, features
 from civiltext.operators.sampling import make_splits
 from civiltext.sources import artifacts
 from civiltext.streaming.screening import screen
@@ -92,6 +92,29 @@ def test_scores_and_strict_label(model, splits):
     assert np.mean([labels[r.row_id] == r.y for r in rows]) > 0.9
 
 
+def test_array_scores_equal_the_stages(spark, model, corpus):
+    odd = [(500, "", 0), (501, "no term of it", 0), (502, "Awful awful STUPID, awful", 1), (503, "calm\nsunny x calm sunny", 0)]
+    rows = corpus.unionByName(spark.createDataFrame(odd, corpus.schema)).repartition(3)
+    staged = {r.row_id: r.probability[1] for r in model.transform(rows).select("row_id", "probability").collect()}
+    own = {r.row_id: r.p_toxic for r in classifiers.predict_proba(model, rows).collect()}
+    assert own.keys() == staged.keys() and all(own[i] == pytest.approx(staged[i], abs=1e-9) for i in own)
+    missing = rows.select("row_id", F.lit(None).cast("string").alias("text"))
+    assert {r.p_toxic for r in classifiers.predict_proba(model, missing).collect()} == {None}
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_reach_the_scan_and_models_run_once(spark, model, corpus, path):
+    corpus.withColumn("source", F.lit("web")).write.parquet(path("rows"))
+    rows = spark.read.parquet(path("rows"))
+    assert "EqualTo(source,web)" in executed(classifiers.predict_proba(model, rows).filter("source = 'web' AND p_toxic > 0.5"))
+    assert "EqualTo(source,web)" in executed(cleaning.clean_text(rows).filter("source = 'web'"))
+    for scored in (classifiers.predict(model, rows), classifiers.score_batches(rows, lambda: lambda texts: np.zeros((len(texts), 2), "float32"))):
+        assert executed(scored.filter("pred = 1")).count("EvalPython") == 1
+
+
 def test_external_linear_scorer_equals_the_model(model, splits):
     vocab = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
     idf = next(s for s in model.stages if hasattr(s, "getScalingVec")).getScalingVec().toArray()
