@@ -117,23 +117,27 @@ SELECT stage, before, after, before - after AS dropped, round((before - after) *
 
 # Runs of lone letters are put between marks (U+0001); separators go only inside the marks.
 _spaced = rf"(^|[^{rules.WORD_CHARS}])((?:\p{{L}}[ .*-]){{2,}}\p{{L}})($|[^{rules.WORD_CHARS}])"
-_deobfuscate_ctes = f""", spelled AS (SELECT row_id, text || ' 1 y-o-u a.r.e aaan 1d10000t i d i o t; ' || 'соrе' AS text FROM docs),
-marked AS (SELECT *, string_split(regexp_replace(text, '{_spaced}', '\\1\x01\\2\x01\\3', 'g'), '\x01') AS parts FROM spelled),
+DEOBFUSCATE_CTES = f"""marked AS (SELECT *, string_split(regexp_replace(text, '{_spaced}', '\\1\x01\\2\x01\\3', 'g'), '\x01') AS parts FROM spelled),
 joined AS (
   SELECT *, array_to_string(list_transform(parts, lambda p, i:
     CASE WHEN i % 2 = 0 THEN regexp_replace(p, '[ .*-]', '', 'g') ELSE p END), '') AS j FROM marked),
 lettered AS (SELECT *, string_split(translate(j, '{rules.LEET_CHARS}', '{rules.LEET_LETTERS}'), '') AS c FROM joined),
 squeezed AS (
   SELECT *, array_to_string(list_filter(c, lambda x, i: NOT (regexp_matches(x, '\\p{{L}}') AND i > 1 AND c[i - 1] = x AND (
-    (i > 2 AND c[i - 2] = x) OR (i < len(c) AND c[i + 1] = x)))), '') AS s FROM lettered)
-SELECT row_id, CASE WHEN {inputs.language_sql("text")} = 'English'
-  THEN translate(s, '{rules.LOOKALIKE_CYRILLIC}', '{rules.LOOKALIKE_LATIN}') ELSE s END AS text FROM squeezed"""
+    (i > 2 AND c[i - 2] = x) OR (i < len(c) AND c[i + 1] = x)))), '') AS s FROM lettered)"""
+# of `squeezed`, the last of them
+DEOBFUSCATED = f"""CASE WHEN {inputs.language_sql("text")} = 'English'
+  THEN translate(s, '{rules.LOOKALIKE_CYRILLIC}', '{rules.LOOKALIKE_LATIN}') ELSE s END"""
+_deobfuscate_ctes = f""", spelled AS (SELECT row_id, text || ' 1 y-o-u a.r.e aaan 1d10000t i d i o t; ' || 'соrе' AS text FROM docs),
+{DEOBFUSCATE_CTES}
+SELECT row_id, {DEOBFUSCATED} AS text FROM squeezed"""
 
-_stress_sql = f"""SELECT row_id, CASE ('0x' || substr(md5('stress:42:' || row_id), 1, 4))::BIGINT % 4
+STRESSED = f"""CASE ('0x' || substr(md5('stress:42:' || row_id), 1, 4))::BIGINT % 4
   WHEN 0 THEN {replace_all('text', r'(\p{L})', r'\1 ')}
   WHEN 1 THEN {replace_all('text', f'([{rules.VOWELS}])', r'\1\1\1')}
   WHEN 2 THEN translate(text, 'oieast', '013457')
-  ELSE translate(text, '{rules.LOOKALIKE_LATIN}', '{rules.LOOKALIKE_CYRILLIC}') END AS text FROM docs"""
+  ELSE translate(text, '{rules.LOOKALIKE_LATIN}', '{rules.LOOKALIKE_CYRILLIC}') END"""
+_stress_sql = f"SELECT row_id, {STRESSED} AS text FROM docs"
 
 _on_pages = ("html_tags", "html_entities", "urls")
 _on_noisy = ("html_tags", "urls", "control", "whitespace", "quotes", "wiki_meta", "ips", "emails", "replacement_char")

