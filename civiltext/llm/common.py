@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiltext.session import scratch_path
 
+CHUNK = 4 << 20
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,3 +54,15 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the given values only."""
     return (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
+
+
+def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[pa.Array]:
+    """Slices of at most `limit` bytes, or of one longer text: what Python holds of a batch is bounded by bytes, not by rows."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+    pa.default_memory_pool().release_unused()
