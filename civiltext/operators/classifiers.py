@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from civiltext.functions.hashing import SEED
 from civiltext.functions.once import evaluated_once
+from civiltext.functions.text import word_tokens
 from civiltext.operators.features import fit_tfidf, term_stages, tidy_stage
 from civiltext.operators.linear import linear_model, toxic_probability
 from civiltext.operators.metrics import predict_default
@@ -29,6 +30,8 @@ BATCH_SIZE = 64
 SUBSET_SIZE = 100_000
 
 TOLERANCE = 1e-5
+ROWS_PER_PART = 50_000  # of word vectors, which are trained per part and averaged
+MAX_WORDS = 100_000  # with a vector
 
 
 def class_weights(df: DataFrame) -> DataFrame:
@@ -71,14 +74,24 @@ def dense_fit(
     train: DataFrame, vector_size: int = 32, hidden: int = 16, max_iter: int = 50, min_count: int = 5,
     seed: int = SEED,
 ) -> PipelineModel:
-    """Averaged word vectors and a small perceptron: the high-capacity end of the study on MLlib stages."""
+    """Averaged word vectors and a small perceptron: the high-capacity end of the study on MLlib stages.
+
+    Vectors are trained in as many parts as the rows need, for the words that occur `min_count` times or, if more than
+    `MAX_WORDS` do, for those that are more frequent than the first word beyond; that bounds what the driver gathers.
+    """
+    counts = train.select(F.explode(word_tokens(F.col("text"))).alias("word")).groupBy("word").count()
+    beyond = counts.filter(F.col("count") >= min_count).orderBy(F.desc("count")).offset(MAX_WORDS).limit(1).first()
+    parts = -(-train.count() // ROWS_PER_PART) or 1
     stages = [
-        *term_stages(),
-        Word2Vec(inputCol="words", outputCol="features", vectorSize=vector_size, minCount=min_count, seed=seed),
+        term_stages()[0],
+        Word2Vec(
+            inputCol="words", outputCol="features", vectorSize=vector_size, seed=seed, numPartitions=parts,
+            minCount=beyond["count"] + 1 if beyond else min_count,
+        ),
         MultilayerPerceptronClassifier(
             featuresCol="features", labelCol="y", layers=[vector_size, hidden, 2], maxIter=max_iter, seed=seed
         ),
-        tidy_stage("words", "pairs", "terms", "features", "rawPrediction"),
+        tidy_stage("words", "features", "rawPrediction"),
     ]
     return Pipeline(stages=stages).fit(train)
 
