@@ -9,9 +9,12 @@ what both dictionaries hold, so that even a short one compresses. Shares and cou
 windows that save at least so many bytes, calibrated by a logistic regression, give the
 score.
 
+Matches of so short an input reach back about a kilobyte, so the dictionaries stay below that,
+with the pieces at their end.
+
 The model is trained from at most `TOXIC_ROWS` and `ORDINARY_ROWS` labelled rows, those with
 the smallest hash of the id, weighed to the numbers of all labelled rows. Its dictionaries
-have a few kilobytes, whatever the corpus holds. All windows of all texts are scored.
+have the same few bytes whatever the corpus holds. All windows of all texts are scored.
 
 A null text counts as empty and has one empty window. Of several labels of an id the largest
 counts, null labels and labels without a document are left out. Without rows of both classes
@@ -25,19 +28,19 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import documents, id_remainder
+from civiltext.llm.common import chunks, documents, id_remainder
 
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 4500
 WINDOW = 24  # bytes at which a window is full
 LONGEST = 48  # longer words are cut
-LEVEL = 3
-COMMON_WORDS = 400
+LEVEL, WINDOW_LOG = 1, 12
+COMMON_WORDS = 100
 PIECES = 60
 GRAMS = (5, 7)
 LEAST = 5  # occurrences of a piece, up to three per text
@@ -75,10 +78,10 @@ class Constant:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    dictionary.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(
-        level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False
+    parameters = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, window_log=WINDOW_LOG, write_content_size=False, write_checksum=False, write_dict_id=False
     )
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -172,7 +175,7 @@ def fit(toxic: list[str | None], ordinary: list[str | None], n_toxic: int | None
     further = b" ".join(words[COMMON_WORDS : COMMON_WORDS + 5 * PIECES])[: len(special)]
     anchor = shared[-ANCHOR:]
     # a dictionary of under eight bytes is none
-    model = Model(*(c + shared + b" " * 8 for c in (special, further)), anchor, *(np.zeros(0),) * 3)
+    model = Model(*(shared + c + b" " * 8 for c in (special, further)), anchor, *(np.zeros(0),) * 3)
     x = np.array([measures(model.savings(windows_of(t))) for t in [*ones, *others]])
     y = np.repeat([1.0, 0.0], [len(ones), len(others)])
     weight = np.repeat([n_toxic / len(ones), n_ordinary / len(others)], [len(ones), len(others)])
@@ -208,11 +211,11 @@ def with_scores(docs: DataFrame, model: Model | Constant, text: str = "text", in
     """`docs` with a column `into`, which takes the place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([score(shared.value, t) for t in texts], dtype="float64")
+            yield pa.array([score(shared.value, t) for part in chunks(texts) for t in part.to_pylist()], pa.float64())
 
-    return docs.withColumn(into, F.pandas_udf(scored, "double")(text))
+    return docs.withColumn(into, F.arrow_udf(scored, "double")(text))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
