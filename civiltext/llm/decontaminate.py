@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import documents, stored
+from civiltext.llm.common import bound_batches, chunks, documents, stored
 
 RUN = 5
 COVERAGE = 0.6
@@ -60,16 +60,24 @@ def _seeds(texts: list[str | None], run: int = RUN) -> tuple[np.ndarray, np.ndar
     return rolled[whole].view(np.int64), bounds
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    start = 0
+    for part in chunks(batch.column("text")):
+        yield batch.slice(start, len(part))
+        start += len(part)
+
+
 def _slot(seeds: np.ndarray) -> np.ndarray:
     return (seeds.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def seed_lists(rows: DataFrame, keep: np.ndarray | None = None, run: int = RUN) -> DataFrame:
     """`rows (id, key, text)` as `(id, key, n_words, places, seeds)`; with a bitmap, only seeds that pass it and rows that have some."""
+    bound_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(keep) if keep is not None else None
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             seeds, bounds = _seeds(batch.column("text").to_pylist(), run)
             at = np.arange(len(seeds))
             if shared is not None:

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import documents, free_name, id_remainder
+from civiltext.llm.common import bound_batches, chunks, documents, free_name, id_remainder
 
 UNKNOWN = "und"
 PROFILE = 400
@@ -174,13 +174,19 @@ def train(docs: DataFrame, id_column: str, language: str, per_language: int = PE
 
 def identify(docs: DataFrame, model: Profiles, text: str = "text", into: str = "language") -> DataFrame:
     """`docs` with a column `into (lang_pred, score, distance)`, which takes the place of one of that name."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame(predict(shared.value, texts.tolist()), columns=["lang_pred", "score", "distance"])
-
-    return docs.withColumn(into, F.pandas_udf(scored, "lang_pred string, score double, distance double")(text))
+            found = [row for part in chunks(texts) for row in predict(shared.value, part.to_pylist())]
+            names, scores, distances = zip(*found) if found else ((), (), ())
+            yield pa.StructArray.from_arrays(
+                [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(distances, pa.float64())],
+                names=["lang_pred", "score", "distance"],
+            )
+
+    return docs.withColumn(into, F.arrow_udf(scored, "lang_pred string, score double, distance double")(text))
 
 
 def split_model(spark: SparkSession, docs: DataFrame) -> Profiles:

@@ -21,13 +21,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import documents
+from civiltext.llm.common import bound_batches, chunks, documents
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, number of the kind, stop
@@ -356,19 +355,20 @@ def joined(spans: list[Span]) -> str:
 
 def scan(docs: DataFrame, field: Field | None = None, into: str = "found") -> DataFrame:
     """`docs` with a column `into`, in place of one of that name: counts of the patterns' spans per kind, their list, and the list of all spans."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
 
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            spans = all_spans(shared.value, ["" if t is None else t for t in texts])
+            spans = [s for part in chunks(texts) for s in all_spans(shared.value, pc.fill_null(part, "").to_pylist())]
             counts = np.array([np.bincount([k for _, k, _ in base], minlength=len(KINDS)) for base, _ in spans]).reshape(-1, len(KINDS))
-            yield pd.DataFrame({
-                **{f"n_{kind}": counts[:, k] for k, kind in enumerate(KINDS)},
-                "base": [joined(base) for base, _ in spans], "spans": [joined(every) for _, every in spans],
-            })
+            columns = {f"n_{kind}": pa.array(counts[:, k], pa.int64()) for k, kind in enumerate(KINDS)}
+            columns["base"] = pa.array([joined(base) for base, _ in spans], pa.string())
+            columns["spans"] = pa.array([joined(every) for _, every in spans], pa.string())
+            yield pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     schema = ", ".join(f"n_{kind} bigint" for kind in KINDS) + ", base string, spans string"
-    return docs.withColumn(into, F.pandas_udf(found, schema)("text"))
+    return docs.withColumn(into, F.arrow_udf(found, schema)("text"))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

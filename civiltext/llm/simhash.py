@@ -21,11 +21,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import documents, stored
+from civiltext.llm.common import bound_batches, chunks, documents, stored
 from civiltext.llm.components import connected_components
 
 SHINGLE = 3
@@ -57,12 +58,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_column: str, shingle: int = SHINGLE) -> DataFrame:
     """`(id, fp)`: fingerprints as signed 64-bit numbers. A null text has no words."""
 
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    bound_batches(docs.sparkSession)
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            values = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
-            yield pd.Series(values.astype(np.int64))
+            values = [fingerprint(t, shingle) for part in chunks(texts) for t in part.to_pylist()]
+            yield pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_column).alias("id"), F.pandas_udf(signed, "bigint")("text").alias("fp"))
+    return docs.select(F.col(id_column).alias("id"), F.arrow_udf(signed, "bigint")("text").alias("fp"))
 
 
 def _signed(value: int) -> int:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from civiltext.llm.common import chunks, documents, stored
+from civiltext.llm.common import bound_batches, chunks, documents, stored
 from civiltext.session import scratch_path
 
 END_ID = 1
@@ -75,7 +75,6 @@ class Encoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _split(self, word: str) -> list[str]:
@@ -89,19 +88,19 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         split = [self._split(w) for w in words]
-        new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.pieces))
+        new = list(dict.fromkeys(p for pieces in split for p in pieces))
         texts = [" ".join(new[i : i + 256]) for i in range(0, len(new), 256)]
         encoded = self.model.encode_batch_fast(texts, add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, dtype=self.dtype) for e in encoded] or [np.zeros(0, self.dtype)])
         stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
         if len(stops) != len(new):
             raise ValueError("the vocabulary has no mark at the end of each piece")
-        raw, start = ids.tobytes(), 0
+        raw, start, known = ids.tobytes(), 0, {}
         for piece, stop in zip(new, stops):
-            self.pieces[piece] = raw[start:stop]
+            known[piece] = raw[start:stop]
             start = stop
         for word, pieces in zip(words, split):
-            self.words[word] = self.pieces[pieces[0]] if len(pieces) == 1 else b"".join([self.pieces[p] for p in pieces])
+            self.words[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, without an end id, as little-endian numbers of `dtype`."""
@@ -112,7 +111,6 @@ class Encoder:
         names = coded.dictionary.to_pylist()
         if len(self.words) > MOST_CACHED:
             self.words.clear()
-            self.pieces.clear()
         self._learn([w for w in names if w and w not in self.words])
         parts = np.empty(len(names), dtype=object)
         parts[:] = [self.words[w] if w else b"" for w in names]
@@ -201,6 +199,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def write_tokens(docs: DataFrame, id_column: str, folder: str, tokenizer: str, end_id: int = END_ID, level: int = LEVEL) -> DataFrame:
     """Encode `docs (id, text)` into files in `folder`, which all executors share; returns the stored manifest, a row per file."""
+    bound_batches(docs.sparkSession)
     ordered = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
 

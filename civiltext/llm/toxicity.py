@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import chunks, documents, id_remainder
+from civiltext.llm.common import bound_batches, chunks, documents, id_remainder
 
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 4500
@@ -209,6 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
 
 def with_scores(docs: DataFrame, model: Model | Constant, text: str = "text", into: str = "score") -> DataFrame:
     """`docs` with a column `into`, which takes the place of one of that name."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
