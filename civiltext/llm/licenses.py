@@ -1,12 +1,16 @@
 """License scans: texts against license templates by the Dice coefficient of word bigrams.
 
-A text is compared as a whole, by its blocks between blank lines, and line by line, so that a
-license file, a header and a one-line notice are all found. A unit is normalised (lower case,
-letters and digits only) and seen as the set of its word pairs. For two sets of a and b pairs
-Dice is at most 2·min(a, b)/(a + b), so only templates within a size bound of the unit can
-reach the threshold, and units beyond all bounds, most of a corpus, are never compared. Of
-the templates that reach it the best one names the unit, ties by name. Native expressions
-only, each text within its row.
+A text is compared as a whole, by its blocks between blank lines, line by line, and by passages,
+so that a license file, a header, a one-line notice, a license of several paragraphs within a
+document and a notice in mid-line are all found. A unit is normalised (lower case, letters and
+digits only) and seen as the set of its word pairs. For two sets of a and b pairs Dice is at
+most 2·min(a, b)/(a + b), so only templates within a size bound of the unit can reach the
+threshold, and a text that lacks too many pairs of each template, as most of a corpus, is never
+compared. Of the templates that reach it the best one names the unit, ties by name.
+
+A passage is a stretch of words, of any begin and end, that is more like a template than those
+it overlaps. It counts unless a unit around it has the same license or is as much like its own.
+Native expressions only, each text within its row.
 
 A null or empty text has no license. Repeated rows stay; an empty table gives no rows.
 """
@@ -43,6 +47,7 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
+ALL_TEMPLATES = TEMPLATES
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -50,57 +55,133 @@ def words_of(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " ")), " ", -1)
 
 
-def pairs_of(words: Column) -> Column:
-    """Hashes of the different word pairs. Fewer than two words have none."""
+def hashes_of(words: Column) -> Column:
+    """Hashes of the word pairs in order. Fewer than two words have none."""
     joined = F.transform(
         F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1))
     )
-    return F.when(F.size(words) < 2, F.expr("CAST(array() AS array<bigint>)")).otherwise(F.array_distinct(joined))
+    return F.when(F.size(words) < 2, F.expr("CAST(array() AS array<bigint>)")).otherwise(joined)
+
+
+def pairs_of(words: Column) -> Column:
+    """Hashes of the different word pairs."""
+    return F.array_distinct(hashes_of(words))
 
 
-def prepared(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, list[int]]]:
+def prepared(spark: SparkSession, templates: tuple[tuple[str, str], ...] = ALL_TEMPLATES) -> list[tuple[str, list[int]]]:
     """Names and pairs of the templates, a fixed list."""
     rows = spark.createDataFrame(list(templates), "name string, text string")
     return [(r.name, sorted(r.pairs)) for r in rows.select("name", let(words_of(F.col("text")), pairs_of).alias("pairs")).collect()]
 
 
+def _longs(values: list[int]) -> str:
+    return f"array({', '.join(f'{v}L' for v in values)})"
+
+
 def matches(text: Column, templates: list[tuple[str, list[int]]], least: float = LEAST) -> Column:
-    """An array of `(unit, license, dice)`, units in order: the whole text, its blocks, its lines."""
+    """An array of `(unit, license, dice)`, units in order: the whole text, its blocks, its lines, passages."""
     sizes = [len(p) for _, p in templates]
-    shortest, longest = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
-    nothing = F.expr("CAST(NULL AS struct<dice: double, license: string>)")
-
-    def best(pairs: Column) -> Column:
-        found = []
-        for name, own in templates:
-            low, high = len(own) * least / (2 - least), len(own) * (2 - least) / least
-            common = F.size(F.array_intersect(pairs, F.array(*[F.lit(p) for p in own])))
-            dice = F.lit(2.0) * common / (F.size(pairs) + len(own))
-            found.append(
-                F.when((F.size(pairs) >= low) & (F.size(pairs) <= high), let(dice, lambda d: F.when(d >= least, F.struct(d.alias("dice"), F.lit(name).alias("license"))).otherwise(nothing)))
-            )
-        known = F.filter(F.array(*found), lambda x: x.isNotNull())
-        # the largest coefficient, then the first name
-        return let(F.array_sort(F.transform(known, lambda x: F.struct((-x["dice"]).alias("minus"), x["license"].alias("license")))), lambda a: F.get(a, 0))
+    # what has the least coefficient with a template shares so much of it, and has so many times its pairs at most
+    share, times = least / (2 - least), (2 - least) / least
+    shortest, longest = min(sizes) * share, max(sizes) * times
+    every = F.expr(_longs(sorted({p for _, own in templates for p in own})))
+    known = F.expr("array(" + ", ".join(f"named_struct('license', '{name}', 'pairs', {_longs(own)})" for name, own in templates) + ")")
+    nothing = F.expr("CAST(array() AS array<struct<unit: int, license: string, dice: double>>)")
+
+    def reachable(hashes: Column) -> Column:
+        """Templates of which the text holds enough pairs, wherever they are."""
+        enough = let(F.array_intersect(hashes, every), lambda c: F.when(
+            F.size(c) >= shortest, F.filter(known, lambda t: F.size(F.array_intersect(c, t["pairs"])) >= F.size(t["pairs"]) * share - 1e-9)
+        ))
+        return F.coalesce(enough, F.slice(known, 1, 0))
+
+    def minus_dice(pairs: Column, own: Column) -> Column:
+        return -(F.lit(2.0) * F.size(F.array_intersect(pairs, own)) / (F.size(pairs) + F.size(own)))
+
+    def judged(words: Column, near: Column) -> Column:
+        def best(pairs: Column) -> Column:
+            fitting = F.filter(near, lambda t: F.size(pairs).between(F.size(t["pairs"]) * share, F.size(t["pairs"]) * times))
+            scored = F.transform(fitting, lambda t: F.struct(minus_dice(pairs, t["pairs"]).alias("minus"), t["license"].alias("license")))
+            # the largest coefficient, then the first name
+            return F.get(F.array_sort(F.filter(scored, lambda x: -x["minus"] >= least)), F.lit(0))
 
-    def judged(unit: Column) -> Column:
         # words bound the number of pairs; a unit with too few needs no comparison
-        return let(
-            words_of(unit),
-            lambda w: F.when(F.size(w) - 1 >= shortest, let(pairs_of(w), lambda p: F.when(F.size(p).between(shortest, longest), best(p)))),
-        )
+        return F.when(F.size(words) - 1 >= shortest, let(pairs_of(words), lambda p: F.when(F.size(p).between(shortest, longest), best(p))))
+
+    def stretches(hashes: Column, template: Column) -> Column:
+        """Stretches from the begin of a run of the template's pairs to the end of one. The best stretch is one of them,
+        since a further pair of the template at either end never makes the coefficient smaller."""
+        own = template["pairs"]
+        most = F.floor(F.size(own) * times).cast("int")
+
+        def of(at: Column) -> Column:
+            places = F.transform(at, lambda x, k: F.struct(x.alias("at"), k.alias("k")))
+            first = F.filter(places, lambda x: (x["k"] == 0) | (F.get(at, x["k"] - 1) < x["at"] - 1))
+            last = F.filter(places, lambda x: (x["k"] == F.size(at) - 1) | (F.get(at, x["k"] + 1) > x["at"] + 1))
+
+            def ends(lasts: Column) -> Column:
+                return F.flatten(F.transform(first, lambda a, r: F.transform(
+                    F.filter(
+                        F.slice(lasts, r + 1, F.floor(most / 2).cast("int") + 1),
+                        lambda b, i: (b["k"] - a["k"] + 1 >= F.size(own) * share - 1e-9) & ((i == 0) | (b["at"] - a["at"] < most)),
+                    ),
+                    lambda b: F.struct(
+                        minus_dice(F.array_distinct(F.slice(hashes, a["at"], b["at"] - a["at"] + 1)), own).alias("minus"),
+                        (a["at"] - b["at"]).alias("minus_length"), template["license"].alias("license"), a["at"].alias("first"), b["at"].alias("last"),
+                    ),
+                )))
+
+            return let(last, ends)
+
+        return let(F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda i: F.array_contains(own, F.element_at(hashes, i))), of)
+
+    def passages(hashes: Column, near: Column) -> Column:
+        """Stretches that reach `least`, the best of those that overlap: by coefficient, length and name."""
+        found = F.filter(F.flatten(F.transform(near, lambda t: stretches(hashes, t))), lambda x: -x["minus"] >= least)
+        return let(F.array_sort(found), lambda s: F.aggregate(s, F.slice(s, 1, 0), lambda kept, x: F.when(
+            F.exists(kept, lambda k: (k["first"] <= x["last"]) & (x["first"] <= k["last"])), kept
+        ).otherwise(F.concat(kept, F.array(x)))))
+
+    def part_of_word(parts: Column) -> Column:
+        """For each word of the text the part that it is in."""
+        return F.flatten(F.transform(parts, lambda x, i: let(words_of(x), lambda w: F.array_repeat(i, F.when(F.get(w, F.lit(0)) == "", 0).otherwise(F.size(w))))))
 
     lines = F.split(text, "\n", -1)
     blocks = F.split(text, r"\n[\x20\t\r]*\n", -1)
-    units = F.concat(F.array(text), F.when(F.size(blocks) > 1, blocks).otherwise(F.array()), F.when(F.size(lines) > 1, lines).otherwise(F.array()))
-    named = let(units, lambda u: F.transform(u, lambda x, i: F.struct(i.alias("unit"), judged(x).alias("m"))))
-    return F.transform(
-        F.filter(named, lambda x: x["m"].isNotNull()),
-        lambda x: F.struct(x["unit"].alias("unit"), x["m"]["license"].alias("license"), (-x["m"]["minus"]).alias("dice")),
-    )
+
+    def compared(words: Column, hashes: Column, near: Column) -> Column:
+        parts = F.concat(F.when(F.size(blocks) > 1, blocks).otherwise(F.array()), F.when(F.size(lines) > 1, lines).otherwise(F.array()))
+        before_lines = F.when(F.size(blocks) > 1, F.size(blocks)).otherwise(0) + 1
+
+        def with_units(named: Column) -> Column:
+            def told(x: Column, in_block: Column, in_line: Column) -> Column:
+                """Whether a unit around the passage has its license, or is more like its own one."""
+                def same(parts: Column, of_word: Column, offset: Column) -> Column:
+                    a, b = F.element_at(of_word, x["first"]), F.element_at(of_word, x["last"] + 1)
+                    return F.when((F.size(parts) > 1) & (a == b), F.get(named, a + offset))
+
+                around = F.array(F.get(named, F.lit(0)), same(blocks, in_block, F.lit(1)), same(lines, in_line, before_lines))
+                return F.exists(around, lambda u: F.coalesce((u["license"] == x["license"]) | (u["minus"] <= x["minus"]), F.lit(False)))
+
+            def outside(found: Column) -> Column:
+                kept = let(part_of_word(blocks), lambda in_block: let(part_of_word(lines), lambda in_line: F.filter(found, lambda x: ~told(x, in_block, in_line))))
+                return F.transform(kept, lambda x, i: F.struct((F.size(named) + i).alias("unit"), x["license"].alias("license"), (-x["minus"]).alias("dice")))
+
+            numbered = F.transform(named, lambda m, i: F.struct(i.alias("unit"), m["license"].alias("license"), (-m["minus"]).alias("dice")))
+            return F.concat(
+                F.filter(numbered, lambda x: x["license"].isNotNull()),
+                let(passages(hashes, near), lambda found: F.when(F.size(found) > 0, outside(found)).otherwise(nothing)),
+            )
+
+        units = F.concat(F.array(judged(words, near)), F.transform(parts, lambda x: let(words_of(x), lambda w: judged(w, near))))
+        return let(units, with_units)
+
+    return let(words_of(text), lambda words: let(hashes_of(words), lambda hashes: let(
+        reachable(hashes), lambda near: F.when(F.size(near) > 0, compared(words, hashes, near)).otherwise(nothing)
+    )))
 
 
-def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str], ...] = TEMPLATES, into: str = "licenses") -> DataFrame:
+def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str], ...] = ALL_TEMPLATES, into: str = "licenses") -> DataFrame:
     """`docs` with a column `into (unit, license, dice)`, in place of one of that name."""
     own = prepared(docs.sparkSession, templates)
     others = [docs[c] for c in docs.columns if c != into]

@@ -333,6 +333,50 @@ def test_licenses(spark, tables):
     assert rows[1].best_dice == 1.0 and rows[2].n_units == 0
 
 
+def found_licenses(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return [sorted((x.license, round(x.dice, 3)) for x in r.licenses) for r in sorted(rows)]
+
+
+def test_licenses_within_documents(spark):
+    rng = random.Random(13)
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+    paragraphs = re.sub(r" (The above copyright|THE SOFTWARE IS PROVIDED)", r"\n\n\1", mit)
+    wrapped = re.sub(r"(.{40}\S*) ", "\\1\n * ", paragraphs)
+    assert paragraphs.count("\n\n") == 2
+    texts = [
+        f"{prose(rng, 300)}\n\n{paragraphs}\n\n{prose(rng, 400)}", f"/*\n * {wrapped}\n */\nint main() {{}}\n{prose(rng, 300)}", f"{mit}\n{prose(rng, 300)}",
+        "Released under the MIT License. Copyright 2021 Jane Doe", "Licensed under CC BY 4.0. See the file of that name, and more.",
+        f"{prose(rng, 30)} Released under the MIT License. {prose(rng, 3)} Licensed under CC BY-SA 4.0. {prose(rng, 30)}", f"Of the License and of the Software. {prose(rng, 300)}",
+        "This work is licensed under the GNU General Public License, version 3.\n" * 2 + prose(rng, 40),
+    ]
+    found = found_licenses(spark, texts)
+    assert found[0] == [("MIT", 1.0)] and found[1][0][0] == "MIT" and found[1][0][1] > 0.9 and {n for n, _ in found[2]} == {"MIT"}
+    assert found[3:6] == [[("MIT", 1.0)], [("CC-BY-4.0", 1.0)], [("CC-BY-SA-4.0", 1.0), ("MIT", 1.0)]]
+    assert found[6] == [] and found[7] == [("GPL-3.0", 1.0)] * 2
+
+
+def test_passages_equal_all_windows(spark):
+    """Of short texts all windows are tried."""
+    rng = random.Random(14)
+    template = "a b c d e f g h"
+
+    def pairs(words):
+        return set(zip(words, words[1:]))
+
+    own, texts = pairs(template.split()), []
+    for _ in range(60):
+        words = [w for w in template.split() if rng.random() < 0.9]
+        words.insert(rng.randrange(len(words) + 1), "x")
+        texts.append(" ".join(rng.choices("abcxyz", k=8) + words + rng.choices("ghxyz", k=8)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in licenses.scan(docs, templates=(("L", template),)).collect():
+        words = texts[r.doc_id].split()
+        windows = [pairs(words[i:j]) for i in range(len(words)) for j in range(i + 2, min(len(words), i + 12) + 1)]
+        best = max(2 * len(w & own) / (len(w) + len(own)) for w in windows)
+        assert max([x.dice for x in r.licenses], default=0) == pytest.approx(best if best >= 0.75 else 0), texts[r.doc_id]
+
+
 # --- 8: personal data ------------------------------------------------------------------------
 
 PLAIN_PATTERNS = (
