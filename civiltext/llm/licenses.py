@@ -10,6 +10,7 @@ compared. Of the templates that reach it the best one names the unit, ties by na
 
 A passage is a stretch of words, of any begin and end, that is more like a template than those
 it overlaps. It counts unless a unit around it has the same license or is as much like its own.
+A unit does not count that lies for the most part in a passage more like another license.
 Native expressions only, each text within its row.
 
 A null or empty text has no license. Repeated rows stay; an empty table gives no rows.
@@ -47,7 +48,32 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
-ALL_TEMPLATES = TEMPLATES
+# Complete notices and short full texts besides. The SQL twin knows the list above only, and no passages.
+_ANY = "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def _gnu(kind: str, version: str, where: str) -> str:
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but {_ANY} See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along with this program. If not, {where}"
+
+
+_SEE = "see https://www.gnu.org/licenses/."
+_WRITE = "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+NOTICES = (
+    ("GPL-3.0", _gnu("General Public License", "3", _SEE)),
+    ("GPL-2.0", _gnu("General Public License", "2", _SEE)),
+    ("GPL-2.0", _gnu("General Public License", "2", _WRITE)),
+    ("GPL-2.0", _gnu("General Public License", "2", "").partition(" You should")[0]),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3", _SEE)),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3", "").partition(" You should")[0]),
+    ("AGPL-3.0", _gnu("Affero General Public License", "3", _SEE)),
+    ("AGPL-3.0", _gnu("Affero General Public License", "3", "").partition(" You should")[0]),
+    ("BSD-2-Clause", _BSD.format("")),
+    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org'),
+)
+ALL_TEMPLATES = TEMPLATES + NOTICES
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -153,25 +179,47 @@ def matches(text: Column, templates: list[tuple[str, list[int]]], least: float =
         parts = F.concat(F.when(F.size(blocks) > 1, blocks).otherwise(F.array()), F.when(F.size(lines) > 1, lines).otherwise(F.array()))
         before_lines = F.when(F.size(blocks) > 1, F.size(blocks)).otherwise(0) + 1
 
-        def with_units(named: Column) -> Column:
-            def told(x: Column, in_block: Column, in_line: Column) -> Column:
-                """Whether a unit around the passage has its license, or is more like its own one."""
-                def same(parts: Column, of_word: Column, offset: Column) -> Column:
+        def numbered(named: Column) -> Column:
+            rows = F.transform(named, lambda m, i: F.struct(i.alias("unit"), m["license"].alias("license"), (-m["minus"]).alias("dice")))
+            return F.filter(rows, lambda x: x["license"].isNotNull())
+
+        def beside(named: Column, found: Column, in_block: Column, in_line: Column) -> Column:
+            def half_in(i: Column, x: Column) -> Column:
+                """Whether more than half of the words of unit `i` are in the passage."""
+                in_part = F.when(i < before_lines, in_block).otherwise(in_line)
+                part = i - F.when(i < before_lines, F.lit(1)).otherwise(before_lines)
+                start = F.when(i == 0, F.lit(1)).otherwise(F.array_position(in_part, part))
+                return let(F.size(words_of(F.when(i == 0, text).otherwise(F.get(parts, i - 1)))), lambda n: (
+                    2 * (F.least(x["last"] + 2, start + n) - F.greatest(x["first"], start)) > n
+                ))
+
+            def kept(m: Column, i: Column) -> Column:
+                """A part of another license names no license of its own."""
+                better = F.exists(found, lambda x: (x["minus"] < m["minus"]) & (x["license"] != m["license"]) & half_in(i, x))
+                return F.when(m.isNotNull() & ~better, m)
+
+            def told(units: Column, x: Column) -> Column:
+                """Whether a unit around the passage has its license, or is as much like its own one."""
+                def same(split: Column, of_word: Column, offset: Column) -> Column:
                     a, b = F.element_at(of_word, x["first"]), F.element_at(of_word, x["last"] + 1)
-                    return F.when((F.size(parts) > 1) & (a == b), F.get(named, a + offset))
+                    return F.when((F.size(split) > 1) & (a == b), F.get(units, a + offset))
 
-                around = F.array(F.get(named, F.lit(0)), same(blocks, in_block, F.lit(1)), same(lines, in_line, before_lines))
+                around = F.array(F.get(units, F.lit(0)), same(blocks, in_block, F.lit(1)), same(lines, in_line, before_lines))
                 return F.exists(around, lambda u: F.coalesce((u["license"] == x["license"]) | (u["minus"] <= x["minus"]), F.lit(False)))
 
-            def outside(found: Column) -> Column:
-                kept = let(part_of_word(blocks), lambda in_block: let(part_of_word(lines), lambda in_line: F.filter(found, lambda x: ~told(x, in_block, in_line))))
-                return F.transform(kept, lambda x, i: F.struct((F.size(named) + i).alias("unit"), x["license"].alias("license"), (-x["minus"]).alias("dice")))
+            def both(units: Column) -> Column:
+                others = F.transform(
+                    F.filter(found, lambda x: ~told(units, x)),
+                    lambda x, i: F.struct((F.size(units) + i).alias("unit"), x["license"].alias("license"), (-x["minus"]).alias("dice")),
+                )
+                return F.concat(numbered(units), others)
 
-            numbered = F.transform(named, lambda m, i: F.struct(i.alias("unit"), m["license"].alias("license"), (-m["minus"]).alias("dice")))
-            return F.concat(
-                F.filter(numbered, lambda x: x["license"].isNotNull()),
-                let(passages(hashes, near), lambda found: F.when(F.size(found) > 0, outside(found)).otherwise(nothing)),
-            )
+            return let(F.transform(named, kept), both)
+
+        def with_units(named: Column) -> Column:
+            return let(passages(hashes, near), lambda found: F.when(F.size(found) == 0, numbered(named)).otherwise(
+                let(part_of_word(blocks), lambda in_block: let(part_of_word(lines), lambda in_line: beside(named, found, in_block, in_line)))
+            ))
 
         units = F.concat(F.array(judged(words, near)), F.transform(parts, lambda x: let(words_of(x), lambda w: judged(w, near))))
         return let(units, with_units)

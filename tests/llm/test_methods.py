@@ -1,5 +1,6 @@
 """Each operator against a plain version of its contract on small texts."""
 
+import os
 import random
 import re
 import zlib
@@ -356,6 +357,32 @@ def test_licenses_within_documents(spark):
     assert found[6] == [] and found[7] == [("GPL-3.0", 1.0)] * 2
 
 
+def test_notices_and_short_texts_are_found(spark):
+    """As files with a line of copyright, whole and in the middle of a document, each under its own name only."""
+    rng = random.Random(15)
+    own = "Copyright (c) 2021, Jane Doe <jane@example.org>\n\n"
+    by_name = {n: t for n, t in licenses.NOTICES}
+    assert {"ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "Unlicense"} == set(by_name)
+    names, texts = [], []
+    for name, text in licenses.NOTICES:
+        paragraphs = re.sub(r" (THE SOFTWARE IS|THIS SOFTWARE IS|This program is distributed|You should|[123]\\. |Anyone is|In jurisdictions)", r"\n\n\1", text)
+        files = [own + paragraphs, f"{prose(rng, 300)}\n{own}{re.sub('(.{50}[^ ]*) ', chr(92) + '1' + chr(10), paragraphs)}\n{prose(rng, 300)}"]
+        names += [name] * len(files)
+        texts += files
+    for name, text, found in zip(names, texts, found_licenses(spark, texts)):
+        assert {n for n, _ in found} == {name} and max(d for _, d in found) > 0.9, (name, text, found)
+
+
+LONG_TEXTS = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+
+
+@pytest.mark.skipif(not all(os.path.exists(f"/usr/share/common-licenses/{f}") for f in LONG_TEXTS), reason="the texts are not here")
+def test_long_texts_are_found_by_the_notice_in_them(spark):
+    texts = [open(f"/usr/share/common-licenses/{f}").read() for f in LONG_TEXTS]
+    for name, found in zip(LONG_TEXTS.values(), found_licenses(spark, texts)):
+        assert name in {n for n, _ in found}, (name, found)
+
+
 def test_passages_equal_all_windows(spark):
     """Of short texts all windows are tried."""
     rng = random.Random(14)
