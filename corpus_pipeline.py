@@ -35,11 +35,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of an id goes that has a text with a benchmark item in it."""
+    """Rows go whose text has a benchmark item in it; others of the same id, or without one, stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.contaminated(docs.select("doc_id", "text"), items)
-    found = stored(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    key = F.struct("doc_id", F.xxhash64("text").alias("of_text"))
+    found = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), items)
+    found = stored(found.select("doc_id.*").distinct(), "contaminated")
+    name = free_name(docs, "of_text")
+    rows = docs.withColumn(name, F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows[name] == found["of_text"])
+    return rows.join(found, same, "left_anti").select(docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

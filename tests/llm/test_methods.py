@@ -534,3 +534,12 @@ def test_pipeline_equals_its_plain_version(spark, tables):
     library = Tokenizer.from_file(tokens.tokenizer_path())
     out = Counter((r.doc_id, r.n_tokens) for r in run(spark, folder).collect())
     assert out == Counter({(i, len(library.encode(docs[i][1]).ids) + 1): n for i, n in mixed.items()})
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark, tables):
+    rng = random.Random(16)
+    item = prose(rng, 20)
+    docs = [(i, prose(rng, 30) + (" " + item if bad else ""), "en", "s") for i, bad in ((None, 1), (None, 0), (5, 0), (5, 1), (6, 0))]
+    folder = tables(docs, benchmark=([(1, item)], "item_id bigint, text string"))
+    rows = dict(STAGES)["decontamination"](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((i, t) for i, t, _, _ in docs if item not in t)
