@@ -6,10 +6,10 @@ whole text, and its distance to a language is the sum of how far each of its mos
 n-grams stands out of place in that profile, where a missing n-gram counts as the most
 possible. The nearest language wins, ties by name.
 
-Letters that are too rare in the training texts share one symbol, so an n-gram is a small
-number and a document is counted by sorting small numbers. Profiles are learned from at most
-`PER_LANGUAGE` texts of each of the `MOST_LANGUAGES` most frequent languages, those with the
-smallest hash of the id; their size is fixed, whatever the corpus holds.
+An n-gram is its code points side by side in one number, 21 bits each, so every alphabet keeps
+its letters, and a document is counted by sorting numbers. Profiles are learned from at most
+`PER_LANGUAGE` texts of each labelled language, those with the smallest hash of the id, one
+language in a task; what reaches the driver is `PROFILE` numbers of each.
 
 A null text or one without a letter is `und` with score 0. A language without a training
 text is never predicted; without any, all is `und`. The score is the lead of the nearest
@@ -32,17 +32,17 @@ from civiltext.llm.common import bound_batches, chunks, documents, free_name, id
 UNKNOWN = "und"
 PROFILE = 400
 PER_LANGUAGE = 500
-MOST_LANGUAGES = 256  # the most frequent ones are learned
-MAX_LETTERS = 62  # and the blank and a symbol for all other letters: six bits
 FAR = 0.9
-_BLANK, _OTHER, _BITS = 0, 63, 6
+_BLANK, _BITS = 0, 21
+_NONE = (1 << _BITS) - 1  # no code point; in place of the first ones of a shorter n-gram
 
 
 @dataclass(frozen=True)
 class Profiles:
     names: list[str]
-    letters: dict[int, int]  # code point of a lower-case letter -> symbol
-    ranks: np.ndarray  # (languages, n-grams): place in the profile, PROFILE if absent
+    grams: np.ndarray  # the n-grams of all profiles, in order, as often as there are profiles with it
+    owners: np.ndarray  # whose profile it is
+    ranks: np.ndarray  # its place there
 
 
 def _letters(text: str) -> np.ndarray:
@@ -69,76 +69,70 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _codes(points: np.ndarray, table: np.ndarray, others: dict[int, int]) -> np.ndarray:
-    """All n-grams of a text; one, two and three symbols have ranges of their own."""
-    low = points < len(table)
-    symbols = table[np.where(low, points, 0)].astype(np.int32)
-    if not low.all():
-        symbols[~low] = [others.get(p, _OTHER) for p in points[~low].tolist()]
-    s = np.concatenate(([_BLANK], symbols, [_BLANK])).astype(np.int32)
+def _codes(points: np.ndarray) -> np.ndarray:
+    """All n-grams of a text; one, two and three letters are different numbers."""
+    s = np.concatenate(([_BLANK], points, [_BLANK])).astype(np.int64)
     two = (s[:-1] << _BITS) | s[1:]
     three = (two[:-1] << _BITS) | s[2:]
-    one = symbols[symbols != _BLANK]
+    one = s[s != _BLANK]
     two = two[(s[:-1] != _BLANK) | (s[1:] != _BLANK)]
     three = three[s[1:-1] != _BLANK]  # a blank in the middle would join words
-    return np.concatenate((one, two + (1 << _BITS), three + (1 << 2 * _BITS) + (1 << _BITS)))
+    return np.concatenate((one | (_NONE << 2 * _BITS) | (_NONE << _BITS), two | (_NONE << 2 * _BITS), three))
 
 
-_SPACE = (1 << 3 * _BITS) + (1 << 2 * _BITS) + (1 << _BITS)
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.sort(codes)
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[starts], np.diff(np.append(starts, len(codes)))
 
 
-def _top(codes: np.ndarray, size: int) -> np.ndarray:
+def _top(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The most frequent n-grams, ties by number."""
-    if len(codes) > 1 << 17:
-        counts = np.bincount(codes, minlength=_SPACE)
-        grams = np.flatnonzero(counts)
-        counts = counts[grams]
-    else:
-        codes = np.sort(codes)
-        starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-        grams, counts = codes[starts], np.diff(np.append(starts, len(codes)))
-    return grams[np.argsort(-counts, kind="stable")[:size]]
-
-
-def _tables(letters: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
-    table = np.full(0x3000, _OTHER, dtype=np.int32)
-    table[0] = _BLANK
-    for point, symbol in letters.items():
-        if point < len(table):
-            table[point] = symbol
-    return table, {p: s for p, s in letters.items() if p >= len(table)}
+    return grams[np.argsort(-counts, kind="stable")[:PROFILE]]
+
+
+def profile(texts: list[str | None]) -> np.ndarray:
+    """The n-grams of a language in order of frequency; none if the texts have no letter."""
+    points = [p for p in (_letters(t or "") for t in texts) if p.any()]
+    if not points:
+        return np.zeros(0, dtype=np.int64)
+    found = [_counted(_codes(p)) for p in points]
+    grams, which = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return _top(grams, np.bincount(which, weights=np.concatenate([n for _, n in found])).astype(np.int64))
+
+
+def gathered(profiles: dict[str, np.ndarray]) -> Profiles:
+    """Languages with a profile, by name."""
+    names = sorted(name for name, own in profiles.items() if len(own))
+    own = [np.asarray(profiles[name], dtype=np.int64) for name in names] or [np.zeros(0, dtype=np.int64)]
+    grams = np.concatenate(own)
+    owners = np.repeat(np.arange(len(own)), [len(p) for p in own])
+    ranks = np.concatenate([np.arange(len(p)) for p in own])
+    order = np.argsort(grams, kind="stable")
+    return Profiles(names, grams[order], owners[order], ranks[order])
 
 
 def fit(texts: list[str | None], languages: list[str]) -> Profiles:
     """Profiles of the given languages, which get names in order."""
-    points = [_letters(t or "") for t in texts]
-    seen, counts = np.unique(np.concatenate([*points, np.array([], dtype=np.uint32)]), return_counts=True)
-    seen, counts = seen[seen > 0], counts[seen > 0]
-    common = seen[np.argsort(-counts, kind="stable")[:MAX_LETTERS]].tolist()
-    letters = {int(p): i + 1 for i, p in enumerate(common)}
-    table, others = _tables(letters)
-    names = sorted({lang for lang, p in zip(languages, points) if len(p)})
-    ranks = np.full((len(names), _SPACE), PROFILE, dtype=np.int32)
-    for row, name in zip(ranks, names):
-        codes = np.concatenate([_codes(p, table, others) for p, lang in zip(points, languages) if lang == name and len(p)])
-        top = _top(codes, PROFILE)
-        row[top] = np.arange(len(top))
-    return Profiles(names, letters, ranks)
+    return gathered({name: profile([t for t, lang in zip(texts, languages) if lang == name]) for name in set(languages)})
 
 
 def predict(model: Profiles, texts: list[str | None]) -> list[tuple[str, float, float]]:
     """Language, score and distance (0 to 1, the most possible) of each text."""
-    table, others = _tables(model.letters)
     out = []
     for text in texts:
         points = _letters(text or "")
         if not points.any() or not model.names:
             out.append((UNKNOWN, 0.0, 1.0))
             continue
-        top = _top(_codes(points, table, others), PROFILE)
-        ranks = model.ranks[:, top]
-        place = np.arange(len(top))
-        moved = np.where(ranks < PROFILE, np.abs(ranks - place), PROFILE).sum(axis=1) / (PROFILE * len(top))
+        top = _top(*_counted(_codes(points)))
+        first = np.searchsorted(model.grams, top, side="left")
+        times = np.searchsorted(model.grams, top, side="right") - first
+        place = np.repeat(np.arange(len(top)), times)
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(len(place))
+        # a missing n-gram counts PROFILE, each other one less
+        nearer = np.bincount(model.owners[at], weights=PROFILE - np.abs(model.ranks[at] - place), minlength=len(model.names))
+        moved = (PROFILE * len(top) - nearer) / (PROFILE * len(top))
         order = np.argsort(moved, kind="stable")
         best = moved[order[0]]
         second = moved[order[1]] if len(order) > 1 else 1.0
@@ -158,18 +152,21 @@ def training_sample(docs: DataFrame, id_column: str, language: str, per_language
     )
     sizes = rows.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count"))
-    cuts = sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    cuts = F.broadcast(cuts.select("lang", ((share - 0.5) * float(2**64)).cast("bigint").alias("cut")))  # at most 256 rows
-    near = rows.select("lang", "h").join(cuts, "lang").filter("h <= cut").select("lang", "h").distinct()
+    cuts = sizes.select("lang", ((share - 0.5) * float(2**64)).cast("bigint").alias("cut"))  # one row per language
+    near = rows.select("lang", "h").join(F.broadcast(cuts), "lang").filter("h <= cut").select("lang", "h").distinct()
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = ranked.filter(F.col("rank") <= per_language).select("lang", "h")
     return rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, id_column: str, language: str, per_language: int = PER_LANGUAGE) -> Profiles:
-    """Profiles from a bounded sample of `docs`: what reaches the driver is at most `per_language` texts per language."""
-    rows = sorted(training_sample(docs, id_column, language, per_language).collect(), key=lambda r: (r.lang, r.h))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    """Profiles from a bounded sample of `docs`, each made in a task: what reaches the driver is `PROFILE` numbers per language."""
+    def profiled(rows: pa.Table) -> pa.Table:
+        own = profile(rows.column("text").to_pylist())
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()], pa.string()), "grams": pa.array([own.tolist()], pa.list_(pa.int64()))})
+
+    sample = training_sample(docs, id_column, language, per_language).select(F.col("lang").cast("string").alias("lang"), "text")
+    return gathered({r.lang: r.grams for r in sample.groupBy("lang").applyInArrow(profiled, "lang string, grams array<bigint>").collect()})
 
 
 def identify(docs: DataFrame, model: Profiles, text: str = "text", into: str = "language") -> DataFrame:

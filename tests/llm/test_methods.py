@@ -495,6 +495,24 @@ def test_out_of_place_distance():
     assert languages.predict(model, ["abab ba"])[0][2] == 0.0
 
 
+def test_languages_of_many_scripts_and_lengths(spark):
+    """Short texts of small languages beside long ones in other alphabets, and more languages than 256."""
+    rng = random.Random(17)
+    scripts = {"latin": (0x61, 26, 400), "cyrillic": (0x430, 32, 400), "greek": (0x3B1, 17, 200), "hindi": (0x915, 30, 12), "thai": (0xE01, 40, 12), "korean": (0xAC00, 900, 12), "chinese": (0x4E00, 900, 12)}
+
+    def text(name):
+        first, n, words = scripts[name]
+        return " ".join("".join(chr(first + min(rng.randrange(n), rng.randrange(n))) for _ in range(rng.randrange(2, 8))) for _ in range(words))
+
+    model = languages.fit([text(n) for n in scripts for _ in range(20)], [n for n in scripts for _ in range(20)])
+    assert [languages.predict(model, [text(n)])[0][0] for n in scripts] == list(scripts)
+
+    many = [(i, f"l{i:03}", " ".join(chr(0x4E00 + 20 * i + rng.randrange(20)) for _ in range(50))) for i in range(300)]
+    docs = spark.createDataFrame(many, "doc_id bigint, lang string, text string")
+    model = languages.train(docs, "doc_id", "lang")
+    assert [r[0] for r in languages.predict(model, [t for _, _, t in many])] == [lang for _, lang, _ in many]
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 
