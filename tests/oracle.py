@@ -32,7 +32,10 @@ def _canonical(frame: pd.DataFrame) -> list[tuple]:
 
 def _kinds(frame: pd.DataFrame) -> dict[str, str]:
     names = {"int32": "int", "int64": "int", "Int64": "int", "float64": "float", "object": "text", "str": "text"}
-    return {c: names.get(str(t), str(t)) for c, t in sorted(frame.dtypes.items())}
+    kinds = {c: names.get(str(t), str(t)) for c, t in sorted(frame.dtypes.items())}
+    # whole numbers with nulls among them come as floats
+    whole = {c for c, kind in kinds.items() if kind == "float" and frame[c].isna().any() and (frame[c].dropna() % 1 == 0).all()}
+    return {c: "int" if c in whole else kind for c, kind in kinds.items()}
 
 
 def difference(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
