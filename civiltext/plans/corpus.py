@@ -35,19 +35,18 @@ def any_of_flags(spark, sf_dir):
 
 def csv_multilabel_round_trip(spark, sf_dir):
     path = scratch_path(spark, "multilabel")
-    _flags(spark, sf_dir).withColumnRenamed("row_id", "id").write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
-    read = sources.read_multilabel_csv(spark, path, source="flags")
-    return read.groupBy("source", "text", "y").agg(F.count("*").alias("n"))
+    rows = _flags(spark, sf_dir).orderBy("row_id").withColumnRenamed("row_id", "id")
+    rows.write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
+    return sources.read_multilabel_csv(spark, path, source="flags")
 
 
 def csv_binary_round_trip(spark, sf_dir):
     path = scratch_path(spark, "binary")
-    rows = inputs.corpus(spark, sf_dir).select(
+    rows = inputs.corpus(spark, sf_dir).orderBy("row_id").select(
         F.col("row_id").alias("id"), F.col("y").cast("double").alias("toxic"), F.col("text").alias("comment")
     )
     rows.write.options(**sources.CSV_WRITE_OPTIONS).csv(path)
-    read = sources.read_binary_csv(spark, path, "comment", "toxic", "binary")
-    return read.groupBy("source", "text", "y").agg(F.count("*").alias("n"))
+    return sources.read_binary_csv(spark, path, "comment", "toxic", "binary")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +67,8 @@ def fasttext_lines(spark, sf_dir):
 
 def fasttext_round_trip(spark, sf_dir):
     path = scratch_path(spark, "lines")
-    _lines(spark, sf_dir).select("value").write.text(path)
-    read = sources.read_fasttext(spark, path, "lines")
-    return read.groupBy("source", "text", "y").agg(F.count("*").alias("n"))
+    _lines(spark, sf_dir).orderBy("row_id").select("value").write.text(path)
+    return sources.read_fasttext(spark, path, "lines")
 
 
 def label_mapping(spark, sf_dir):
@@ -194,7 +192,6 @@ SELECT d.doc_id AS row_id, 'documents' AS source, d.text, l.toxic AS y FROM docu
 UNION ALL SELECT {STRIDE} + {_turn_sql}, 'conversations', text, 0 FROM conversations WHERE role <> 'assistant' OR role IS NULL
 UNION ALL SELECT {2 * STRIDE} + {_turn_sql}, 'assistant', text, 1 FROM conversations WHERE role = 'assistant'
 UNION ALL SELECT {3 * STRIDE} + page_id, 'pages', html, (page_id % 2)::INTEGER FROM pages"""
-_grouped = "GROUP BY source, text, y"
 
 QUERIES = {
     "any_of_flags": any_of_flags,
@@ -225,14 +222,15 @@ QUERIES = {
 SQL = {
     "any_of_flags": with_ctes(("docs",), f"SELECT row_id, {_any_sql} AS y FROM docs"),
     "csv_multilabel_round_trip": with_ctes(
-        ("docs",), f"SELECT 'flags' AS source, text, {_any_sql} AS y, count(*) AS n FROM docs GROUP BY ALL"
+        ("docs",), f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, 'flags' AS source, text, {_any_sql} AS y FROM docs"
     ),
     "csv_binary_round_trip": with_ctes(
-        ("corpus",), "SELECT 'binary' AS source, text, y, count(*) AS n FROM corpus GROUP BY text, y"
+        ("corpus",), "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, 'binary' AS source, text, y FROM corpus"
     ),
     "fasttext_lines": with_ctes(("docs",), _lines_sql),
     "fasttext_round_trip": with_ctes(
-        ("docs",), f"SELECT source, text, y, count(*) AS n FROM ({_lines_sql}) {_grouped}"
+        ("docs",), f"""SELECT n.place AS row_id, source, text, y FROM ({_lines_sql}) l
+JOIN (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM docs) n ON n.row_id = l.row_id"""
     ),
     "label_mapping": with_ctes(("docs",), f"SELECT row_id, {_mapped_sql} AS y FROM docs"),
     "unified_union": f"SELECT row_id, source, md5(text) AS text_md5, coalesce(y, -1) AS y FROM ({_union_sql})",

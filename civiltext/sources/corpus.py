@@ -1,31 +1,28 @@
 """Reading differently labelled corpora into one schema, and writing them back.
 
 Unified schema: `row_id BIGINT, source STRING, text STRING, y INT` with y 1 for toxic.
-Ids follow the order of files and lines, however the files are split.
+Ids follow the order of files and lines, however the files are split and whatever becomes of the cluster meanwhile.
 """
 
 from __future__ import annotations
 
-import csv
-from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civiltext.functions.once import evaluated_once
 from civiltext.functions.text import SPACE_CHARS
 from civiltext.operators.cleaning import drop_na_literals
-from civiltext.session import cut_lineage
+from civiltext.sources.records import csv_records, header_names, numbered_lines, text_lines
 
 # Label columns and markers of the input formats.
 TOXICITY_FLAGS = ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")
 LABEL_MARK = "__label__"
 SAFE_LABEL = "NORMAL"
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"multiLine": "true", "quote": '"', "escape": '"'}
 CSV_WRITE_OPTIONS = {
     "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
@@ -59,35 +56,9 @@ def to_unified(df: DataFrame, source: str, text: Column, y: Column, row_id: Colu
     )
 
 
-def numbered(scan: DataFrame) -> DataFrame:
-    """Adds `row_id`, the place of each row in the order of files (by path) and lines, to rows just read from files.
-
-    Spark packs blocks of files into tasks by size, so a number given by the task follows no order and changes with
-    the split size. Here each block of a file gets the number of rows before it, from one count per block, and a row
-    adds its place in the block.
-    """
-    tagged = scan.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
-    )
-    blocks = tagged.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # one row per block
-    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0))
-    offsets = cut_lineage(blocks.select("_file", "_block", (offset - F.col("_first")).alias("_offset")))
-    placed = tagged.join(offsets, ["_file", "_block"]).withColumn("row_id", F.col("_offset") + F.col("_at"))
-    return placed.drop("_file", "_block", "_at", "_offset")
-
-
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """The names in the first line of a CSV file."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")]), ()))
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once, however often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _cell(name: str, kind: str) -> Column:
@@ -95,35 +66,33 @@ def _cell(name: str, kind: str) -> Column:
     cell = F.col(name)
     if kind == "int":
         cell = F.coalesce(cell.try_cast("int"), cell.try_cast("double").try_cast("int"))
-    return (cell if kind == "string" else cell.try_cast(kind)).alias(name)
+    return cell if kind == "string" else cell.try_cast(kind)
 
 
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str], number: bool = True) -> DataFrame:
     """The named columns of CSV files with a header each, and the place of each row as `row_id`; `columns` maps names to types.
 
-    Spark maps a given schema by position, so every file's own header decides: files with the same header are read
-    together, as text, and columns are taken by name, wherever they stand and whatever else the files hold. Cells that
-    do not fit the type become null. Cells may hold line breaks; such a file is one task: feed many files, not one.
+    Columns are taken by name from each file's own header, wherever they stand and whatever else a file holds. Cells that
+    do not fit the type become null; cells may hold line breaks. Files are read in blocks, by as many tasks as there are,
+    once: the lines are stored, and rows and numbers come from what was stored (`records`).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    by_header = defaultdict(list)
-    for row in files.collect():  # one name per file
-        if header := _header(spark, row.path):
-            by_header[header].append(row.path)
-    parts = []
-    for header, same in sorted(by_header.items()):
-        missing = [c for c in columns if c not in header]
-        if missing:
-            raise ValueError(f"no column {', '.join(missing)} in {same[0]}, which has {', '.join(header)}")
-        wanted = {header.index(c): c for c in columns}
-        schema = T.StructType([T.StructField(wanted.get(i, f"_column_{i}"), T.StringType()) for i in range(len(header))])
-        cells = spark.read.schema(schema).options(**CSV_OPTIONS).csv(sorted(same))
-        parts.append(cells.select(*[_cell(c, kind) for c, kind in columns.items()], "_metadata"))
-    if not parts:
+    rows, headers = csv_records(spark, path)
+    cells = None
+    for layout, (header, file) in enumerate(headers):
+        there = header_names(header)
+        if missing := [c for c in columns if c not in there]:
+            raise ValueError(f"no column {', '.join(missing)} in {file}, which has {', '.join(there)}")
+        wanted = {there.index(c): f"c{i}" for i, c in enumerate(columns)}
+        schema = ", ".join(f"{wanted.get(i, f'other_{i}')} string" for i in range(len(there)))
+        parsed = F.from_csv("record", schema, CSV_OPTIONS)
+        own = let(parsed, lambda p: F.struct(*[p[f"c{i}"].alias(f"c{i}") for i in range(len(columns))]))
+        cells = F.when(F.col("layout") == layout, own) if cells is None else cells.when(F.col("layout") == layout, own)
+    if cells is None:
         names = {**columns, "row_id": "bigint"} if number else columns
         return spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, kind in names.items()))
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    return numbered(rows).select(*columns, "row_id") if number else rows.select(*columns)
+    read = rows.select("row_id", evaluated_once(cells).alias("cells"))
+    place = [F.col("row_id")] if number else []
+    return read.select(*[_cell(f"cells.c{i}", kind).alias(c) for i, (c, kind) in enumerate(columns.items())], *place)
 
 
 def read_multilabel_csv(
@@ -165,7 +134,7 @@ def parse_label_lines(lines: DataFrame, source: str, row_id: Column, safe: str =
 
 
 def read_fasttext(spark: SparkSession, path: str, source: str = "fasttext", safe_label: str = SAFE_LABEL) -> DataFrame:
-    return parse_label_lines(numbered(spark.read.text(path).select("value", "_metadata")), source, F.col("row_id"), safe_label)
+    return parse_label_lines(numbered_lines(text_lines(spark, path)), source, F.col("row_id"), safe_label)
 
 
 def union_corpora(*corpora: DataFrame) -> DataFrame:
