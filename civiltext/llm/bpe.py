@@ -27,28 +27,18 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import bound_batches, chunks, documents
+from civiltext.llm.common import (
+    BLANK, LETTER, NUMBER, bound_batches, buffers, character_classes, chunks, documents, edges, gather, text_windows,
+)
 from civiltext.llm.tokens import tokenizer_path
 
 WINDOW = 4 << 20
 LONG_PIECE = 256  # symbols, from which a piece is merged on its own
-OTHER, LETTER, NUMBER, SPACE, SPECIAL, NONE = range(6)
+SPECIAL, NONE = 4, 5  # further classes of characters
 NO_RANK = np.iinfo(np.int32).max
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values: after an apostrophe they are pieces
 
 
-@lru_cache(maxsize=1)
-def character_classes() -> np.ndarray:
-    """The class of every code point."""
-    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-    everything, at = "".join(map(chr, points)), np.array(points)
-    classes = np.full(0x110000, OTHER, dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for run in regex.finditer(pattern, everything):
-            classes[at[run.start() : run.end()]] = kind
-    return classes
-
-
 def byte_alphabet() -> dict[str, int]:
     """The letter that stands for each byte: printable bytes for themselves, the others in order from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -56,18 +46,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The stretches of `flat` one after another."""
-    ends = np.cumsum(counts)
-    if not len(ends) or not ends[-1]:
-        return flat[:0]
-    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])]
-
-
-def _edges(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-
-
 class BytePairEncoder:
     """The vocabulary, its pairs sorted by key, and the two directions."""
 
@@ -107,7 +85,7 @@ class BytePairEncoder:
             texts[i] = token.encode()
         self.token_bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.token_sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.token_starts = _edges(self.token_sizes)[:-1]
+        self.token_starts = edges(self.token_sizes)[:-1]
 
     # --- pieces
 
@@ -128,7 +106,7 @@ class BytePairEncoder:
         begins = kind != before
         word_like = kind <= NUMBER
         # white space: the last character of a run goes with what follows, if that is part of the text
-        starts = begins | ((kind == SPACE) & (after <= NUMBER))
+        starts = begins | ((kind == BLANK) & (after <= NUMBER))
         attached = begins & word_like & (previous == 0x20)
         starts &= ~attached
         # an apostrophe alone, then letters
@@ -184,12 +162,12 @@ class BytePairEncoder:
         out, sizes = [], np.zeros(len(counts), dtype=np.int64)
         order, number = [], np.arange(len(counts))
         while len(number):
-            edges = _edges(counts)
+            bounds = edges(counts)
             owner = np.repeat(np.arange(len(number)), counts)
             ranks = np.full(len(symbols), NO_RANK, dtype=np.int32)
             ranks[:-1] = self._ranks(symbols[:-1], symbols[1:])
-            ranks[edges[1:] - 1] = NO_RANK  # the last symbol of a piece has no right neighbour
-            least = np.minimum.reduceat(ranks, edges[:-1])
+            ranks[bounds[1:] - 1] = NO_RANK  # the last symbol of a piece has no right neighbour
+            least = np.minimum.reduceat(ranks, bounds[:-1])
             done = least == NO_RANK
             if done.any():
                 ended = done[owner]
@@ -216,8 +194,8 @@ class BytePairEncoder:
             return symbols, sizes
         order, flat = np.concatenate(order), np.concatenate(out)
         begins = np.empty(len(sizes), dtype=np.int64)
-        begins[order] = _edges(sizes[order])[:-1]
-        return _gather(flat, begins, sizes), sizes
+        begins[order] = edges(sizes[order])[:-1]
+        return gather(flat, begins, sizes), sizes
 
     def _long(self, symbols: np.ndarray) -> np.ndarray:
         """Merge one long piece, rank by rank from the lowest: a merge only makes pairs of higher ranks."""
@@ -264,13 +242,12 @@ class BytePairEncoder:
 
     def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of different pieces: all ids in a row, where each piece's begin, and how many it has."""
-        edges = np.frombuffer(pieces.buffers()[1], dtype=np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
-        data = np.frombuffer(pieces.buffers()[2], dtype=np.uint8)
-        counts, begins = np.diff(edges), edges[:-1]
+        data, bounds = buffers(pieces)
+        counts, begins = np.diff(bounds), bounds[:-1]
         short = counts <= LONG_PIECE
-        flat, sizes = self._rounds(self.symbol[_gather(data, begins[short], counts[short])], counts[short])
+        flat, sizes = self._rounds(self.symbol[gather(data, begins[short], counts[short])], counts[short])
         parts, size, start = [flat], np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
-        size[short], start[short] = sizes, _edges(sizes)[:-1]
+        size[short], start[short] = sizes, edges(sizes)[:-1]
         used = len(flat)
 
         def put(i: int, ids: np.ndarray) -> None:
@@ -280,7 +257,7 @@ class BytePairEncoder:
             used += len(ids)
 
         for i in np.flatnonzero(~short).tolist():
-            put(i, self._long(self.symbol[data[edges[i] : edges[i + 1]]]))
+            put(i, self._long(self.symbol[data[bounds[i] : bounds[i + 1]]]))
         for token, number in self.special.items():
             at = pc.index(pieces, pa.scalar(token.encode(), pa.large_binary())).as_py()
             if at >= 0:
@@ -296,58 +273,32 @@ class BytePairEncoder:
         pieces, piece_bounds = self._pieces(data, bounds)
         flat, start, size = self._encode_pieces(pieces.dictionary)
         codes = pieces.indices.to_numpy()
-        ids = _gather(flat.astype("<u4"), start[codes], size[codes])
-        return ids, _edges(size[codes])[piece_bounds]
-
-    def _windows(self, data: np.ndarray) -> Iterator[np.ndarray]:
-        """Parts of one long text, cut between something else and a blank or line break."""
-        begin = 0
-        while len(data) - begin > WINDOW:
-            end, reach = None, begin
-            while end is None:
-                part = data[reach : reach + WINDOW]
-                blank = (part == 0x20) | (part == 0x0A)
-                # not in front of the first byte, and not after white space: ASCII before the cut tells that
-                fit = np.flatnonzero(blank[1:] & (part[:-1] > 0x20) & (part[:-1] < 0x7F))
-                if len(fit):
-                    end = reach + int(fit[-1]) + 1
-                elif reach + WINDOW >= len(data):
-                    end = len(data)
-                else:
-                    reach += WINDOW - 1
-            yield data[begin:end]
-            begin = end
-        if begin < len(data):
-            yield data[begin:]
+        ids = gather(flat.astype("<u4"), start[codes], size[codes])
+        return ids, edges(size[codes])[piece_bounds]
 
     def encode(self, texts: pa.Array) -> Iterator[pa.Array]:
         """Arrays of the ids of the texts, in order, as binary."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         for part in chunks(texts, WINDOW):
-            edges = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
-            buffer = part.buffers()[2]
-            data = np.frombuffer(buffer, dtype=np.uint8)[edges[0] : edges[-1]] if buffer and edges[-1] > edges[0] else np.zeros(0, np.uint8)
+            data, bounds = buffers(part)
             if len(part) == 1 and len(data) > WINDOW:
-                ids = b"".join(self._encode_flat(w, np.array([0, len(w)]))[0].tobytes() for w in self._windows(data))
+                ids = b"".join(self._encode_flat(w, np.array([0, len(w)]))[0].tobytes() for w in text_windows(data, WINDOW))
                 yield pa.array([ids], pa.binary())
                 continue
-            ids, bounds = self._encode_flat(data, edges - edges[0])
+            ids, bounds = self._encode_flat(data, bounds)
             offsets = (bounds * 4).astype(np.int32)
             yield pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
 
     def decode(self, ids: pa.Array) -> Iterator[pa.Array]:
         """Arrays of the texts of the ids, in order."""
         for part in chunks(pc.fill_null(ids, b"").cast(pa.large_binary()), WINDOW):
-            edges = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
-            if edges[-1] == edges[0]:
-                yield pa.array([""] * len(part), pa.string())
-                continue
-            numbers = np.frombuffer(part.buffers()[2], dtype="<u4", count=int(edges[-1]) // 4)[edges[0] // 4 :].astype(np.int64)
+            packed, places = buffers(part)
+            numbers = packed.view("<u4").astype(np.int64)
             known = numbers < self.size
             numbers = np.where(known, numbers, 0)
             sizes = np.where(known, self.token_sizes[numbers], 0)
-            data = _gather(self.token_bytes, self.token_starts[numbers], sizes)
-            bounds = _edges(sizes)[(edges - edges[0]) // 4]
+            data = gather(self.token_bytes, self.token_starts[numbers], sizes)
+            bounds = edges(sizes)[places // 4]
             raw = pa.Array.from_buffers(
                 pa.large_binary(), len(part), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data.tobytes())]
             )

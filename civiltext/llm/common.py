@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ CHUNK = 2 << 20
 ARROW_BYTES = 8 << 20
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+OTHER, LETTER, NUMBER, BLANK = range(4)  # classes of characters
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,3 +77,58 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[pa.Array]:
         yield texts.slice(start, stop - start)
         start = stop
     pa.default_memory_pool().release_unused()
+
+
+def text_windows(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Parts of the bytes of one long text, cut between a visible ASCII character and a blank or line break; longer than
+    `limit` only where there is no such place."""
+    begin = 0
+    while len(data) - begin > limit:
+        end, reach = None, begin
+        while end is None:
+            part = data[reach : reach + limit]
+            fit = np.flatnonzero(((part[1:] == 0x20) | (part[1:] == 0x0A)) & (part[:-1] > 0x20) & (part[:-1] < 0x7F))
+            if len(fit):
+                end = reach + int(fit[-1]) + 1
+            elif reach + limit >= len(data):
+                end = len(data)
+            else:
+                reach += limit - 1
+        yield data[begin:end]
+        begin = end
+    if begin < len(data):
+        yield data[begin:]
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """The class of every code point."""
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    everything, at = "".join(map(chr, points)), np.array(points)
+    classes = np.full(0x110000, OTHER, dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\p{White_Space}+")):
+        for run in regex.finditer(pattern, everything):
+            classes[at[run.start() : run.end()]] = kind
+    return classes
+
+
+def edges(counts: np.ndarray) -> np.ndarray:
+    """Where stretches of these lengths begin, and where the last one ends."""
+    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` one after another."""
+    ends = np.cumsum(counts)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])]
+
+
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large string or binary array without nulls, and the bounds of its values in them."""
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    if data is None or bounds[-1] == bounds[0]:
+        return np.zeros(0, dtype=np.uint8), bounds - bounds[0]
+    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]

@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -37,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from civiltext.llm.common import bound_batches, chunks, documents, stored
+from civiltext.llm.common import (
+    BLANK, CHUNK, LETTER, NUMBER, bound_batches, buffers, character_classes, chunks, documents, edges, gather, stored, text_windows,
+)
 from civiltext.session import scratch_path
 
 END_ID = 1
 LEVEL = 3
-MOST_CACHED = 300_000
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
-NO_ID = -(1 << 63)
 MANIFEST = "file string, part int, n_docs bigint, n_tokens bigint"
 
 
@@ -53,16 +52,18 @@ MANIFEST = "file string, part int, n_docs bigint, n_tokens bigint"
 # Characters for which the steps below equal the tokenizer's own normalisation and splitting:
 # no combining marks, no white space but the ASCII one, one-to-one lower case.
 _PLAIN = r"\A[\t-\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{148}\x{14a}-\x{17e}]*\z"
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values: after an apostrophe they are pieces
+TOGETHER = 256  # pieces in a text given to the library
 
 
 class Encoder:
-    """Ids of whole texts, equal to `Tokenizer.encode`, by encoding each different word once.
+    """Ids of whole texts, equal to `Tokenizer.encode`, by encoding each different piece of a batch once.
 
-    The vocabulary marks the end of a piece, and pieces never cross white space. So new words are normalised, split
-    and given to the library's model in one text, whose ids the marks cut apart again. Texts with other than plain
-    characters, or with a special token, go to the tokenizer as they are. The cache is emptied when it is full.
+    Texts are lower-cased and cut into pieces (letters, single digits, other signs) as arrays of characters. The
+    vocabulary marks the end of a piece, and pieces never cross white space. So the different pieces of a batch are given
+    to the library's model in texts of some hundred, whose ids the marks cut apart again, and the ids of all texts are
+    gathered by the numbers of their pieces. Nothing is kept from batch to batch. Texts with other than plain characters,
+    or with a special token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -75,56 +76,76 @@ class Encoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.words: dict[str, bytes] = {}
-
-    def _split(self, word: str) -> list[str]:
-        low = word.lower()
-        if low.isalpha():
-            return [low]
-        core = low.rstrip(_PUNCTUATION)
-        if core.isalpha():
-            return [core, low[len(core) :]]
-        return _PIECES.findall(low)
-
-    def _learn(self, words: list[str]) -> None:
-        split = [self._split(w) for w in words]
-        new = list(dict.fromkeys(p for pieces in split for p in pieces))
-        texts = [" ".join(new[i : i + 256]) for i in range(0, len(new), 256)]
-        encoded = self.model.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Pieces of the plain texts between the bounds, and how many lie before each bound."""
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
+        byte_at = np.flatnonzero((data & 0xC0) != 0x80)
+        n = len(points)
+        kind = character_classes()[points]
+        first = np.zeros(n + 1, dtype=bool)
+        first[np.searchsorted(byte_at, bounds)] = True  # also after the last text
+        starts = first[:n].copy()
+        starts[1:] |= kind[1:] != kind[:-1]
+        starts |= kind == NUMBER
+        starts &= kind != BLANK
+        # an apostrophe at the begin of a piece, then letters
+        alone = (points[:-1] == 0x27) & starts[:-1] & (kind[1:] == LETTER) & ~first[1:n]
+        for i in np.flatnonzero(alone).tolist():
+            ahead = 1 + int(not first[i + 2] and kind[i + 2] == LETTER) if i + 2 < n else 1
+            letters = "".join(map(chr, points[i + 1 : i + 1 + ahead]))
+            hit = next((s for s in _SUFFIXES if letters.startswith(s)), None)
+            if hit:
+                starts[i + 1] = False
+                after = i + 1 + len(hit)
+                if after < n and kind[after] == LETTER:
+                    starts[after] = True
+        visible = data > 0x20
+        begins = byte_at[starts]
+        offsets = np.append((np.cumsum(visible) - 1)[begins], visible.sum()).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[visible].tobytes())])
+        return pieces.dictionary_encode(), np.searchsorted(begins, bounds)
+
+    def _model_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces one after another, and where each piece's begin and the last one's end."""
+        firsts = np.arange(0, len(pieces) + TOGETHER, TOGETHER).clip(max=len(pieces)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(firsts), pieces.cast(pa.large_string()).cast(pa.string()))
+        encoded = self.model.encode_batch_fast(pc.binary_join(lists, " ").to_pylist(), add_special_tokens=False)
         ids = np.concatenate([np.asarray(e.ids, dtype=self.dtype) for e in encoded] or [np.zeros(0, self.dtype)])
-        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-        if len(stops) != len(new):
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces):
             raise ValueError("the vocabulary has no mark at the end of each piece")
-        raw, start, known = ids.tobytes(), 0, {}
-        for piece, stop in zip(new, stops):
-            known[piece] = raw[start:stop]
-            start = stop
-        for word, pieces in zip(words, split):
-            self.words[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
-
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        return ids, np.concatenate(([0], stops))
+
+    def _flat(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the plain texts between the bounds, and the number of ids before each bound."""
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(bounds), dtype=np.int64)
+        pieces, piece_bounds = self._pieces(data, bounds)
+        ids, places = self._model_ids(pieces.dictionary)
+        codes = pieces.indices.to_numpy()
+        sizes = np.diff(places)[codes]
+        return gather(ids, places[:-1][codes], sizes), edges(sizes)[piece_bounds]
+
+    def encode(self, texts: pa.Array, window: int = CHUNK) -> Iterator[bytes]:
         """The ids of each text, without an end id, as little-endian numbers of `dtype`."""
         texts = texts.cast(pa.large_string())
         plain = pc.and_not(pc.match_substring_regex(texts, _PLAIN), pc.match_substring(texts, "<|"))
-        split = pc.ascii_split_whitespace(pc.if_else(plain, texts, ""))
-        coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.words) > MOST_CACHED:
-            self.words.clear()
-        self._learn([w for w in names if w and w not in self.words])
-        parts = np.empty(len(names), dtype=object)
-        parts[:] = [self.words[w] if w else b"" for w in names]
-        codes, offsets = coded.indices.to_numpy(), split.offsets.to_numpy()
+        data, bounds = buffers(pc.utf8_lower(pc.if_else(plain, texts, "")))
+        if len(texts) == 1 and len(data) > window and plain[0].as_py():
+            yield b"".join(self._flat(w, np.array([0, len(w)]))[0].tobytes() for w in text_windows(data, window))
+            return
+        ids, places = self._flat(data, bounds)
         for i, is_plain in enumerate(plain.to_pylist()):
             if is_plain:
-                yield b"".join(parts[codes[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]]].tolist())
+                yield ids[places[i] : places[i + 1]].tobytes()
             else:
                 yield np.asarray(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    """One encoder per Python worker, so that its cache outlives a task."""
+    """One encoder per Python worker."""
     return Encoder(path)
 
 
@@ -176,20 +197,23 @@ class FrameReader:
 
 
 class DocumentReader:
-    """The documents of one file. The last two frames hold their ids, and the type of the token ids."""
+    """The documents of one file. The last two frames hold their ids, with a byte each that is 0 for a null, and the type of the token ids."""
 
     def __init__(self, source):
         self.frames = FrameReader(source)
         n = len(self.frames.table)
         self.dtype = np.dtype(self.frames.frame(n - 1).decode())
-        self.ids = np.frombuffer(self.frames.frame(n - 2), dtype="<i8")
+        content, n_docs = self.frames.frame(n - 2), n - 2
+        self.ids = np.frombuffer(content, dtype="<i8", count=n_docs)
+        self.known = np.frombuffer(content, dtype="u1", offset=8 * n_docs).astype(bool)
 
     def tokens(self, i: int) -> np.ndarray:
         return np.frombuffer(self.frames.frame(i), dtype=self.dtype)
 
     def find(self, doc_id: int) -> list[np.ndarray]:
         """Tokens of all documents with that id, reading no others."""
-        low, high = np.searchsorted(self.ids, [doc_id, doc_id + 1])
+        nulls = len(self.ids) - int(self.known.sum())  # they come first
+        low, high = (nulls + int(np.searchsorted(self.ids[nulls:], doc_id, side)) for side in ("left", "right"))
         return [self.tokens(i) for i in range(low, high)]
 
 
@@ -204,7 +228,7 @@ def write_tokens(docs: DataFrame, id_column: str, folder: str, tokenizer: str, e
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, ids, tokens, encoder = None, [], 0, _encoder(tokenizer)
+        writer, ids, known, tokens, encoder = None, [], [], 0, _encoder(tokenizer)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             if batch.num_rows and writer is None:
@@ -213,15 +237,17 @@ def write_tokens(docs: DataFrame, id_column: str, folder: str, tokenizer: str, e
                 system, place = _opened(file)
                 system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 writer = FrameWriter(system.open_output_stream(place, compression=None), level)
-            ids += batch.column("id").fill_null(NO_ID).to_pylist()
+            ids.append(batch.column("id").fill_null(0).to_numpy())
+            known.append(batch.column("id").is_valid().to_numpy(zero_copy_only=False))
             for raw in (x for part in chunks(batch.column("text")) for x in encoder.encode(part)):
                 writer.add(raw + end)
                 tokens += len(raw) // encoder.dtype.itemsize + 1
         if writer is not None:
-            writer.add(np.array(ids, dtype="<i8").tobytes())
+            numbers = np.concatenate(ids).astype("<i8")
+            writer.add(numbers.tobytes() + np.concatenate(known).astype("u1").tobytes())
             writer.add(encoder.dtype.str.encode())
             writer.close()
-            row = {"file": [file], "part": [part], "n_docs": [len(ids)], "n_tokens": [tokens]}
+            row = {"file": [file], "part": [part], "n_docs": [len(numbers)], "n_tokens": [tokens]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("file", "string"), ("part", "int32"), ("n_docs", "int64"), ("n_tokens", "int64")]))
 
     return stored(ordered.select("id", "text").mapInArrow(write, MANIFEST), "token-manifest")
@@ -244,7 +270,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     for i in range(n):
                         tokens = reader.tokens(i)
                         counts[i], sums[i] = len(tokens), zlib.crc32(tokens.astype("<u4").tobytes())
-                ids = pd.Series(reader.ids).astype("Int64").mask(reader.ids == NO_ID)
+                ids = pd.Series(reader.ids).astype("Int64").mask(~reader.known)
                 starts = start + np.concatenate(([0], np.cumsum(counts)[:-1]))
                 yield pd.DataFrame({"doc_id": ids, "start": starts, "n_tokens": counts, "ids_crc32": sums})
 

@@ -14,7 +14,8 @@ ROWS = [
 ]
 BENCHMARK = ([(1, "five words in this item here"), (2, ""), (3, None), (None, "a null id of an item now")], "item_id bigint, text string")
 LABELS = ([(1, 1, 1), (4, 0, 0), (5, 1, 1), (5, 1, 0), (6, None, None), (None, 1, 1), (77, 1, 1)], "doc_id bigint, quality int, toxic int")
-PER_ROW = [n for n in QUERIES if not n.startswith("op3_")]
+OTHER_TABLES = ("op11_", "op13_")
+PER_ROW = [n for n in QUERIES if not n.startswith(("op3_", *OTHER_TABLES))]
 
 
 def query(n):
@@ -36,7 +37,7 @@ def test_tiling_finds_nothing_in_odd_rows(spark, odd):
     assert query(3)(spark, odd).count() == 0
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(OTHER_TABLES)])
 def test_no_rows(spark, tables, name):
     folder = tables([], benchmark=([], BENCHMARK[1]), labels=([], LABELS[1]))
     assert QUERIES[name](spark, folder).count() == 0

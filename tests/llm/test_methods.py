@@ -286,8 +286,20 @@ def test_encoder_equals_the_library():
 
     got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(pa.array(texts))]
     assert got == [encoder.whole.encode(t, add_special_tokens=False).ids for t in texts]
-    encoder.words = dict.fromkeys(map(str, range(tokens.MOST_CACHED + 1)), b"")  # a full cache is emptied
-    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(pa.array(texts))] == got
+    rng = random.Random(19)
+    pieces = ["a", "'", "'s", "'re", "'LL", "'d", "x1", "22", " ", "\n", "\t ", "!?", "é", "Ü", ".", "s", "ve", "it's", "--'t", "0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    expected = [e.ids for e in encoder.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(pa.array(texts))] == expected
+    long = " ".join(texts)  # in windows
+    [raw] = encoder.encode(pa.array([long]), window=500)
+    assert np.frombuffer(raw, encoder.dtype).tolist() == encoder.whole.encode(long, add_special_tokens=False).ids
+
+
+def test_smallest_id_and_null_ids_are_read_back(spark, tables):
+    docs = [(-(1 << 63), "least", "en", "s"), (None, "null", "en", "s"), (None, "none", "en", "s"), (0, "x", "en", "s"), ((1 << 63) - 1, "most", "en", "s")]
+    rows = sorted(query(6)(spark, tables(docs)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, -(1 << 63), 0, (1 << 63) - 1]
 
 
 def test_token_files_round_trip(spark, tables):
@@ -306,11 +318,11 @@ def test_single_frames_are_read_and_checked(tmp_path):
 
     file = str(tmp_path / "f")
     writer = tokens.FrameWriter(pa.OSFile(file, "wb"))
-    for content in (np.array([5, 6], "<u2").tobytes(), np.array([7], "<u2").tobytes(), np.array([3, 9], "<i8").tobytes(), b"<u2"):
+    for content in (np.array([5, 6], "<u2").tobytes(), np.array([7], "<u2").tobytes(), np.array([0, 9], "<i8").tobytes() + b"\0\1", b"<u2"):
         writer.add(content)
     writer.close()
     reader = tokens.DocumentReader(pa.OSFile(file, "rb"))
-    assert [x.tolist() for x in reader.find(9)] == [[7]] and reader.find(4) == []
+    assert [x.tolist() for x in reader.find(9)] == [[7]] and reader.find(4) == reader.find(0) == []
     raw = bytearray(open(file, "rb").read())
     raw[int(reader.frames.starts[1]) + 9] ^= 1
     open(file, "wb").write(raw)
