@@ -1,10 +1,12 @@
 """Secret scans over a ledger of blobs.
 
 Every version of a text is a blob, named by the SHA-256 of its bytes. The ledger, a Parquet
-folder, has one row per blob and rule version with the spans found. A scan reads the texts
-once, keeps one copy per blob (copies collapse before the shuffle), matches only the rules
-whose present version the ledger lacks for that blob, appends those rows, and joins the
-spans back to all paths. A rerun or a new version of one rule costs only the unseen pairs.
+folder, has one row per blob and rule version with the spans found. A scan keeps one copy
+per blob (copies collapse before the shuffle), matches only the rules whose present version
+the ledger lacks for that blob, appends those rows, and joins the spans back to all paths.
+A later run joins the ids of its blobs with the ledger first. Texts of blobs with nothing
+unseen are read, to name them, but go nowhere: up to half a million unseen blobs are
+picked out where they are, by a broadcast of their ids; more are worth a shuffle of all.
 Native expressions only.
 
 A null text is the empty blob. Rows with equal paths stay separate rows. An empty table
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import documents, let, text_or_empty
+from civiltext.llm.common import documents, let, stored, text_or_empty
 from civiltext.session import scratch_path
 
 
@@ -52,15 +54,17 @@ BASE = (
     Rule("access", 1, "AKIA[A-Z0-9]{12,}"),
     Rule("hex", 1, "[0-9a-f]{32,}"),
 )
-# Public token formats, in addition to the base kinds.
+# Public token formats, in addition to the base kinds. No group is repeated, since Java matches that by recursion, and what
+# may fail after a long run has a bound: neither long texts nor repetitive ones are a danger.
 MORE = (
     Rule("forge", 1, "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", 1, "xox[abprs]-[A-Za-z0-9-]{20,}"),
     Rule("maps", 1, "AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", 1, "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{10,500}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("private_key", 2, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+MOST_UNSEEN = 500_000  # blob ids of 32 bytes in a broadcast
 LEDGER_SCHEMA = "blob binary, rule string, spans array<struct<start: bigint, stop: bigint>>"
 
 
@@ -113,7 +117,13 @@ def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
     current = [r.key for r in rules]
     seen = ledger.filter(F.col("rule").isin(current)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     text = text_or_empty("text")
-    blobs = versions.select(blob_id("text").alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    named = versions.select(blob_id("text").alias("blob"), text.alias("text"))
+    if not ledger.filter(F.col("rule").isin(current)).isEmpty():
+        ids = named.select("blob").distinct().join(seen, "blob", "left")
+        unseen = stored(ids.filter(F.coalesce(F.size("seen"), F.lit(0)) < len(current)).select("blob"), "unseen-blobs")
+        if unseen.count() <= MOST_UNSEEN:
+            named = named.join(F.broadcast(unseen), "blob", "left_semi")
+    blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
     pending = blobs.join(seen, "blob", "left")
     known = F.coalesce(F.col("seen"), F.expr("CAST(array() AS array<string>)"))
     scans = [

@@ -10,9 +10,11 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from civiltext.llm import components, decontaminate, languages, licenses, mixing, personal_data, quality, secrets, simhash, tokens, toxicity
+from civiltext.llm.common import stored
 from civiltext.llm.queries import QUERIES
 from corpus_pipeline import STAGES, run
 
@@ -72,6 +74,33 @@ def test_ledger_scans_only_unseen_pairs(spark, path):
     assert old == {"a": 1, "b": 1, "c": 0, "d": 0}
 
 
+@pytest.mark.parametrize("text", [
+    "-----BEGIN " + "AB " * 700_000, "eyJ" * 500_000, "token: " * 300_000, "AKIA" * 400_000, "f" * 2_000_000, "xoxb-" * 300_000, "-----BEGIN " * 100_000,
+], ids=lambda t: t[:6])
+def test_long_repetitive_texts(spark, text):
+    """Megabytes that every rule starts to match again and again end in time and without deep recursion."""
+    row = spark.createDataFrame([(text,)], "text string")
+    counts = row.select(*[F.size(secrets.rule_spans(F.col("text"), r)).alias(r.kind) for r in secrets.RULES]).first()
+    plain = [len([m for m in re.finditer(p, text) if len(m[g]) >= n]) for _, p, g, n in PLAIN_RULES]
+    assert list(counts[:3]) == plain and counts["private_key"] == 0
+
+
+def test_rerun_moves_no_known_texts(spark, path, monkeypatch):
+    versions = spark.createDataFrame([(str(i), f"token=abcdefgh{i}") for i in range(50)], "path string, text string")
+    secrets.update_ledger(versions, path("ledger"))
+    grouped = []
+    monkeypatch.setattr(secrets, "rule_spans", lambda text, rule, real=secrets.rule_spans: grouped.append(rule) or real(text, rule))
+    more = versions.unionByName(spark.createDataFrame([("new", "token=otherword1")], versions.schema))
+    moved = spark._jsparkSession.sharedState().statusStore()
+    before = moved.executionsList().size()
+    ledger = secrets.update_ledger(more, path("ledger"))
+    assert ledger.count() == 51 * len(secrets.RULES)
+    plans = [moved.executionsList().apply(i).physicalPlanDescription() for i in range(before, moved.executionsList().size())]
+    # the texts pass the broadcast of unseen ids before they are exchanged
+    writing = next(p for p in plans if "regexp_extract_all" in p and "LeftSemi" in p)
+    assert "BroadcastHashJoin" in writing
+
+
 # --- 2: mixing -----------------------------------------------------------------------------
 
 
@@ -111,10 +140,39 @@ def test_mixture_meets_its_targets(spark, tables):
     assert sorted(rows) == sorted(query(2)(spark, folder).collect())
 
 
+@pytest.mark.parametrize("share", [300, 800])
+def test_equal_rows_are_decided_one_by_one(spark, tables, share):
+    """A source most of whose rows are equal in id and size meets its target as others do."""
+    docs = [(None if i < share else i, " ".join(["word"] * 100), "en", "big") for i in range(900)] + [(2000 + i, "a b c", "en", "small") for i in range(300)]
+    rows = [r for r in query(2)(spark, tables(docs)).collect() if r.source == "big"]
+    assert len(rows) == 900 and abs(sum(r.taken for r in rows) - rows[0].target) <= 51
+    assert {r.taken for r in rows} <= {0, 100, 200}
+
+
+def test_mixture_does_not_depend_on_the_partitions(spark, tables):
+    rng = random.Random(13)
+    docs = [(rng.choice([None, i, i // 3]), "w " * rng.randrange(1, 9), "en", rng.choice("abc")) for i in range(300)]
+    sizes = [(i, s, len(t.split())) for i, t, _, s in docs]
+    found = []
+    for parts in (1, 7):
+        frame = spark.createDataFrame(sizes, "id bigint, source string, size bigint").repartition(parts)
+        frame = stored(frame.selectExpr("monotonically_increasing_id() AS row", "*"), "sizes")
+        found.append(sorted(((r.id, r.source, r.size, r.copies) for r in mixing.mix(frame).collect()), key=str))
+    assert found[0] == found[1]
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(14)
+    sizes = {f"s{i:03d}": rng.randrange(1, 10 ** rng.randrange(1, 6)) for i in range(200)}
+    rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint")).collect()
+    expected = plain_targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))})
+    assert {r.source: r.target for r in rows} == pytest.approx(expected)
+
+
 def test_small_groups_and_levels(spark):
-    items = spark.range(400).selectExpr("'s' AS source", "400L AS source_docs", "id", "1 + id % 7 AS size", "1L AS count", "0.3D AS share")
+    items = spark.range(400).selectExpr("id AS row", "'s' AS source", "400L AS source_docs", "id", "1 + id % 7 AS size", "1L AS nth", "0.3D AS share")
     rows = mixing.pivotal_rounding(items, group=4).collect()
-    assert sorted(r.id for r in rows) == list(range(400)) and {r.extra for r in rows} == {0, 1}
+    assert sorted(r.row for r in rows) == list(range(400)) and {r.extra for r in rows} == {0, 1}
     assert abs(sum(r.extra * r.size for r in rows) - 0.3 * sum(r.size for r in rows)) <= 4
 
 
