@@ -47,13 +47,18 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it: not at all, once, or twice."""
-    size = mixing.words_in(docs["text"])
-    sizes = stored(docs.select(F.col("doc_id").alias("id"), "source", size.alias("size")), "sizes")
-    copies = stored(mixing.mix(sizes).filter("copies > 0").select("id", "source", "size", "copies").distinct(), "copies")
-    same = docs["doc_id"].eqNullSafe(copies["id"]) & docs["source"].eqNullSafe(copies["source"]) & (size == copies["size"])
-    times = F.explode(F.sequence(F.lit(1), copies["copies"])).alias(free_name(docs, "copy"))
-    return docs.join(copies, same).select(*[docs[c] for c in docs.columns], times).select(docs.columns)
+    """Each document as often as the mixture takes it: not at all, once, or twice.
+
+    Documents are told apart by id and text; those equal in both are decided one by one too, by a stored number.
+    """
+    row, n = free_name(docs, "row"), free_name(docs, "copies")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = F.struct("doc_id", F.xxhash64("text").alias("of_text"))
+    sizes = stored(rows.select(F.col(row).alias("row"), key.alias("id"), "source", mixing.words_in(F.col("text")).alias("size")), "sizes")
+    copies = mixing.mix(sizes).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(n))
+    taken = rows.join(copies, row)
+    times = F.explode(F.sequence(F.lit(1), F.col(n))).alias(free_name(taken, "copy"))
+    return taken.select(*[taken[c] for c in docs.columns], times).select(docs.columns)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
