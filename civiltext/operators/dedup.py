@@ -1,13 +1,17 @@
 """Near-duplicate removal: MinHash signatures, LSH bands, first-row-wins selection.
 
 Two rows collide when any of their bands falls into the same bucket. Rows are walked in id
-order; a kept row drops every later row it collides with, a dropped row drops nobody. The
-walk is reproduced in rounds over (row, bucket) memberships only: colliding rows are never
-paired up, so a bucket that holds a third of the table costs as much as its rows.
+order; a kept row drops every later row it collides with, a dropped row drops nobody. Rows
+that no chain of collisions connects do not matter to each other, so the walk is made part
+by part, each in a task: a row is kept if none of its buckets is closed, and closes them. A
+part too large for a task is walked in slices of its ids, and what a slice closes is
+dropped from the rest before the next. Colliding rows are never paired up, so a bucket that
+holds a third of the table costs as much as its rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 from multiprocessing.pool import ThreadPool
 
@@ -19,6 +23,8 @@ from pyspark.sql import types as T
 
 from civiltext.functions.hashing import NUM_PERM, PRIME, SEED, permutations, token_hash
 from civiltext.functions.text import token_set
+from civiltext.operators.components import connected_parts
+from civiltext.operators.joins import spread_join
 from civiltext.operators.sampling import sample_n
 from civiltext.session import cut_lineage
 
@@ -26,8 +32,8 @@ THRESHOLD = 0.80
 SWEEP = tuple(round(0.20 + 0.05 * i, 2) for i in range(16))
 BLOCK_TOKENS = 32_768
 PLANS_AT_ONCE = 4
-ROWS_PER_TASK = 1_000_000  # a key with more rows is hot
-MOST_HOT = 20_000  # keys whose rows are joined by a broadcast, the largest ones
+WALKED_AT_ONCE = 500_000  # memberships (row, bucket) of a part that one task walks
+HALVINGS = 20  # of a larger part, for its first slice
 
 
 @lru_cache(maxsize=None)
@@ -115,20 +121,6 @@ def bucket_leaders(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("bucket").agg(F.min("row_id").alias("leader"), F.count("*").alias("n_rows"))
 
 
-def spread_join(facts: DataFrame, lookup: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
-    """Equi-join of `facts` with a `lookup` unique on `key`, safe when few keys hold most facts.
-
-    `lookup.n_rows` says how many facts its key has. The lookup rows of hot keys, those with more facts than a task
-    should take, are broadcast, so that these facts are joined where they are; only the others are shuffled. The
-    broadcast has at most `MOST_HOT` rows; any hot keys beyond are the smaller ones, and AQE splits those.
-    """
-    hot = lookup.filter(F.col("n_rows") > (rows_per_task or ROWS_PER_TASK)).orderBy(F.desc("n_rows")).limit(MOST_HOT)
-    hot = cut_lineage(hot.drop("n_rows"))
-    near = facts.join(F.broadcast(hot), key)
-    far = facts.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup.drop("n_rows"), key)
-    return near.unionByName(far)
-
-
 def collision_leaders(buckets: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """`(row_id, leader, n_buckets)`: each row with the smallest rows of its buckets.
 
@@ -179,37 +171,72 @@ def contested_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def greedy_round(open_rows: DataFrame) -> DataFrame:
-    """One round over undecided rows: adds `state`, one of kept, dropped and open.
+def walked(rows: DataFrame) -> DataFrame:
+    """`(row_id)` that the walk keeps of `rows (part, row_id, keys)`; a task holds the closed buckets of one part at a time."""
 
-    A row leading all its buckets has no undecided earlier neighbour and is kept; everyone
-    else in its buckets is dropped.
-    """
-    members = open_rows.select("row_id", F.explode("keys").alias("bucket"))
-    leaders = bucket_leaders(members)
-    led = leaders.groupBy(F.col("leader").alias("row_id")).agg(F.count("*").alias("n_led"))
-    kept = open_rows.select("row_id", F.size("keys").alias("degree")).join(led, "row_id").filter("n_led = degree")
-    closed = leaders.join(kept.select(F.col("row_id").alias("leader")), "leader", "left_semi").select("bucket", "n_rows")
-    hit = spread_join(members, closed, "bucket")
-    states = hit.select("row_id", F.lit("dropped").alias("state")).unionByName(
-        kept.select("row_id", F.lit("kept").alias("state"))
-    ).groupBy("row_id").agg(F.max("state").alias("state"))
-    return open_rows.join(states, "row_id", "left").withColumn("state", F.coalesce("state", F.lit("open")))
-
-
-def greedy_kept(contested: DataFrame) -> DataFrame:
-    """Ids of the contested rows that the walk keeps; `contested` is read once per round.
-
-    Each round decides at least the smallest open row, so the loop ends; the number of
-    rounds is half the longest chain of rows waiting for one another, so a long history of slightly changed copies takes
-    many; `decided` of each is stored.
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, closed = None, set()
+        for batch in batches:
+            kept = []
+            for part, row_id, keys in zip(*(batch.column(c).to_pylist() for c in ("part", "row_id", "keys"))):
+                if part != now:
+                    now, closed = part, set()
+                if closed.isdisjoint(keys):
+                    closed.update(keys)
+                    kept.append(row_id)
+            yield pa.RecordBatch.from_pydict({"row_id": pa.array(kept, pa.int64())})
+
+    ordered = rows.select("part", "row_id", "keys").repartition("part").sortWithinPartitions("part", "row_id")
+    return ordered.mapInArrow(walk, "row_id bigint")
+
+
+def collision_parts(contested: DataFrame) -> DataFrame:
+    """Adds `part`, the smallest row that collisions connect a row with."""
+    members = contested.select("row_id", F.explode("keys").alias("bucket"))
+    edges = spread_join(members, bucket_leaders(members), "bucket").select(F.col("row_id").alias("a"), F.col("leader").alias("b"))
+    parts, _ = connected_parts(edges)
+    joined = contested.join(parts.withColumnRenamed("node", "row_id"), "row_id", "left")
+    return joined.withColumn("part", F.coalesce("part", "row_id"))  # a row without collisions is a part
+
+
+def first_slices(rows: DataFrame, most: int) -> DataFrame:
+    """`(part, last)`: up to which id the slice of each part goes; a slice has about `most` memberships, or half as many."""
+    halves = [0.5**k for k in range(1, HALVINGS + 1)]
+    load = rows.groupBy("part").agg(
+        F.sum(F.size("keys")).alias("load"), F.max("row_id").alias("largest"), F.percentile_approx("row_id", halves, 1 << HALVINGS).alias("cuts"))
+    halvings = F.ceil(F.log2(F.col("load") / F.lit(float(most)))).cast("int")
+    cut = F.get("cuts", F.least(halvings, F.lit(HALVINGS)) - 1)
+    return load.select("part", "load", F.when(F.col("load") <= most, F.col("largest")).otherwise(cut).alias("last"))
+
+
+def without_closed(rest: DataFrame, slice_rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `rest` that share no bucket with those of `slice_rows` that are kept."""
+    closed = slice_rows.join(kept, "row_id", "left_semi").select(F.explode("keys").alias("bucket")).distinct()
+    members = rest.select("row_id", F.explode("keys").alias("bucket"))
+    loads = bucket_leaders(members).join(closed, "bucket", "left_semi").select("bucket", "n_rows")
+    return rest.join(spread_join(members, loads, "bucket").select("row_id").distinct(), "row_id", "left_anti")
+
+
+def greedy_kept(contested: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """Ids of the contested rows that the walk keeps, and the number of slices of the largest part.
+
+    All rows together are one part if they fit in a task. Otherwise parts up to `most` memberships are walked at once, all
+    in one pass; larger ones slice by slice, so they take about twice their memberships by `most` rounds, however long
+    the chains in them.
     """
-    kept_parts, open_rows = [contested.filter("false").select("row_id")], contested
-    while not open_rows.isEmpty():
-        decided = cut_lineage(greedy_round(open_rows))
-        kept_parts.append(decided.filter("state = 'kept'").select("row_id"))
-        open_rows = decided.filter("state = 'open'").select("row_id", "keys")
-    return reduce(lambda a, b: a.unionByName(b), kept_parts)
+    most = most or WALKED_AT_ONCE
+    if (contested.agg(F.sum(F.size("keys"))).first()[0] or 0) <= most:
+        return walked(contested.withColumn("part", F.lit(0).cast("bigint"))), 1
+    rows, kept, rounds = cut_lineage(collision_parts(contested)), [], 0
+    while not rows.isEmpty():
+        rounds += 1
+        now = rows.join(first_slices(rows, most), "part")
+        now = cut_lineage(now.withColumn("in_slice", F.col("row_id") <= F.col("last")))
+        slice_rows = now.filter("in_slice")
+        kept.append(cut_lineage(walked(slice_rows)))
+        rest = now.filter("NOT in_slice").select("part", "row_id", "keys")
+        rows = cut_lineage(without_closed(rest, slice_rows.filter(F.col("load") > most), kept[-1]))
+    return reduce(lambda a, b: a.unionByName(b), kept), rounds
 
 
 def kept_ids(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,7 +248,7 @@ def surviving(rows: DataFrame) -> DataFrame:
     """Ids the walk keeps among `(row_id, keys)`; `rows` is read twice, so store it first."""
     contested = cut_lineage(contested_rows(rows))
     free = rows.select("row_id").join(contested, "row_id", "left_anti")
-    return free.unionByName(greedy_kept(contested))
+    return free.unionByName(greedy_kept(contested)[0])
 
 
 def dropped_ids(ids: DataFrame, kept: DataFrame) -> DataFrame:

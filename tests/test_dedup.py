@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civiltext.functions.hashing import PRIME, permutations
-from civiltext.operators import dedup
+from civiltext.operators import components, dedup, joins
 from civiltext.session import cut_lineage
 
 # Threshold -> bands and rows per band at 128 permutations.
@@ -59,7 +59,7 @@ def test_known_shapes(spark):
 def test_random_graphs_equal_the_walk(spark, monkeypatch, hot):
     """Many small graphs side by side; with `hot`, every shared bucket of more than two rows takes the broadcast path."""
     if hot:
-        monkeypatch.setattr(dedup, "ROWS_PER_TASK", 2)
+        monkeypatch.setattr(joins, "ROWS_PER_TASK", 2)
     rng, keys = random.Random(1), {}
     for graph in range(60):
         n, buckets = rng.randint(2, 14), rng.randint(1, 10)
@@ -69,12 +69,57 @@ def test_random_graphs_equal_the_walk(spark, monkeypatch, hot):
 
 
 def test_one_bucket_with_a_third_of_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 50)
     rng = random.Random(2)
     keys = {i: [f"a{i % 3 and i}", f"b{rng.randrange(400)}"] for i in range(600)}
     assert surviving(spark, keys) == walk(keys)[0]
 
 
+def contested(spark, keys):
+    rows = spark.createDataFrame(list(keys.items()), "row_id BIGINT, keys ARRAY<STRING>")
+    return cut_lineage(rows.select("row_id", F.transform("keys", lambda k: k.cast("binary")).alias("keys")))
+
+
+def kept_in_parts(spark, keys, most):
+    kept, rounds = dedup.greedy_kept(contested(spark, keys), most)
+    return {r.row_id for r in kept.collect()}, rounds
+
+
+@pytest.mark.parametrize("most, rounds", [(30_000, 1), (6_000, 6)])
+def test_chain_of_ten_thousand_revisions(spark, most, rounds):
+    """Each revision collides with the next: whole in one task, or in slices, never one round for two rows."""
+    keys = {i: [f"{i}", f"{i + 1}"] for i in range(10_000)}
+    kept, taken = kept_in_parts(spark, keys, most)
+    assert kept == set(range(0, 10_000, 2)) and taken <= rounds
+
+
+def test_parts_and_slices_equal_the_walk(spark):
+    rng, keys = random.Random(4), {}
+    for graph, n in enumerate([40, 3, 2, 25, 12, 2, 60]):
+        for _ in range(n):
+            keys[len(keys) * 7 % 997] = [f"{graph}:{b}:{rng.randrange(8)}" for b in range(3)]
+    for most in (20, 100):
+        kept, rounds = kept_in_parts(spark, keys, most)
+        assert kept == walk(keys)[0] and rounds <= 2 * 3 * len(keys) / most + 2
+
+
+def test_hot_bucket_takes_few_slices(spark):
+    keys = {i: [f"a{i % 3 and i}", f"b{i}"] for i in range(900)}
+    kept, rounds = kept_in_parts(spark, keys, 50)
+    assert kept == walk(keys)[0] and rounds <= 2
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_connected_parts(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(joins, "ROWS_PER_TASK", 2)
+    edges = [(i, i + 1) for i in range(2000)] + [(5000, 5000 + i) for i in range(200)] + [(7001, 7000), (7000, 7002), (3, 3)]
+    found, rounds = components.connected_parts(spark.createDataFrame(edges, "a bigint, b bigint"))
+    parts = {r.node: r.part for r in found.collect()}
+    assert parts == {**dict.fromkeys(range(2001), 0), **dict.fromkeys(range(5000, 5200), 5000), **dict.fromkeys((7000, 7001, 7002), 7000)}
+    assert rounds <= 16
+
+
 def test_band_plans():
     assert {t: dedup.band_plan(t) for t in BANDS} == BANDS
 
@@ -137,7 +182,7 @@ def test_sample_signatures_caps_at_the_population(texts):
 @pytest.mark.parametrize("hot", [False, True])
 def test_leaders_and_similarity(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(dedup, "ROWS_PER_TASK", 2)
+        monkeypatch.setattr(joins, "ROWS_PER_TASK", 2)
     rng = random.Random(3)
     keys = {i: [(b, f"{b}:{rng.randrange(6)}") for b in range(2)] for i in range(40)}
     table = [(i, b, k) for i, ks in keys.items() for b, k in ks]
