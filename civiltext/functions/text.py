@@ -46,6 +46,23 @@ LEET_CHARS, LEET_LETTERS = "01345@$7", "oieasast"
 LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN = "асеорхуАСЕОРХ", "aceopxyACEOPX"
 VOWELS = "aeiouаеиоуыэюя"
 STRESS_VARIANTS = 4
+MARKS = r"\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}"  # combining ones
+INVISIBLE = r"\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}"
+MARKED, PILED, PARTED = f"([A-Za-z])[{MARKS}]+", f"[{MARKS}]{{2,}}", rf"(\p{{L}})[{INVISIBLE}]+"
+
+
+def _compatibility_forms() -> tuple[str, str]:
+    """Characters that stand for an ASCII one, by the blocks they are arranged in, and what they stand for."""
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    blocks = [(0xFF01, "".join(map(chr, range(0x21, 0x7F))), 1)]  # full width
+    blocks += [(0x1D400, upper + lower, 13), (0x1D7CE, digits, 5)]  # thirteen mathematical alphabets, five sets of digits
+    blocks += [(0x24B6, upper + lower, 1)]  # in circles
+    blocks += [(begin, upper, 1) for begin in (0x1F130, 0x1F150, 0x1F170, 0x1F1E6)]  # in squares, on black, and letters of flags
+    forms = "".join(chr(begin + i) for begin, letters, times in blocks for i in range(len(letters) * times))
+    return forms, "".join(letters * times for _, letters, times in blocks)
+
+
+FORMS, FORM_LETTERS = _compatibility_forms()
 
 
 def _guarded(text: Column, literal: str, result: Column) -> Column:
@@ -154,12 +171,19 @@ def squeeze_letters(text: Column) -> Column:
     return F.regexp_replace(text, r"(\p{L})\1{2,}", "$1")
 
 
+def fold_forms(text: Column) -> Column:
+    """Undo Unicode disguises: styled letters and digits, marks on Latin letters or piled up, invisible characters in words."""
+    plain = F.regexp_replace(F.translate(text, FORMS, FORM_LETTERS), PARTED, "$1")
+    return F.regexp_replace(F.regexp_replace(plain, MARKED, "$1"), PILED, "")
+
+
 def deobfuscate(text: Column) -> Column:
-    """Undo spacing, digit-for-letter writing, repeated letters and look-alike letters.
+    """Undo Unicode disguises, spacing, digit-for-letter writing, repeated letters and look-alike letters.
 
     Look-alikes are folded to Latin only where Latin letters are at least as many as
     Cyrillic ones, so Russian text stays Russian.
     """
+    text = fold_forms(text)
     joined = join_spaced_letters(text)
     plain = squeeze_letters(F.translate(joined, LEET_CHARS, LEET_LETTERS))
     folded = F.translate(plain, LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN)

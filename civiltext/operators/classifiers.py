@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizerModel, PCAModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 
 from civiltext.functions.hashing import SEED
 from civiltext.functions.once import evaluated_once
-from civiltext.functions.text import word_tokens
-from civiltext.operators.features import fit_tfidf, term_stages, tidy_stage
+from civiltext.operators.features import fit_tfidf, tidy_stage
 from civiltext.operators.linear import linear_model, toxic_probability
 from civiltext.operators.metrics import predict_default
 from civiltext.operators.sampling import class_counts, train_subset
+from civiltext.session import cut_lineage
 
 # Training settings of the studied models.
 C, MAX_ITER = 1.0, 1000
@@ -30,8 +30,7 @@ BATCH_SIZE = 64
 SUBSET_SIZE = 100_000
 
 TOLERANCE = 1e-5
-ROWS_PER_PART = 50_000  # of word vectors, which are trained per part and averaged
-MAX_WORDS = 100_000  # with a vector
+DENSE_TERMS = 2_000  # of the vocabulary whose directions are sought
 
 
 def class_weights(df: DataFrame) -> DataFrame:
@@ -70,30 +69,28 @@ def logreg_fit(
     return PipelineModel([*features.stages, fitted, tidy_stage("features", "rawPrediction")])
 
 
+def dense_model(terms: PipelineModel, directions: PCAModel, network) -> PipelineModel:
+    """Weighted terms, their shares along the directions, and a perceptron over these."""
+    return PipelineModel([*terms.stages, directions, network, tidy_stage("features", "dense", "rawPrediction")])
+
+
 def dense_fit(
-    train: DataFrame, vector_size: int = 32, hidden: int = 16, max_iter: int = 50, min_count: int = 5,
-    seed: int = SEED,
+    train: DataFrame, vector_size: int = 32, hidden: int = 16, max_iter: int = 50, max_terms: int = DENSE_TERMS,
+    seed: int = SEED, **tfidf,
 ) -> PipelineModel:
-    """Averaged word vectors and a small perceptron: the high-capacity end of the study on MLlib stages.
+    """Directions of the vocabulary and a small perceptron: the high-capacity end of the study on MLlib stages.
 
-    Vectors are trained in as many parts as the rows need, for the words that occur `min_count` times or, if more than
-    `MAX_WORDS` do, for those that are more frequent than the first word beyond; that bounds what the driver gathers.
+    The covariances of the most frequent terms are summed in the tasks and reduced in a tree; their matrix has a fixed
+    size, 32 MB for `DENSE_TERMS` terms, and its leading directions make a text a short dense vector.
     """
-    counts = train.select(F.explode(word_tokens(F.col("text"))).alias("word")).groupBy("word").count()
-    beyond = counts.filter(F.col("count") >= min_count).orderBy(F.desc("count")).offset(MAX_WORDS).limit(1).first()
-    parts = -(-train.count() // ROWS_PER_PART) or 1
-    stages = [
-        term_stages()[0],
-        Word2Vec(
-            inputCol="words", outputCol="features", vectorSize=vector_size, seed=seed, numPartitions=parts,
-            minCount=beyond["count"] + 1 if beyond else min_count,
-        ),
-        MultilayerPerceptronClassifier(
-            featuresCol="features", labelCol="y", layers=[vector_size, hidden, 2], maxIter=max_iter, seed=seed
-        ),
-        tidy_stage("words", "features", "rawPrediction"),
-    ]
-    return Pipeline(stages=stages).fit(train)
+    terms = fit_tfidf(train, max_features=max_terms, **tfidf)
+    vectors = cut_lineage(terms.transform(train).select("y", "features"))
+    size = min(vector_size, len(next(s for s in terms.stages if isinstance(s, CountVectorizerModel)).vocabulary))
+    directions = PCA(k=size, inputCol="features", outputCol="dense").fit(vectors)
+    network = MultilayerPerceptronClassifier(
+        featuresCol="dense", labelCol="y", layers=[size, hidden, 2], maxIter=max_iter, seed=seed
+    ).fit(cut_lineage(directions.transform(vectors).select("y", "dense")))
+    return dense_model(terms, directions, network)
 
 
 def dense_subset_fit(train: DataFrame, subset: int = SUBSET_SIZE, **options) -> PipelineModel:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from civiltext.functions.hashing import SEED, order_key
 from civiltext.functions.text import STRESS_VARIANTS, basic_normalize, deobfuscate, obfuscate
+from civiltext.session import cut_lineage
 
 METRICS = ("precision", "recall", "f1_score", "pr_auc")
 
@@ -66,10 +67,20 @@ def pareto_front(models: DataFrame, quality: str = "f1_score", cost: str = "ms_p
 
 
 def _running_records(per_cost: DataFrame, cost: str) -> DataFrame:
-    """Costs whose top quality exceeds that of every lower cost. One row per distinct cost of a model list."""
-    cheaper = W.orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
-    best = F.max("top").over(cheaper)
-    return per_cost.withColumn("best", best).filter(F.col("best").isNull() | (F.col("top") > F.col("best"))).drop("best")
+    """Costs whose top quality exceeds that of every lower cost, a null cost being the lowest.
+
+    Costs are dealt by range. A running maximum within each range starts from the best of the ranges before, which comes
+    from one value per range.
+    """
+    dealt = cut_lineage(per_cost.repartitionByRange(cost).withColumn("range", F.spark_partition_id()))
+    tops = dealt.groupBy("range").agg(F.max("top").alias("top"))
+    listed = F.broadcast(tops.agg(F.collect_list(F.struct("range", "top")).alias("tops")))  # one row, a value per range
+    earlier = F.filter("tops", lambda t: t["range"] < F.col("range"))
+    before = F.array_max(F.transform(earlier, lambda t: t["top"]))
+    cheaper = W.partitionBy("range").orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
+    within = dealt.withColumn("within", F.max("top").over(cheaper)).join(listed)
+    best = F.greatest("within", before)  # nulls do not count
+    return within.withColumn("best", best).filter(F.col("best").isNull() | (F.col("top") > F.col("best"))).select(cost, "top")
 
 
 def disagreements(first: DataFrame, second: DataFrame, threshold: float = 0.5) -> DataFrame:

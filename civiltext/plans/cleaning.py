@@ -71,8 +71,12 @@ def basic_normalized(spark, sf_dir):
     return inputs.noisy(spark, sf_dir).select("row_id", rules.basic_normalize(F.col("text")).alias("text"))
 
 
+# evasions of each kind, for every text
+SPELLED = " 1 y-o-u a.r.e aaan 1d10000t i d i o t; соrе ｉｄｉｏｔ 𝓲𝓭𝓲𝓸𝓽 𝟙𝔻𝟙𝟘𝕥 ⓘⓓⓘⓞⓣ 🅸🅳🅸🅾🆃 🇮🇩🇮🇴🇹 i\u0336d\u0336i\u0301o\u0308t й и\u0306 и\u0306\u0336 id\u200bi\u00adot"
+
+
 def deobfuscated(spark, sf_dir):
-    spelled = F.concat(F.col("text"), F.lit(" 1 y-o-u a.r.e aaan 1d10000t i d i o t; "), F.lit("соrе"))
+    spelled = F.concat(F.col("text"), F.lit(SPELLED))
     return inputs.documents(spark, sf_dir).select("row_id", rules.deobfuscate(spelled).alias("text"))
 
 
@@ -117,7 +121,11 @@ SELECT stage, before, after, before - after AS dropped, round((before - after) *
 
 # Runs of lone letters are put between marks (U+0001); separators go only inside the marks.
 _spaced = rf"(^|[^{rules.WORD_CHARS}])((?:\p{{L}}[ .*-]){{2,}}\p{{L}})($|[^{rules.WORD_CHARS}])"
-DEOBFUSCATE_CTES = f"""marked AS (SELECT *, string_split(regexp_replace(text, '{_spaced}', '\\1\x01\\2\x01\\3', 'g'), '\x01') AS parts FROM spelled),
+_folded = replace_all(replace_all(replace_all(
+    "translate(text, '" + rules.FORMS.replace("'", "''") + "', '" + rules.FORM_LETTERS.replace("'", "''") + "')",
+    rules.PARTED, r"\1"), rules.MARKED, r"\1"), rules.PILED, "")
+DEOBFUSCATE_CTES = f"""folded AS (SELECT * REPLACE ({_folded} AS text) FROM spelled),
+marked AS (SELECT *, string_split(regexp_replace(text, '{_spaced}', '\\1\x01\\2\x01\\3', 'g'), '\x01') AS parts FROM folded),
 joined AS (
   SELECT *, array_to_string(list_transform(parts, lambda p, i:
     CASE WHEN i % 2 = 0 THEN regexp_replace(p, '[ .*-]', '', 'g') ELSE p END), '') AS j FROM marked),
@@ -128,7 +136,7 @@ squeezed AS (
 # of `squeezed`, the last of them
 DEOBFUSCATED = f"""CASE WHEN {inputs.language_sql("text")} = 'English'
   THEN translate(s, '{rules.LOOKALIKE_CYRILLIC}', '{rules.LOOKALIKE_LATIN}') ELSE s END"""
-_deobfuscate_ctes = f""", spelled AS (SELECT row_id, text || ' 1 y-o-u a.r.e aaan 1d10000t i d i o t; ' || 'соrе' AS text FROM docs),
+_deobfuscate_ctes = f""", spelled AS (SELECT row_id, text || '{SPELLED}' AS text FROM docs),
 {DEOBFUSCATE_CTES}
 SELECT row_id, {DEOBFUSCATED} AS text FROM squeezed"""
 

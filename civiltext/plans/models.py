@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
 from pyspark.ml.common import _py2java
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import CountVectorizerModel, PCAModel
+from pyspark.ml.linalg import Matrices, Vectors
 from pyspark.sql import functions as F
 
 from civiltext.functions import text as rules
@@ -21,7 +21,10 @@ from civiltext.session import scratch_path
 from civiltext.sources import artifacts
 
 FIXED_BIAS = 0.25
-FLAT = 2e-3  # largest entry of the gradient per row at which a fit counts as converged
+DENSE, HIDDEN, DENSE_SUBSET = 4, 3, 150
+DENSE_WEIGHTS = [(j * 37 % 41 - 20) / 10 for j in range((DENSE + 1) * HIDDEN + (HIDDEN + 1) * 2)]  # of the fixed perceptron
+TIGHT = 1e-7  # tolerance of the fits whose gradient is looked at
+FLAT = 5e-5  # largest entry of the gradient per row at which a fit counts as converged
 MIN_DF = 2  # the labelled part of the small tables has few rows
 
 
@@ -70,10 +73,10 @@ def logreg_scores(spark, sf_dir):
     return scored.select("row_id", "y", "split", F.round("p_toxic", 6).alias("p_toxic"), metrics.predict_default().alias("pred"))
 
 
-def _gradient(spark, sf_dir, weighted: bool):
+def _gradient(spark, sf_dir, weighted: bool, **options):
     """Rows and terms of a fit, and whether the loss per row is flat at its weights, in each direction, within a bound."""
     train = dedup.cut_lineage(_train(spark, sf_dir))
-    model = classifiers.logreg_fit(train, weighted=weighted, min_df=MIN_DF)
+    model = classifiers.logreg_fit(train, weighted=weighted, min_df=MIN_DF, tol=TIGHT, **options)
     regression = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
     rows = classifiers.with_class_weights(train) if weighted else train.withColumn("weight", F.lit(1.0))
     tfidf = features.tfidf_rows(train, PipelineModel(model.stages[: model.stages.index(regression)]))
@@ -104,14 +107,37 @@ def class_weights(spark, sf_dir):
     return weights.select("y", "n", F.round("weight", 6).alias("weight"))
 
 
+def _fixed_dense(spark, train) -> PipelineModel:
+    """TF-IDF of the rows, directions whose entries are hashes of the terms, and a perceptron of fixed weights."""
+    fitted = features.fit_tfidf(train, max_features=classifiers.DENSE_TERMS, min_df=MIN_DF)
+    terms = next(s for s in fitted.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    entries = [_term_weight(f"direction{k}", t) for k in range(DENSE) for t in terms]  # column by column
+    jvm, context = spark._jvm.org.apache.spark.ml, spark.sparkContext
+    matrix = _py2java(context, Matrices.dense(len(terms), DENSE, entries))
+    directions = jvm.feature.PCAModel("fixed-directions", matrix, _py2java(context, Vectors.dense([0.0] * DENSE)))
+    directions.set(directions.k(), DENSE)
+    network = jvm.classification.MultilayerPerceptronClassificationModel("fixed-network", _py2java(context, Vectors.dense(DENSE_WEIGHTS)))
+    layers = context._gateway.new_array(context._jvm.int, 3)
+    layers[0], layers[1], layers[2] = DENSE, HIDDEN, 2
+    network.set(network.layers(), layers)
+    directions = PCAModel(directions).setInputCol("features").setOutputCol("dense")
+    return classifiers.dense_model(fitted, directions, MultilayerPerceptronClassificationModel(network).setFeaturesCol("dense"))
+
+
+def _dense_rows(model, rows):
+    scored = classifiers.predict_proba(model, rows)
+    return scored.select("row_id", "y", F.round("p_toxic", 6).alias("p_toxic"), metrics.predict_default().alias("pred"))
+
+
 def dense_scores(spark, sf_dir):
-    model = classifiers.fit("dense", _train(spark, sf_dir), vector_size=8, hidden=4, max_iter=10)
-    return classifiers.predict(model, _held_out(spark, sf_dir)).select("row_id", "y", "pred")
+    """Held-out rows through directions and perceptron of fixed weights, over the vocabulary of the train part."""
+    return _dense_rows(_fixed_dense(spark, _train(spark, sf_dir)), _held_out(spark, sf_dir))
 
 
 def dense_subset_scores(spark, sf_dir):
-    model = classifiers.fit("dense_subset", _train(spark, sf_dir), subset=150, vector_size=8, hidden=4, max_iter=10)
-    return classifiers.predict(model, _held_out(spark, sf_dir)).select("row_id", "y", "pred")
+    """The same over the vocabulary of a stratified subset of the train part."""
+    subset = sampling.train_subset(_train(spark, sf_dir), DENSE_SUBSET)
+    return _dense_rows(_fixed_dense(spark, subset), _held_out(spark, sf_dir))
 
 
 def _length_model():
@@ -156,6 +182,14 @@ def promoted_checkpoint(spark, sf_dir):
     return stats.select("split", "n", F.round("toxic_rate", 6).alias("toxic_rate"), (size > 0).alias("has_model"))
 
 
+def scoring_throughput(spark, sf_dir):
+    """Rows scored in the timed passes over the held-out texts; of the speed only that it agrees with rows and seconds."""
+    runs = evaluation.timed_runs(_fixed_model(spark, sf_dir, "first"), _held_out(spark, sf_dir), 2, "first")
+    seconds = runs.groupBy("model").agg(F.sum("seconds").alias("seconds"))
+    agrees = F.abs(F.col("rows_per_second") * F.col("seconds") - F.col("rows")) < 1e-6 * F.col("rows")
+    return evaluation.throughput(runs).join(seconds, "model").select("model", "rows", "passes", agrees.alias("agrees"))
+
+
 def model_evaluation(spark, sf_dir):
     """The nested result block of a model of fixed weights, flattened; timings are part of it, but not of this query."""
     parts = inputs.splits(spark, sf_dir)
@@ -203,6 +237,7 @@ QUERIES = {
     "dense_subset_scores": dense_subset_scores,
     "saved_model_scores": saved_model_scores,
     "promoted_checkpoint": promoted_checkpoint,
+    "scoring_throughput": scoring_throughput,
     "model_evaluation": model_evaluation,
     "clean_against_stress": clean_against_stress,
     "routed_models": routed_models,
@@ -212,6 +247,31 @@ def _normal(text: str) -> str:
     return f"trim({inputs.replace_all(f'lower({text})', inputs.SPACE, ' ')})"
 
 
+def _dense_sql(chosen: str) -> str:
+    """The forward pass over the vocabulary of `chosen (row_id, text)`."""
+    inner = (DENSE + 1) * HIDDEN
+    def weighed(name: str, n: int, outputs: int, o: int, start: int) -> str:
+        terms = [f"({DENSE_WEIGHTS[start + o + outputs * i]}) * {name}{i}" for i in range(n)]
+        return " + ".join([*terms, f"({DENSE_WEIGHTS[start + outputs * n + o]})"])
+    def entry(k: int) -> str:
+        return f"({hash_sql(f"'direction{k}:' || t.term")} % 2001 - 1000)::DOUBLE / 100.0::DOUBLE"
+    hidden = ", ".join(f"1 / (1 + exp(-({weighed('z', DENSE, HIDDEN, o, 0)}))) AS h{o}" for o in range(HIDDEN))
+    return f"""dense_words AS (SELECT row_id, regexp_extract_all(lower(text), '{rules.WORD}{{2,}}') AS w FROM {chosen}),
+dense_terms AS (SELECT row_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM dense_words),
+dense_counts AS (SELECT term, count(DISTINCT row_id) AS df, count(*) AS tf FROM dense_terms GROUP BY term),
+dense_n AS (SELECT count(*) AS n FROM dense_words),
+dense_vocab AS (SELECT term, ln((1 + n)::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf FROM dense_counts, dense_n
+  WHERE df >= {MIN_DF} AND df <= 0.8::DOUBLE * n ORDER BY tf DESC, term LIMIT {classifiers.DENSE_TERMS}),
+held_words AS (SELECT row_id, regexp_extract_all(lower(text), '{rules.WORD}{{2,}}') AS w FROM held),
+held_terms AS (SELECT row_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM held_words),
+held_hits AS (SELECT row_id, t.term, count(*) * any_value(v.idf) AS x FROM held_terms t JOIN dense_vocab v ON v.term = t.term GROUP BY ALL),
+directed AS (SELECT row_id, {", ".join(f"sum(x * {entry(k)}) / sqrt(sum(x * x)) AS z{k}" for k in range(DENSE))} FROM held_hits t GROUP BY row_id),
+filled AS (SELECT h.row_id, h.y, {", ".join(f"coalesce(z{k}, 0) AS z{k}" for k in range(DENSE))} FROM held h LEFT JOIN directed d ON d.row_id = h.row_id),
+inner_layer AS (SELECT row_id, y, {hidden} FROM filled),
+outer_layer AS (SELECT row_id, y, 1 / (1 + exp(({weighed('h', HIDDEN, 2, 0, inner)}) - ({weighed('h', HIDDEN, 2, 1, inner)}))) AS p FROM inner_layer)
+SELECT row_id, y, round(p, 6) AS p_toxic, (p > 0.5)::INTEGER AS pred FROM outer_layer"""
+
+
 _held = ", held AS (SELECT * FROM splits WHERE split <> 'train'),"
 _train_terms = f""", words_train AS (SELECT row_id, regexp_extract_all(lower(text), '{rules.WORD}{{2,}}') AS w FROM splits WHERE split = 'train'),
 terms_train AS (SELECT row_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM words_train),
@@ -219,7 +279,18 @@ counts_train AS (SELECT term, count(DISTINCT row_id) AS df FROM terms_train GROU
 SELECT (SELECT count(*) FROM words_train) AS n_rows, least(count(*), 10000) AS n_terms, true AS flat
 FROM counts_train WHERE df >= {MIN_DF} AND df <= 0.8::DOUBLE * (SELECT count(*) FROM words_train)"""
 
+_subset = f"""train_rows AS (SELECT * FROM splits WHERE split = 'train'),
+train_counts AS (SELECT y, count(*) AS n FROM train_rows GROUP BY y),
+train_shares AS (SELECT y, n::DOUBLE / (SELECT sum(n) FROM train_counts)::DOUBLE * {DENSE_SUBSET} AS exact FROM train_counts),
+train_quota AS (SELECT y, floor(exact)::BIGINT + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, y)
+    <= {DENSE_SUBSET} - (SELECT sum(floor(exact)) FROM train_shares) THEN 1 ELSE 0 END AS quota FROM train_shares),
+train_ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('subset:42:' || row_id), row_id) AS k FROM train_rows),
+chosen AS (SELECT r.row_id, r.text FROM train_ranked r JOIN train_quota q ON r.y = q.y
+  WHERE k <= quota OR (SELECT sum(n) FROM train_counts) <= {DENSE_SUBSET}),"""
+
 SQL = {
+    "dense_scores": with_ctes(("splits",), f"{_held} chosen AS (SELECT row_id, text FROM splits WHERE split = 'train'), {_dense_sql('chosen')}"),
+    "dense_subset_scores": with_ctes(("splits",), f"{_held} {_subset} {_dense_sql('chosen')}"),
     "logreg_scores": with_ctes(("splits", "vocab"), f"""{_held}{_fixed_sql("held", "fixed", "first")}
 SELECT row_id, y, split, round(p_toxic, 6) AS p_toxic, (p_toxic > 0.5)::INTEGER AS pred FROM fixed"""),
     "logreg_gradient": with_ctes(("splits",), _train_terms),
@@ -242,6 +313,9 @@ SELECT variant, tn, fp, fn, tp, {scores_sql.QUALITY} FROM ({scores_sql.counts_sq
 SELECT a.row_id, a.y, CASE WHEN a.p_toxic BETWEEN 0.3 AND 0.7 THEN 'costly' ELSE 'cheap' END AS scored_by,
   round(CASE WHEN a.p_toxic BETWEEN 0.3 AND 0.7 THEN b.p_toxic ELSE a.p_toxic END, 6) AS p_toxic
 FROM cheap a JOIN costly b ON a.row_id = b.row_id"""),
+    "scoring_throughput": with_ctes(
+        ("splits",), "SELECT 'first' AS model, 2 * count(*) AS rows, 2 AS passes, true AS agrees FROM splits WHERE split <> 'train'"
+    ),
     "tfidf_terms": with_ctes(
         ("terms",), "SELECT row_id, len(terms) AS n_terms, md5(array_to_string(terms, '|')) AS terms_md5 FROM terms"
     ),

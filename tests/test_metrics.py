@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +106,19 @@ def test_pareto_front(spark):
     assert {r.model for r in compare.pareto_front(models).collect()} == {"fast", "slow", "twin"}
 
 
+def test_front_of_many_costs_in_ranges(spark):
+    rng = random.Random(3)
+    rows = [(str(i), rng.choice([None, rng.randrange(40) / 4 + k / 40, 5.0]), None if i == 7 else float(k)) for i in range(300) for k in [rng.randrange(60)]]
+    models = spark.createDataFrame(rows, "model STRING, f1_score DOUBLE, ms_per_sample DOUBLE")
+    there = [r for r in rows if r[1] is not None and r[2] is not None]
+    lowest = max((q for _, q, c in rows if c is None and q is not None), default=float("-inf"))
+    expected = {m for m, q, c in there if q > lowest and not any(q2 >= q and c2 <= c and (q2 > q or c2 < c) for _, q2, c2 in there)}
+    front = compare.pareto_front(models)
+    assert {r.model for r in front.collect()} == expected
+    assert "SinglePartition" not in compare._running_records(models.groupBy("ms_per_sample").agg(F.max("f1_score").alias("top")), "ms_per_sample")\
+        ._jdf.queryExecution().executedPlan().toString().split("Window")[1].split("BroadcastExchange")[0]
+
+
 def test_cached_experiment_runs_once(spark):
     calls, done = [], []
     for _ in range(2):

@@ -1,16 +1,19 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, PCAModel
 from pyspark.sql import functions as F
 
 from civiltext.operators import classifiers, cleaning, compare, evaluation, features
 from civiltext.operators.sampling import make_splits
+from civiltext.plans import models
 from civiltext.sources import artifacts
 from civiltext.streaming.screening import screen
 
+SF_DIR = "/root/testdata/sf0.001"
 WORDS = "calm sunny happy river garden awful stupid hate idiot trash some other common words here".split()
 
 
@@ -84,6 +87,38 @@ def test_logreg_reaches_its_optimum(splits):
     assert np.abs(w + x.T @ (p - y)).max() < 1e-3 and abs((p - y).sum()) < 1e-3
 
 
+def test_a_fit_stopped_early_is_not_flat(spark):
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("test tables are not here")
+    for weighted in (False, True):
+        assert [r.flat for r in models._gradient(spark, SF_DIR, weighted, max_iter=15).collect()] == [False]
+
+
+def test_directions_are_those_of_the_term_matrix(splits):
+    train = splits.filter("split = 'train'")
+    model = classifiers.dense_fit(train, vector_size=3, max_iter=3, min_df=2, max_df=0.9)
+    x = np.array([r.features.toArray() for r in features.fit_tfidf(train, max_features=2000, min_df=2, max_df=0.9).transform(train).collect()])
+    _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    pc = next(s for s in model.stages if isinstance(s, PCAModel)).pc.toArray()
+    assert np.abs(np.abs((pc * v[:3].T).sum(axis=0)) - 1).max() < 1e-6
+
+
+@pytest.mark.parametrize("kind", ["dense", "dense_subset"])
+def test_dense_models_separate_and_are_saved(kind, splits, path):
+    model = classifiers.fit(kind, splits.filter("split = 'train'"), vector_size=8, hidden=6, min_df=2, max_df=0.9)
+    rows = classifiers.predict_proba(model, splits).collect()
+    assert np.mean([(r.p_toxic > 0.5) == r.y for r in rows]) > 0.9
+    artifacts.save_model(model, path(kind))
+    again = {r.row_id: r.p_toxic for r in classifiers.predict_proba(artifacts.load_model(path(kind)), splits).collect()}
+    assert again == {r.row_id: r.p_toxic for r in rows}
+
+
+def test_throughput_counts_what_it_scores(model, splits):
+    runs = evaluation.timed_runs(model, splits.filter("split = 'test'"), 3, "m")
+    [row] = evaluation.throughput(runs).collect()
+    assert (row.rows, row.passes) == (3 * splits.filter("split = 'test'").count(), 3) and row.rows_per_second > 0
+
+
 def test_scores_and_strict_label(model, splits):
     rows = classifiers.predict_proba(model, splits).collect()
     assert all(r.p_safe + r.p_toxic == pytest.approx(1) for r in rows)
