@@ -21,7 +21,11 @@ from civiltext.llm.common import SPACE, WORD, documents, let, stored, text_or_em
 WINDOW = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
-HOST_RATE = 0.8
+# A host goes if its documents surely fail several times as often as the corpus, or, where many fail anyway, more often
+# than half-way from the corpus to all. Sure is what still holds two posterior deviations lower: a few bad documents are
+# no evidence against a host.
+HOST_MULTIPLE = 3.0
+DEVIATIONS = 2.0
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -99,21 +103,24 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def host_verdicts(judged: DataFrame, host: str, base_failed: str = "base_failed", limit: float = HOST_RATE) -> DataFrame:
-    """`(host, host_docs, host_failures, host_rate, host_ok)`: shrunk failure rates, one row per host."""
+def host_verdicts(judged: DataFrame, host: str, base_failed: str = "base_failed", multiple: float = HOST_MULTIPLE) -> DataFrame:
+    """`(host, host_docs, host_failures, host_rate, host_low, host_ok)`, one row per host: shrunk failure rates and their lower bounds."""
     hosts = judged.filter(F.col(host).isNotNull()).groupBy(host).agg(
         F.count("*").alias("n"), F.sum(F.col(base_failed).cast("bigint")).alias("fails")
     )
     hosts = stored(hosts, "hosts")
     a, b = beta_prior(hosts)
+    mean = a / (a + b)
+    limit = min(multiple * mean, (1 + mean) / 2)
     shrunk = (F.col("fails") + a) / (F.col("n") + (a + b))
+    low = shrunk - F.lit(DEVIATIONS) * F.sqrt(shrunk * (F.lit(1.0) - shrunk) / (F.col("n") + (a + b + 1)))
     return hosts.select(
-        host, F.col("n").alias("host_docs"), F.col("fails").alias("host_failures"), shrunk.alias("host_rate"),
-        (shrunk <= limit).alias("host_ok"),
+        host, F.col("n").alias("host_docs"), F.col("fails").alias("host_failures"), shrunk.alias("host_rate"), low.alias("host_low"),
+        (low <= limit).alias("host_ok"),
     )
 
 
-def judge(docs: DataFrame, id_column: str, host: str, limit: float = HOST_RATE) -> DataFrame:
+def judge(docs: DataFrame, id_column: str, host: str, multiple: float = HOST_MULTIPLE) -> DataFrame:
     """Counts of every text, whether its own rules reject it, and whether it is kept given its host."""
     # explode keeps the measures from being computed again for each of their fields
     measured = docs.select(id_column, host, F.explode(F.array(text_measures(text_or_empty("text")))).alias("m"))
@@ -121,19 +128,19 @@ def judge(docs: DataFrame, id_column: str, host: str, limit: float = HOST_RATE)
         measured.select(id_column, host, "m.*").withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))),
         "judged",
     )
-    verdicts = host_verdicts(judged, host, limit=limit)
+    verdicts = host_verdicts(judged, host, multiple=multiple)
     kept = ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))
     return judged.join(verdicts, host, "left").withColumn("kept", kept)
 
 
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts are the sources. A host goes if four fifths of its documents are expected to fail."""
+    """Hosts are the sources. Documents that pass on their own go with a host whose documents surely fail too often."""
     return judge(documents(spark, sf_dir).select("doc_id", "source", "text"), "doc_id", "source").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-# As long as no host fails by the limit the verdict is that of the document; the SQL computes the same prior.
+# The SQL computes the same prior, rates and bounds.
 SQL = {
     "op4_host_quality": rf"""WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 words AS (SELECT doc_id, source, text, regexp_extract_all(text, '{WORD}') AS w,
@@ -153,7 +160,9 @@ variance AS (SELECT mean, mean * (1 - mean) AS spread,
   CASE WHEN k > 1 THEN squares - mean * mean - mean * (1 - mean) * k / n ELSE 0 END AS "between" FROM moments),
 prior AS (SELECT mean, CASE WHEN spread = 0 THEN 100 WHEN "between" > 0 AND "between" < spread
   THEN least(greatest(spread / "between" - 1, 1), 1000000) ELSE 100 END AS weight FROM variance),
-verdicts AS (SELECT source, (fails + mean * weight) / (n + weight) <= {HOST_RATE} AS ok FROM hosts, prior)
+rates AS (SELECT source, n, weight, mean, (fails + mean * weight) / (n + weight) AS rate FROM hosts, prior),
+verdicts AS (SELECT source, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + weight + 1)) <= least({HOST_MULTIPLE} * mean, (1 + mean) / 2) AS ok
+  FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept
 FROM judged LEFT JOIN verdicts ON judged.source = verdicts.source"""
 }

@@ -5,11 +5,11 @@ fingerprints that differ in at most two bits differ in at most two of their eigh
 they share at least six (position, byte) entries: six is the count every linked pair is
 guaranteed to reach. Posting lists of single bytes would hold 1/256 of all rows each and
 their pairs would grow with the square of the table, so the lists of six positions are
-intersected beforehand: a fingerprint is listed under each of its 28 choices of six bytes,
-and pairs that meet in a list have reached the count. The members of one list differ in two
-bytes only, so a list has at most 65,536 of them, of any number of rows; each looks up its
-136 neighbours at one or two bits in the list, which verifies the distance, and no pairs are
-written out: a member links to the smallest one it reaches within the list.
+intersected beforehand: a fingerprint is listed under each of its 28 choices of six bytes.
+The members of a list differ in two bytes only; each finds its at most 136 partners within
+two bits of these in the list. How many lists a pair meets in tells its shared bytes: one
+list is six of them, seven lists are seven. Lists are tallied per pair, pairs that reach
+the count are kept, and their whole fingerprints are compared.
 
 Equal fingerprints are one entry, however many rows they have.
 """
@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiltext.llm.common import bound_batches, chunks, documents, stored
-from civiltext.llm.components import connected_components
+from civiltext.operators.components import connected_parts
+from civiltext.operators.joins import spread_join
 
 SHINGLE = 3
 BITS = 2
@@ -78,42 +79,24 @@ def _rest(fp: Column, low: int, high: int) -> Column:
     return byte(high) * 256 + byte(low)
 
 
-def smallest_reached(rests: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """For distinct sorted 16-bit numbers, the smallest of each one's component under at most `bits` differing bits."""
+def near_pairs(rests: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct sorted 16-bit numbers, the places of all pairs with one to `bits` differing bits, the smaller first."""
     if len(rests) <= 128:
         near = np.bitwise_count(rests[:, None] ^ rests[None, :]) <= bits
-        best = rests
-        while True:
-            after = np.where(near, best[None, :], 1 << 16).min(axis=1)
-            if np.array_equal(after, best):
-                return best
-            best = after
-    steps = _NEIGHBOURS[: 16 if bits == 1 else None]
-    here = np.full(1 << 16, -1, dtype=np.int64)
-    here[rests] = rests
-    while True:
-        before = here[rests]
-        best = before.copy()
-        for step in steps:
-            there = here[rests ^ step]
-            np.minimum(best, np.where(there < 0, best, there), out=best)
-        if np.array_equal(best, before):
-            return best
-        here[rests] = best
-        here[rests] = np.minimum(best, here[best])
-
-
-def _list_links(key_fp: np.ndarray, rests: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for i, members in enumerate(rests):
-        members = np.unique(np.asarray(members, dtype=np.int64))
-        root = smallest_reached(members)
-        moved = root != members
-        if moved.any():
-            yield i, members[moved], root[moved]
+        return np.nonzero(np.triu(near, 1))
+    place = np.full(1 << 16, -1, dtype=np.int64)
+    place[rests] = np.arange(len(rests))
+    first, second = [], []
+    for step in _NEIGHBOURS[: 16 if bits == 1 else None]:
+        there = place[rests ^ step]
+        hit = there > np.arange(len(rests))  # also leaves out those that are not in the list
+        first.append(np.flatnonzero(hit))
+        second.append(there[hit])
+    return np.concatenate(first), np.concatenate(second)
 
 
 def links(unique: DataFrame) -> DataFrame:
-    """Edges `(a, b)` between different fingerprints `unique (fp)`; what they connect is what distances of two bits connect."""
+    """Pairs `(a, b)` of different fingerprints `unique (fp)` that differ in at most two bits, each once."""
     lists = [
         F.struct(
             F.lit(n).alias("list"),
@@ -129,15 +112,19 @@ def links(unique: DataFrame) -> DataFrame:
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             shared, which = batch["shared"].to_numpy(), batch["list"].to_numpy()
-            found_a, found_b = [], []
-            for i, members, roots in _list_links(shared, batch["rests"].tolist()):
-                low, high = 8 * places[which[i]]
-                for out, rest in ((found_a, members), (found_b, roots)):
-                    out.append(shared[i] | ((rest & 255) << low) | ((rest >> 8) << high))
-            if found_a:
-                yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+            for i, members in enumerate(batch["rests"].tolist()):
+                members = np.unique(np.asarray(members, dtype=np.int64))
+                first, second = near_pairs(members)
+                if len(first):
+                    low, high = 8 * places[which[i]]
+                    whole = shared[i] | ((members & 255) << low) | ((members >> 8) << high)
+                    a, b = whole[first], whole[second]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return postings.mapInPandas(meet, "a bigint, b bigint").distinct()
+    tallied = postings.mapInPandas(meet, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("lists"))
+    shared_bytes = F.when(F.col("lists") >= 7, 7).when(F.col("lists") >= 1, 6).otherwise(0)
+    reached = tallied.filter(shared_bytes >= 8 - BITS)
+    return reached.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
@@ -145,12 +132,15 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
 
     A null id is reached by nothing and stands for a component only if it has no other id.
     """
-    unique = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "unique")
-    roots = connected_components(links(unique.select("fp")))
+    unique = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n_rows")), "unique")
+    # few bytes stand for much work: by number, which AQE leaves alone
+    spread = unique.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    parts, _ = connected_parts(links(spread))
+    roots = stored(parts.toDF("node", "root"), "roots")
     of_root = unique.join(roots, unique.fp == roots.node).groupBy("root").agg(F.min("least").alias("component"))
     linked = stored(roots.join(of_root, "root").select(F.col("node").alias("fp"), "component"), "linked")
-    classes = unique.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    classes = unique.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n_rows")
+    return spread_join(prints, classes, "fp").select("id", "fp", "component")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

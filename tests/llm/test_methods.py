@@ -7,13 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from civiltext.llm import components, decontaminate, languages, licenses, mixing, personal_data, quality, secrets, simhash, tokens, toxicity
+from civiltext.llm import decontaminate, languages, licenses, mixing, personal_data, quality, secrets, simhash, tokens, toxicity
 from civiltext.llm.common import stored
 from civiltext.llm.queries import QUERIES
 from corpus_pipeline import STAGES, run
@@ -25,6 +26,12 @@ def query(n):
     return QUERIES[next(name for name in QUERIES if name.startswith(f"op{n}_"))]
 
 
+def over_documents(folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return con
+
+
 def prose(rng, n):
     return " ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n))
 
@@ -262,6 +269,21 @@ def test_bad_host_goes_and_a_small_one_stays(spark):
     assert 0.3 < verdicts["tiny"].host_rate < 0.8
 
 
+def test_documents_of_a_bad_host_go(spark, tables):
+    """The query's verdict acts, and only on the host that surely fails too often."""
+    rng = random.Random(12)
+    docs = []
+    for host, n, bad in (("good", 500, 0.05), ("fair", 100, 0.15), ("bad", 60, 0.6), ("tiny", 2, 0.5), (None, 6, 0.5)):
+        docs += [(len(docs) + i, "too short" if i < bad * n else prose(rng, 40), "en", host) for i in range(n)]
+    folder = tables(docs)
+    rows = query(4)(spark, folder).collect()
+    hosts = {i: h for i, _, _, h in docs}
+    for r in rows:
+        assert r.base_failed == (r.n_words < 20) and r.kept == (not r.base_failed and hosts[r.doc_id] != "bad"), r
+    twin = {r[0]: r[-1] for r in over_documents(folder).execute(quality.SQL["op4_host_quality"]).fetchall()}
+    assert twin == {r.doc_id: r.kept for r in rows}
+
+
 # --- 5: near-duplicates ----------------------------------------------------------------------
 
 
@@ -312,23 +334,28 @@ def test_components_of_fingerprints(spark):
     assert {r.id: r.component for r in simhash.near_duplicates(rows).collect()} == plain_components(prints)
 
 
-def test_lists_of_many_fingerprints():
+def test_pairs_of_a_list():
     rng = np.random.default_rng(1)
     for n in (5, 100, 129, 700):
-        rests = np.unique(rng.integers(0, 1 << 16, n))
+        rests = np.unique(rng.integers(0, 1 << (16 if n != 129 else 9), n))
+        first, second = simhash.near_pairs(rests)
         near = np.bitwise_count(rests[:, None] ^ rests[None, :]) <= 2
-        reach = np.linalg.matrix_power(near.astype(float), 64) > 0 if n < 200 else None
-        got = simhash.smallest_reached(rests)
-        if reach is not None:
-            assert got.tolist() == [rests[reach[i]].min() for i in range(len(rests))]
-        else:
-            assert all((got[near[i]] == got[i]).all() for i in range(len(rests)))
-
-
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a bigint, b bigint")
-    roots = {r.node: r.root for r in components.connected_components(edges).collect()}
-    assert roots == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+        assert sorted(zip(first.tolist(), second.tolist())) == sorted(zip(*np.nonzero(np.triu(near, 1))))
+
+
+def test_links_are_all_pairs_within_two_bits(spark):
+    rng = random.Random(8)
+    prints = set()
+    for _ in range(20):
+        p = rng.getrandbits(64)
+        for _ in range(15):
+            prints.add(p)
+            for bit in rng.sample(range(64), rng.randrange(4)):
+                p ^= 1 << bit
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    expected = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2]
+    got = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()
+    assert sorted((r.a, r.b) for r in got) == expected
 
 
 # --- 6: token files --------------------------------------------------------------------------
