@@ -8,8 +8,9 @@ possible. The nearest language wins, ties by name.
 
 An n-gram is its code points side by side in one number, 21 bits each, so every alphabet keeps
 its letters, and a document is counted by sorting numbers. Profiles are learned from at most
-`PER_LANGUAGE` texts of each labelled language, those with the smallest hash of the id, one
-language in a task; what reaches the driver is `PROFILE` numbers of each.
+`PER_LANGUAGE` texts of each labelled language of at most `LONGEST` characters, those with the
+smallest hash of the id, one language in a task; what reaches the driver is `PROFILE` numbers of
+each. More than `MOST_LANGUAGES` labels are taken for a mistake in the column and refused.
 
 A null text or one without a letter is `und` with score 0. A language without a training
 text is never predicted; without any, all is `und`. The score is the lead of the nearest
@@ -27,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import bound_batches, chunks, documents, free_name, id_remainder
+from civiltext.llm.common import bound_batches, chunks, documents, free_name, id_remainder, stored
 
 UNKNOWN = "und"
 PROFILE = 400
 PER_LANGUAGE = 500
+LONGEST = 30_000  # characters of a training text
+MOST_LANGUAGES = 5_000
+MOST_BROADCAST = 200_000  # rows of the sample's list, an id hash each; a longer one is joined by a shuffle
 FAR = 0.9
 _BLANK, _BITS = 0, 21
 _NONE = (1 << _BITS) - 1  # no code point; in place of the first ones of a shorter n-gram
@@ -142,21 +146,24 @@ def predict(model: Profiles, texts: list[str | None]) -> list[tuple[str, float,
 
 
 def training_sample(docs: DataFrame, id_column: str, language: str, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """`(lang, text)`: at most `per_language` texts per language, those with the smallest hash of the id.
+    """`(lang, text)`: at most `per_language` texts of `LONGEST` characters per language, those with the smallest hash of the id.
 
     The number of rows of each language tells below which hash four times as many are to be expected, so only
     about that many are ranked. Of rows with the same id the smallest text counts.
     """
-    rows = docs.filter(F.col(language).isNotNull() & F.col("text").isNotNull()).select(
+    rows = docs.filter(F.col(language).isNotNull() & (F.length("text") <= LONGEST)).select(
         F.col(language).alias("lang"), "text", F.xxhash64(F.col(id_column).cast("string")).alias("h")
     )
-    sizes = rows.groupBy("lang").count()
+    sizes = stored(rows.groupBy("lang").count(), "languages")
+    if (n := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} different values of {language}; at most {MOST_LANGUAGES} languages are learned")
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count"))
-    cuts = sizes.select("lang", ((share - 0.5) * float(2**64)).cast("bigint").alias("cut"))  # one row per language
+    cuts = sizes.select("lang", ((share - 0.5) * float(2**64)).cast("bigint").alias("cut"))  # at most `MOST_LANGUAGES` rows
     near = rows.select("lang", "h").join(F.broadcast(cuts), "lang").filter("h <= cut").select("lang", "h").distinct()
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.filter(F.col("rank") <= per_language).select("lang", "h")
-    return rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = stored(ranked.filter(F.col("rank") <= per_language).select("lang", "h"), "training-rows")
+    few = chosen.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(chosen) if few else chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, id_column: str, language: str, per_language: int = PER_LANGUAGE) -> Profiles:

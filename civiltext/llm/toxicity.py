@@ -12,8 +12,9 @@ score.
 Matches of so short an input reach back about a kilobyte, so the dictionaries stay below that,
 with the pieces at their end.
 
-The model is trained from at most `TOXIC_ROWS` and `ORDINARY_ROWS` labelled rows, those with
-the smallest hash of the id, weighed to the numbers of all labelled rows. Its dictionaries
+The model is trained from at most `TOXIC_ROWS` and `ORDINARY_ROWS` labelled rows with a text of
+at most `LONGEST_TEXT` characters, those with the smallest hash of the id, weighed to the
+numbers of all labelled rows; so the driver gets a bounded number of bytes. Its dictionaries
 have the same few bytes whatever the corpus holds. All windows of all texts are scored.
 
 A null text counts as empty and has one empty window. Of several labels of an id the largest
@@ -33,10 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiltext.llm.common import bound_batches, chunks, documents, id_remainder
+from civiltext.llm.common import bound_batches, chunks, documents, id_remainder, stored
 
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 4500
+LONGEST_TEXT = 20_000  # characters of a training text
 WINDOW = 24  # bytes at which a window is full
 LONGEST = 48  # longer words are cut
 LEVEL, WINDOW_LOG = 1, 12
@@ -193,16 +195,17 @@ def score(model: Model | Constant, text: str | None) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | Constant:
-    """A model from `docs (doc_id, text)` and `labels (doc_id, toxic)`; at most the two numbers of texts reach the driver."""
+    """A model from `docs (doc_id, text)` and `labels (doc_id, toxic)`; at most the two numbers of texts, of bounded length, reach the driver."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).cache()
+    known = stored(known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))), "labels")
     n = {r.toxic == 1: r["count"] for r in known.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count().collect()}
-    chosen = known.filter("toxic = 1").orderBy("h", "doc_id").limit(toxic_rows).unionByName(
-        known.filter("toxic <> 1").orderBy("h", "doc_id").limit(ordinary_rows)
+    fitting = docs.filter(F.length(F.coalesce("text", F.lit(""))) <= LONGEST_TEXT)
+    there = known.join(fitting.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.filter("toxic = 1").orderBy("h", "doc_id").limit(toxic_rows).unionByName(
+        there.filter("toxic <> 1").orderBy("h", "doc_id").limit(ordinary_rows)
     )
     # bounded by the two numbers of rows; of rows with the same id the smallest text counts
-    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")).collect()
-    known.unpersist()
+    texts = fitting.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")).collect()
     texts.sort(key=lambda r: (r.h, r.doc_id))
     return fit([r.text for r in texts if r.toxic == 1], [r.text for r in texts if r.toxic != 1], n.get(True), n.get(False))
 

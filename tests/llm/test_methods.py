@@ -586,6 +586,22 @@ def test_languages_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if r.held_out]) > 0.98
 
 
+def test_training_is_bounded(spark, monkeypatch):
+    """Long texts train nothing, too many labels are refused."""
+    monkeypatch.setattr(languages, "LONGEST", 20)
+    monkeypatch.setattr(toxicity, "LONGEST_TEXT", 20)
+    docs = spark.createDataFrame([(1, "short text", "a"), (2, "x " * 50, "a"), (3, "another", "b"), (4, "y " * 90, "c"), (5, None, "d")], "doc_id bigint, text string, lang string")
+    assert sorted(tuple(r) for r in languages.training_sample(docs, "doc_id", "lang").select("lang", "text").collect()) == [("a", "short text"), ("b", "another")]
+    labels = spark.createDataFrame([(i, int(i in (1, 4))) for i in range(1, 6)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda *args: seen.extend(args) or toxicity.Constant(0.0))
+    toxicity.train(docs, labels)
+    assert seen[0] == ["short text"] and sorted(seen[1], key=str) == [None, "another"] and seen[2:] == [2, 3]
+    monkeypatch.setattr(languages, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        languages.training_sample(docs, "doc_id", "lang")
+
+
 def test_out_of_place_distance():
     model = languages.fit(["abab ba", "xyxy yx"], ["p", "q"])
     assert [r[0] for r in languages.predict(model, ["ab ba", "YX xy", "", None, "12 !", "ж" * 5])] == ["p", "q", "und", "und", "und", "p"]
