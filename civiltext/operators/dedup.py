@@ -330,3 +330,14 @@ def dedup_sweep(df: DataFrame, thresholds: tuple[float, ...] = SWEEP, num_perm:
             F.col("ex.leader").alias("keeper"), F.col("ex.row_id").alias("dropped_row"),
         ))
     return reduce(lambda a, b: a.unionByName(b), lines)
+
+
+def with_example_texts(sweep: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds the whole texts of each threshold's example as `keeper_text` and `dropped_text`; the rows of `sweep` are few."""
+    sweep = cut_lineage(sweep)
+    wanted = sweep.select(F.explode(F.array("keeper", "dropped_row")).alias("row_id")).filter("row_id IS NOT NULL").distinct()
+    texts = cut_lineage(df.join(F.broadcast(wanted), "row_id").select("row_id", "text"))  # two rows per threshold at most
+    for name in ("keeper", "dropped"):
+        own = texts.select(F.col("row_id").alias("of"), F.col("text").alias(f"{name}_text"))
+        sweep = sweep.join(F.broadcast(own), F.col("keeper" if name == "keeper" else "dropped_row") == F.col("of"), "left").drop("of")
+    return sweep

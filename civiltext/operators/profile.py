@@ -143,15 +143,19 @@ def quote_artifacts(df: DataFrame) -> DataFrame:
         F.count_if(starts).alias("n_starts"),
         F.count_if(ends).alias("n_ends"),
         F.count_if(starts & ends).alias("n_both"),
-        F.count_if(text.rlike(rf'{rules.WORD}""{rules.WORD}')).alias("n_inner"),
+        F.count_if(text.rlike(INNER_QUOTES)).alias("n_inner"),
     )
 
 
-def quote_samples(df: DataFrame, pattern: str = '^"', n: int = 3, width: int = 100) -> DataFrame:
-    """The first rows that match, cut for reading."""
+INNER_QUOTES = rf'{rules.WORD}""{rules.WORD}'
+
+
+def quote_samples(df: DataFrame, pattern: str = '^"', n: int = 3, width: int | None = 100) -> DataFrame:
+    """The first rows that match, cut for reading, or whole if `width` is None."""
+    sample = F.col("text") if width is None else F.substring("text", 1, width)
     return (
         df.filter(F.col("text").rlike(pattern))
-        .select("row_id", F.substring("text", 1, width).alias("sample"))
+        .select("row_id", sample.alias("sample"))
         .orderBy("row_id").limit(n)
     )
 

@@ -169,6 +169,16 @@ def quote_samples(spark, sf_dir):
     return profile.quote_samples(inputs.noisy(spark, sf_dir), '""', 3)
 
 
+def inner_quote_samples(spark, sf_dir):
+    """Whole texts with two quotes between word characters, a trace of doubled quoting."""
+    return profile.quote_samples(_doubled(inputs.documents(spark, sf_dir)), profile.INNER_QUOTES, 3, None)
+
+
+def _doubled(docs: DataFrame) -> DataFrame:
+    """Every seventh document with two quotes for each quote and blank, as a second CSV quoting leaves them."""
+    return docs.withColumn("text", F.when(F.col("row_id") % 7 == 3, F.regexp_replace("text", '["\']| ', '""')).otherwise(F.col("text")))
+
+
 def short_text_top(spark, sf_dir):
     return profile.short_texts(apply_rules(inputs.noisy(spark, sf_dir)))
 
@@ -215,6 +225,7 @@ QUERIES = {
     "truncated_texts": truncated_texts,
     "quote_artifacts": quote_artifacts,
     "quote_samples": quote_samples,
+    "inner_quote_samples": inner_quote_samples,
     "short_text_top": short_text_top,
     "short_text_count": short_text_count,
 }
@@ -272,6 +283,9 @@ FROM (SELECT y, len({inputs.lower_tokens("text")}) AS k FROM corpus) GROUP BY y"
 FROM (SELECT CASE WHEN row_id % 3 = 0 THEN '"' || text || '"' ELSE text END AS t FROM noisy)"""),
     "quote_samples": with_ctes(("noisy",), """SELECT row_id, substr(text, 1, 100) AS sample FROM noisy
 WHERE contains(text, '""') ORDER BY row_id LIMIT 3"""),
+    "inner_quote_samples": with_ctes(("docs",), f"""SELECT row_id, text AS sample FROM (
+  SELECT row_id, CASE WHEN row_id % 7 = 3 THEN {inputs.replace_all('text', '["'']| ', '""')} ELSE text END AS text FROM docs)
+WHERE regexp_matches(text, '{profile.INNER_QUOTES}') ORDER BY row_id LIMIT 3"""),
     "short_text_top": with_ctes(("traced",), """SELECT after_final_whitespace AS text, count(*) AS n FROM traced11
 WHERE length(after_final_whitespace) <= 5 GROUP BY 1 ORDER BY n DESC, text LIMIT 10"""),
     "short_text_count": with_ctes(

@@ -68,10 +68,11 @@ def deduplicated_counts(spark, sf_dir):
 
 
 def threshold_sweep_of_dedup(spark, sf_dir):
-    sweep = dedup.dedup_sweep(inputs.documents(spark, sf_dir))
+    docs = inputs.documents(spark, sf_dir)
+    sweep = dedup.with_example_texts(dedup.dedup_sweep(docs), docs)
     return sweep.select(
         "threshold", "dropped", "remaining", F.round("gap", 6).alias("gap"), F.round("sim", 6).alias("sim"),
-        "keeper", "dropped_row",
+        "keeper", "dropped_row", "keeper_text", "dropped_text",
     )
 
 
@@ -110,7 +111,8 @@ examples{_name[plan]} AS (
 _sweep_rows = "\nUNION ALL\n".join(
     f"""SELECT {t}::DOUBLE AS threshold, (SELECT count(*) FROM dropped{n}) AS dropped,
   (SELECT count(*) FROM docs) - (SELECT count(*) FROM dropped{n}) AS remaining,
-  round(e.gap, 6) AS gap, round(e.sim, 6) AS sim, e.i AS keeper, e.j AS dropped_row
+  round(e.gap, 6) AS gap, round(e.sim, 6) AS sim, e.i AS keeper, e.j AS dropped_row,
+  (SELECT text FROM docs WHERE row_id = e.i) AS keeper_text, (SELECT text FROM docs WHERE row_id = e.j) AS dropped_text
 FROM (SELECT 1) LEFT JOIN (
   SELECT *, abs(sim - {t}::DOUBLE) AS gap FROM examples{n} ORDER BY gap, i, j LIMIT 1) e ON true"""
     for t, n in ((t, _name[dedup.band_plan(t)]) for t in dedup.SWEEP)
