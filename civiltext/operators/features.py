@@ -1,11 +1,16 @@
 """TF-IDF over words and word pairs.
 
-Counting a vocabulary is one shuffle of partial term counts; turning rows into vectors is
-a per-row pipeline of JVM stages.
+Counting a vocabulary is one Arrow stage and one shuffle of partial term counts; turning rows
+into vectors is a per-row pipeline of JVM stages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
@@ -29,17 +34,27 @@ def tfidf_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
-    """`(term, df, tf)`: rows that contain the term and its occurrences, in a single shuffle."""
-    ordered = terms.select(F.array_sort("terms").alias("terms"))
-    # the first of each run of equal terms stands for the row
-    first = F.transform(
-        "terms",
-        lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("row")),
-    )
-    return (
-        ordered.select(F.explode(first).alias("m")).groupBy(F.col("m.term").alias("term"))
-        .agg(F.sum(F.col("m.row")).alias("df"), F.count("*").alias("tf"))
-    )
+    """`(term, df, tf)`: rows that contain the term and its occurrences.
+
+    A batch of rows is counted in arrays, each different term once; sums of the batches meet in a single shuffle with
+    map-side combination. Rows without terms, or with null, count nowhere.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            coded = lists.flatten().dictionary_encode()
+            size = len(coded.dictionary)
+            if not size:
+                continue
+            codes = coded.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            in_rows = np.bincount(np.unique(row * size + codes) % size, minlength=size)
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array(in_rows), pa.array(np.bincount(codes, minlength=size))], names=["term", "df", "tf"])
+
+    counted = terms.select("terms").mapInArrow(count, "term string, df bigint, tf bigint")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def idf(df_col: Column, n: Column | int) -> Column:
