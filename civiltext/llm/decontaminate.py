@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 from civiltext.llm.common import bound_batches, chunks, documents, stored
 
 RUN = 5
+AT_ONCE = 1 << 20  # stretches of diagonals
 COVERAGE = 0.6
 FILTER_BITS = 24
 _WORD = re.compile(r"[^\W_]+")
@@ -115,30 +115,65 @@ def seed_bitmap(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _stretches(places: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of one seed at consecutive places begin, how long they are, and the seed."""
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(seeds) != 0) | (np.diff(places) != 1))))
+    return places[first], np.diff(np.append(first, len(seeds))), seeds[first]
+
+
+def _joined(i: np.ndarray, j: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of diagonals, those that follow each other on one as one."""
+    order = np.lexsort((i, i - j))
+    i, j, long = i[order], j[order], long[order]
+    if not len(i):
+        return i, j, long
+    begins = np.flatnonzero(np.concatenate(([True], (np.diff(i - j) != 0) | (i[1:] != i[:-1] + long[:-1]))))
+    return i[begins], j[begins], np.add.reduceat(long, begins)
+
+
+def common_runs(places: np.ndarray, seeds: np.ndarray, item: np.ndarray, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest runs of equal seeds at consecutive places of both: places in the document and in the item, and lengths.
+
+    A run of one seed against another of it gives a stretch of every diagonal that crosses both, as many as both are long
+    together; stretches that meet on a diagonal are one run. So a repeated word costs its number, not its square. Stretches
+    of alternating seeds are as many as their pairs; about `at_once` are held at a time.
+    """
+    if not len(seeds) or not len(item):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    at, size, seed = _stretches(places, seeds)
+    to, length, other = _stretches(np.arange(len(item)), item)
+    order = np.argsort(other, kind="stable")
+    low = np.searchsorted(other[order], seed, side="left")
+    times = np.searchsorted(other[order], seed, side="right") - low
+    part = np.cumsum(times * (size + length.max())) // at_once
+    found = []
+    for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+        many = times[own]
+        its = order[np.repeat(low[own] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        own = np.repeat(own, many)
+        count = size[own] + length[its] - 1
+        pair = np.repeat(np.arange(len(own)), count)
+        t = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+        n, m = size[own][pair], length[its][pair]
+        i = at[own][pair] + np.maximum(0, t - m + 1)
+        j = to[its][pair] + np.maximum(0, m - 1 - t)
+        found.append(_joined(i, j, np.minimum(np.minimum(t + 1, n + m - 1 - t), np.minimum(n, m))))
+    return _joined(*(np.concatenate(x) for x in zip(*found)))
+
+
 def tiles(places: np.ndarray, seeds: np.ndarray, item: np.ndarray, run: int = RUN) -> list[tuple[int, int, int]]:
     """Greedy tiles `(document place, item place, words)` of a document's seeds at `places` and an item's seeds."""
-    where = defaultdict(list)
-    for j, s in enumerate(item.tolist()):
-        where[s].append(j)
-    diagonals = defaultdict(list)
-    for i, s in zip(places.tolist(), seeds.tolist()):
-        for j in where.get(s, ()):
-            diagonals[i - j].append(i)
-    heap = []
-    for shift, starts in diagonals.items():
-        first = previous = starts[0]
-        for i in starts[1:] + [None]:
-            if i is None or i != previous + 1:
-                heap.append((-(previous - first + run), first, first - shift))
-                first = i
-            previous = i
+    i, j, long = common_runs(places, seeds, item)
+    heap = list(zip((-(long + run - 1)).tolist(), i.tolist(), j.tolist()))
+    unmarked = len(item) + run - 1  # words of the item
     heapq.heapify(heap)
     in_doc, in_item, found = set(), set(), []
-    while heap:
+    while heap and unmarked >= run:
         length, i, j = heapq.heappop(heap)
         free = [k for k in range(-length) if i + k not in in_doc and j + k not in in_item]
         if len(free) == -length:
             found.append((i, j, -length))
+            unmarked += length
             in_doc.update(range(i, i - length))
             in_item.update(range(j, j - length))
             continue

@@ -227,6 +227,31 @@ def test_tiling_equals_its_definition(spark):
             assert got.get((n, m), 0.0) == pytest.approx(total / len(item.split())), (n, m)
 
 
+def test_runs_equal_the_listed_pairs():
+    rng = np.random.default_rng(4)
+    for kinds in (1, 2, 3, 9):
+        for _ in range(40):
+            seeds, item = rng.integers(0, kinds, rng.integers(0, 30)), rng.integers(0, kinds, rng.integers(0, 20))
+            places = np.sort(rng.choice(60, len(seeds), replace=False))
+            pairs = {(int(p), j) for p, s in zip(places, seeds) for j, o in enumerate(item) if s == o}
+            expected = []
+            for i, j in pairs:
+                if (i - 1, j - 1) not in pairs:
+                    n = 1
+                    while (i + n, j + n) in pairs:
+                        n += 1
+                    expected.append((i, j, n))
+            for at_once in (4, 1 << 20):
+                assert sorted(zip(*(x.tolist() for x in decontaminate.common_runs(places, seeds, item, at_once)))) == sorted(expected)
+
+
+def test_very_repetitive_texts_are_tiled_in_time():
+    [(i, j, n)] = decontaminate.tiles(np.arange(1_000_000), np.zeros(1_000_000, np.int64), np.zeros(396, np.int64))
+    assert (i, j, n) == (0, 0, 400)
+    [(i, j, n)] = decontaminate.tiles(np.arange(100_000), np.arange(100_000) % 2, np.arange(396) % 2)
+    assert (i, j, n) == (0, 0, 400)
+
+
 def test_reordered_passage_is_found(spark, tables):
     rng = random.Random(4)
     item = [prose(rng, 12) for _ in range(4)]
