@@ -160,26 +160,24 @@ def external_model_scores(spark, sf_dir):
 
 
 def saved_model_scores(spark, sf_dir):
-    """A model after saving and loading; `same` says whether it scores like the original."""
-    held_out, path = _held_out(spark, sf_dir), scratch_path(spark, "model")
-    model = classifiers.logreg_fit(_train(spark, sf_dir), min_df=MIN_DF)
-    artifacts.save_model(model, path)
-    before = classifiers.predict_proba(model, held_out).select("row_id", F.col("p_toxic").alias("before"))
-    after = classifiers.predict_proba(artifacts.load_model(path), held_out).select("row_id", "p_toxic")
-    return before.join(after, "row_id").select("row_id", (F.col("before") == F.col("p_toxic")).alias("same"))
+    """The held-out rows scored by a model of fixed weights after saving and loading it."""
+    path = scratch_path(spark, "model")
+    artifacts.save_model(_fixed_model(spark, sf_dir, "second"), path)
+    scored = classifiers.predict_proba(artifacts.load_model(path), _held_out(spark, sf_dir))
+    return scored.select("row_id", "y", "split", F.round("p_toxic", 6).alias("p_toxic"), metrics.predict_default().alias("pred"))
 
 
 def promoted_checkpoint(spark, sf_dir):
-    """Promote an ablation trained on balanced rows, then report splits and size of the checkpoint."""
+    """Promote an ablation on balanced rows; then its splits, its size, and what the promoted model gives them."""
     src, dst = scratch_path(spark, "ablation"), scratch_path(spark, "checkpoint")
-    balanced = sampling.balance_train_only(inputs.splits(spark, sf_dir))
-    model = classifiers.logreg_fit(balanced.filter("split = 'train'"), min_df=MIN_DF)
-    artifacts.save_model(model, f"{src}/model")
-    artifacts.write_splits(balanced, f"{src}/splits")
+    artifacts.save_model(_fixed_model(spark, sf_dir, "first"), f"{src}/model")
+    artifacts.write_splits(sampling.balance_train_only(inputs.splits(spark, sf_dir)), f"{src}/splits")
     artifacts.promote(spark, src, dst)
     size = artifacts.model_size(spark, f"{dst}/model").scalar()
-    stats = sampling.split_summary(artifacts.read_splits(spark, f"{dst}/splits"))
-    return stats.select("split", "n", F.round("toxic_rate", 6).alias("toxic_rate"), (size > 0).alias("has_model"))
+    scored = classifiers.predict_proba(artifacts.load_model(f"{dst}/model"), artifacts.read_splits(spark, f"{dst}/splits"))
+    return scored.groupBy("split").agg(
+        F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("toxic_rate"), F.round(F.avg("p_toxic"), 6).alias("mean_p")
+    ).select("split", "n", "toxic_rate", "mean_p", (size > 0).alias("has_model"))
 
 
 def scoring_throughput(spark, sf_dir):
@@ -328,7 +326,9 @@ SELECT w.row_id, w.term, round(w.w / n.norm, 6) AS weight FROM weighted w JOIN n
   round((SELECT count(*) FROM rows)::DOUBLE / ((SELECT count(DISTINCT y) FROM rows) * count(*)), 6) AS weight FROM rows GROUP BY y"""),
     "external_model_scores": """SELECT conv_id, turn, CASE WHEN z > 0 THEN 1 ELSE 0 END AS pred, round(1 / (1 + exp(-z)), 4) AS p_toxic
 FROM (SELECT conv_id, turn, ((length(text) % 100)::DOUBLE / 50 - 1)::FLOAT::DOUBLE AS z FROM conversations WHERE role = 'assistant')""",
-    "promoted_checkpoint": with_ctes(("splits",), f"""{BALANCED_CTES}
-SELECT split, count(*) AS n, round(avg(y), 6) AS toxic_rate, true AS has_model FROM balanced GROUP BY split"""),
-    "saved_model_scores": with_ctes(("splits",), "SELECT row_id, true AS same FROM splits WHERE split <> 'train'"),
+    "promoted_checkpoint": with_ctes(("splits", "vocab"), f"""{BALANCED_CTES},
+whole AS (SELECT s.* FROM splits s JOIN balanced b ON b.row_id = s.row_id),{_fixed_sql("whole", "fixed", "first")}
+SELECT split, count(*) AS n, round(avg(y), 6) AS toxic_rate, round(avg(p_toxic), 6) AS mean_p, true AS has_model FROM fixed GROUP BY split"""),
+    "saved_model_scores": with_ctes(("splits", "vocab"), f"""{_held}{_fixed_sql("held", "fixed", "second")}
+SELECT row_id, y, split, round(p_toxic, 6) AS p_toxic, (p_toxic > 0.5)::INTEGER AS pred FROM fixed"""),
 }
