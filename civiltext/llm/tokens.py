@@ -18,6 +18,7 @@ their text. A null id comes first. An empty table gives no file and no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -145,7 +146,9 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    """One encoder per Python worker."""
+    """One encoder per Python worker, in the worker's own thread: Spark's tasks are the parallel ones, and each thread of the
+    library keeps memory of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
