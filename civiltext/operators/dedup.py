@@ -21,18 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiltext.functions.hashing import NUM_PERM, PRIME, SEED, permutations, token_hash
+from civiltext.functions.hashing import NUM_PERM, PRIME, SEED, permutations, token_hashes
 from civiltext.functions.text import token_set
 from civiltext.operators.components import connected_parts
 from civiltext.operators.joins import spread_join
+from civiltext.operators.linear import slices
 from civiltext.operators.sampling import sample_n
-from civiltext.session import cut_lineage
+from civiltext.session import bound_batches, cut_lineage
 
 THRESHOLD = 0.80
 SWEEP = tuple(round(0.20 + 0.05 * i, 2) for i in range(16))
 BLOCK_TOKENS = 32_768
 PLANS_AT_ONCE = 4
-WALKED_AT_ONCE = 500_000  # memberships (row, bucket) of a part that one task walks
+WALKED_AT_ONCE = 2_000_000  # memberships (row, bucket) of a part that one task walks
 HALVINGS = 20  # of a larger part, for its first slice
 
 
@@ -60,10 +61,15 @@ def _signature_udf(num_perm: int):
     pairs = permutations(num_perm)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def signature(hashes: pa.Array) -> pa.Array:
-        flat, edges = hashes.flatten().to_numpy(), hashes.offsets.to_numpy()
+    def signature(tokens: pa.Array) -> pa.Array:
+        values = np.concatenate([np.zeros(0, np.int64), *(minima(part) for part in slices(tokens))])
+        pa.default_memory_pool().release_unused()
+        return pa.ListArray.from_arrays(np.arange(len(tokens) + 1, dtype=np.int32) * num_perm, values)
+
+    def minima(tokens: pa.ListArray) -> np.ndarray:
+        flat, edges = token_hashes(tokens.flatten()), tokens.offsets.to_numpy()
         edges = edges - edges[0]
-        out = np.full((len(hashes), num_perm), PRIME, dtype=np.int64)
+        out = np.full((len(tokens), num_perm), PRIME, dtype=np.int64)
         filled = np.flatnonzero(np.diff(edges))
         # blocks of rows whose tokens fit into the processor cache
         cuts = np.flatnonzero(np.diff(edges[filled] // BLOCK_TOKENS)) + 1
@@ -82,8 +88,7 @@ def _signature_udf(num_perm: int):
                     v += high
                 v[v == PRIME] = 0
                 out[rows, s] = np.minimum.reduceat(v, starts)
-        lists = np.arange(len(hashes) + 1, dtype=np.int32) * num_perm
-        return pa.ListArray.from_arrays(lists, out.ravel())
+        return out.ravel()
 
     return signature
 
@@ -93,12 +98,12 @@ def minhash_signature(
 ) -> DataFrame:
     """`(row_id, signature)`: per permutation the smallest value over the distinct tokens.
 
-    Tokens are split and hashed by native expressions; Python sees only numbers. A text
+    Tokens are split by native expressions; Python hashes each different one of some rows once. A text
     without tokens gets the largest value everywhere, a missing text has no signature.
     """
-    hashes = F.transform(token_set(F.col(text_col)), token_hash)
+    bound_batches(df.sparkSession)
     present = df.filter(F.col(text_col).isNotNull())
-    return present.select(F.col(id_col).alias("row_id"), _signature_udf(num_perm)(hashes).alias("signature"))
+    return present.select(F.col(id_col).alias("row_id"), _signature_udf(num_perm)(token_set(F.col(text_col))).alias("signature"))
 
 
 def band_keys(threshold: float, signature: str = "signature", num_perm: int = NUM_PERM) -> Column:
