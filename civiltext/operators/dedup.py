@@ -11,9 +11,8 @@ holds a third of the table costs as much as its rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,10 @@ from pyspark.sql import types as T
 
 from civiltext.functions.hashing import NUM_PERM, PRIME, SEED, permutations, token_hashes
 from civiltext.functions.text import token_set
+from civiltext.operators import collisions
+from civiltext.operators.collisions import Prefix, against_prefix, agreement, packed
 from civiltext.operators.components import connected_parts
-from civiltext.operators.joins import spread_join
+from civiltext.operators.joins import sifted, spread_join
 from civiltext.operators.linear import slices
 from civiltext.operators.sampling import sample_n
 from civiltext.session import bound_batches, cut_lineage
@@ -32,7 +33,9 @@ from civiltext.session import bound_batches, cut_lineage
 THRESHOLD = 0.80
 SWEEP = tuple(round(0.20 + 0.05 * i, 2) for i in range(16))
 BLOCK_TOKENS = 32_768
-PLANS_AT_ONCE = 4
+PREFIX_ROWS = 1 << 14  # that the sweep walks first, at most
+PREFIX_SHARE = 16  # or one of so many rows, if these are fewer
+MET_AT_ONCE = 500_000  # memberships of rows after the prefix that one task compares
 WALKED_AT_ONCE = 2_000_000  # memberships (row, bucket) of a part that one task walks
 HALVINGS = 20  # of a larger part, for its first slice
 
@@ -145,15 +148,21 @@ def similarity(a: Column, b: Column, num_perm: int = NUM_PERM) -> Column:
     return F.size(equal) / F.lit(num_perm)
 
 
-def jaccard_estimate(pairs: DataFrame, signatures: DataFrame, num_perm: int = NUM_PERM) -> DataFrame:
-    """Adds `sim` to pairs `(row_id, leader)`; a leader of very many rows does not end up in one task."""
+def jaccard_estimate(
+    pairs: DataFrame, signatures: DataFrame, num_perm: int = NUM_PERM, agree: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """Adds `sim` to pairs `(row_id, leader)`; a leader of very many rows does not end up in one task.
+
+    `agree` takes the place of `similarity` for signatures that are not arrays.
+    """
     own = pairs.join(signatures.select("row_id", F.col("signature").alias("own")), "row_id")
     load = pairs.groupBy("leader").agg(F.count("*").alias("n_rows"))
     other = load.join(
         signatures.select(F.col("row_id").alias("leader"), F.col("signature").alias("other")), "leader"
     )
     both = spread_join(cut_lineage(own), other, "leader")
-    return both.withColumn("sim", similarity(F.col("own"), F.col("other"), num_perm)).drop("own", "other")
+    sim = agree(F.col("own"), F.col("other")) if agree else similarity(F.col("own"), F.col("other"), num_perm)
+    return both.withColumn("sim", sim).drop("own", "other")
 
 
 def collapse_copies(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -289,52 +298,117 @@ def keepers(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def distinct_signatures(signatures: DataFrame) -> DataFrame:
-    """`(row_id, signature, copy)`: the first row per signature and, if any, its next copy."""
-    keyed = signatures.withColumn("key", F.unhex(F.md5(F.array_join("signature", ","))))
+    """`(row_id, signature, copy)` of packed signatures: the first row per signature and, if any, its next copy."""
+    keyed = signatures.filter("row_id IS NOT NULL").withColumn("key", F.unhex(F.md5("signature")))
     first = keyed.groupBy("key").agg(F.min("row_id").alias("first"), F.count("*").alias("n_rows"))
     copies = spread_join(keyed.select("row_id", "key"), first.filter("n_rows > 1"), "key")
-    second = copies.filter("row_id > first").groupBy(F.col("first").alias("row_id")).agg(F.min("row_id").alias("copy"))
-    return signatures.join(first.select(F.col("first").alias("row_id")), "row_id").join(second, "row_id", "left")
-
-
-def _examples(distinct: DataFrame, threshold: float, num_perm: int) -> tuple[int, DataFrame]:
-    """Number of kept rows, and `(leader, row_id, sim)` with the keeper of each dropped signature and first copy."""
-    kept = cut_lineage(kept_ids(distinct, threshold))
-    rows = distinct.select("row_id", F.transform(band_keys(threshold, num_perm=num_perm), F.unhex).alias("keys"))
-    sims = jaccard_estimate(keepers(rows, kept), distinct, num_perm).select("leader", "row_id", "sim")
-    copied = distinct.filter("copy IS NOT NULL").join(kept, "row_id", "left_semi").select(
-        F.col("row_id").alias("leader"), F.col("copy").alias("row_id"), F.lit(1.0).alias("sim")
-    )
-    return kept.count(), cut_lineage(sims.unionByName(copied))
+    second = copies.filter("row_id > first").groupBy("key").agg(F.min("row_id").alias("copy"))
+    lookup = first.join(second, "key", "left").select("key", F.col("first").alias("row_id"), "copy")
+    return keyed.join(lookup, ["row_id", "key"]).dropDuplicates(["row_id", "key"]).select("row_id", "signature", "copy")
+
+
+def first_rows(distinct: DataFrame, n: int, plans: list[tuple[int, int]]) -> tuple[Prefix, int]:
+    """About `n` rows of the smallest ids, as arrays, and the last of these ids."""
+    total = distinct.count()
+    cut = F.max("row_id") if total <= n else F.percentile_approx("row_id", n / total, 1 << HALVINGS)
+    last = distinct.agg(cut).first()[0]
+    rows = distinct.filter(F.col("row_id") <= F.lit(last)).select("row_id", "signature", "copy").toArrow().combine_chunks()
+    if not rows.num_rows:
+        width = max(bands * size for bands, size in plans)
+        return Prefix(np.zeros(0, np.int64), np.zeros((0, width), np.int32), np.zeros(0, np.int64), plans), 0
+    row_ids, copies = rows["row_id"].to_numpy(), rows["copy"].fill_null(collisions.NO_ROW).to_numpy()
+    values = collisions.equally_long(rows["signature"].combine_chunks(), "<i4")
+    order = np.lexsort((values[:, 0], row_ids))
+    return Prefix(row_ids[order], values[order], copies[order], plans), last
+
+
+def met_after(distinct: DataFrame, prefix: Prefix, last: int, thresholds: list[tuple[int, float]], parts: int) -> DataFrame:
+    """Stored rows of `collisions.MET` for the rows after the prefix."""
+    bound_batches(distinct.sparkSession)
+    shared = distinct.sparkSession.sparkContext.broadcast(prefix)
+    rest = distinct.filter(F.col("row_id") > F.lit(last)).select("row_id", "signature", "copy")
+    meeting = rest.mapInArrow(lambda batches: against_prefix(batches, shared.value, thresholds, parts), collisions.MEETING)
+    stored = cut_lineage(meeting.repartition(parts, "part").mapInArrow(collisions.met, collisions.MET))
+    shared.unpersist()
+    return stored
+
+
+def rest_pairs(members: DataFrame, most: int) -> DataFrame:
+    """`(plan, row_id, leader)` with each row that the walk of its plan drops, for the members `(plan, row_id, key)` of shared bands.
+
+    The plans of up to `most` memberships are walked in a task each, larger ones in parts.
+    """
+    loads = members.groupBy("plan").count().collect()
+    large = sorted(r["plan"] for r in loads if r["count"] > most)
+    small = members.filter(~F.col("plan").isin(large)) if large else members
+    ordered = small.select("plan", "row_id", "key").repartition("plan").sortWithinPartitions("plan", "row_id")
+    pairs = ordered.mapInArrow(collisions.walked_plans, collisions.PAIRS)
+    for plan in large:
+        own = members.filter(F.col("plan") == plan).groupBy("row_id").agg(F.collect_set("key").alias("keys"))
+        contested = cut_lineage(own)
+        kept = cut_lineage(greedy_kept(contested, most)[0])
+        pairs = pairs.unionByName(keepers(contested, kept).select(F.lit(plan).alias("plan"), "row_id", "leader"))
+    return cut_lineage(pairs)
+
+
+def nearest_pairs(pairs: DataFrame, distinct: DataFrame, thresholds: list[tuple[int, float]], num_perm: int) -> dict[int, tuple]:
+    """Per threshold, by its number, `(gap, leader, row_id, sim)` of the nearest among its plan's `pairs (plan, row_id, leader)`."""
+    once = cut_lineage(pairs.groupBy("row_id", "leader").agg(F.collect_set("plan").alias("plans")))
+    ids = once.select(F.explode(F.array("row_id", "leader")).alias("row_id"))
+    sims = jaccard_estimate(once, sifted(distinct.select("row_id", "signature"), ids, "row_id"), num_perm, agreement)
+    cases = [F.struct(F.lit(t).alias("t"), F.lit(plan).alias("plan"), F.lit(threshold).alias("threshold")) for t, (plan, threshold) in enumerate(thresholds)]
+    own = F.filter(F.array(*cases), lambda case: F.array_contains("plans", case["plan"]))
+    each = sims.select("leader", "row_id", "sim", F.explode(own).alias("case"))
+    gap = F.abs(F.col("sim") - F.col("case.threshold")).alias("gap")
+    found = each.groupBy("case.t").agg(F.min(F.struct(gap, "leader", "row_id", "sim")).alias("ex")).collect()
+    return {r["t"]: tuple(r["ex"]) for r in found}
 
 
 def dedup_sweep(df: DataFrame, thresholds: tuple[float, ...] = SWEEP, num_perm: int = NUM_PERM) -> DataFrame:
     """Per threshold: rows dropped and left, and the dropped pair whose similarity is nearest to it.
 
-    Signatures are computed once and reduced to one row per distinct signature. Thresholds
-    with the same bands share their dropped set.
+    Signatures are computed once and reduced to one row per distinct signature. The walks of all plans go side by side:
+    over the first rows, which settle most of the others in one pass, and over those of the others that share a band.
+    Thresholds with the same bands share their dropped set.
     """
-    signatures = cut_lineage(minhash_signature(df, num_perm))
+    signed = minhash_signature(df, num_perm).select("row_id", packed("signature").alias("signature"))
+    signatures = cut_lineage(signed)
     distinct = cut_lineage(distinct_signatures(signatures))
-    total, n_signed = df.count(), signatures.count()
-    plans = {band_plan(t, num_perm): t for t in thresholds}
-    with ThreadPool(PLANS_AT_ONCE) as pool:  # the plans are independent jobs
-        found = pool.map(lambda t: _examples(distinct, t, num_perm), plans.values())
-    examples = dict(zip(plans, found))
+    total, n_signed, n_distinct = df.count(), signatures.count(), distinct.count()
+    plans = list(dict.fromkeys(band_plan(t, num_perm) for t in thresholds))
+    cases = [(plans.index(band_plan(t, num_perm)), float(t)) for t in thresholds]
+    prefix, last = first_rows(distinct, min(PREFIX_ROWS, max(1, n_distinct // PREFIX_SHARE)), plans)
+    dropped = [int((leaders >= 0).sum()) for leaders in prefix.leaders]
+    found = [[prefix.nearest(plan, t)] for plan, t in cases]
+    copies = list(prefix.first_copies)
+    if len(prefix.row_ids) < n_distinct:
+        memberships = (n_distinct - len(prefix.row_ids)) * sum(bands for bands, _ in plans)
+        rest = met_after(distinct, prefix, last, cases, memberships // MET_AT_ONCE + 1)
+        pairs = rest_pairs(rest.filter(F.col("kind") == collisions.KNOWN), WALKED_AT_ONCE)
+        for n in (rest.filter(F.col("kind") == collisions.DROPPED).groupBy("plan").agg(F.sum("n").alias("n")), pairs.groupBy("plan").agg(F.count("*").alias("n"))):
+            for r in n.collect():
+                dropped[r["plan"]] += r["n"]
+        gap = F.abs(F.col("sim") - F.element_at(F.array(*[F.lit(t) for _, t in cases]), (F.col("n") + 1).cast("int"))).alias("gap")
+        settled = rest.filter(F.col("kind") == collisions.EXAMPLE).groupBy("n").agg(F.min(F.struct(gap, "leader", "row_id", "sim")).alias("ex"))
+        for r in settled.collect():
+            found[r["n"]].append(tuple(r["ex"]))
+        for t, example in nearest_pairs(pairs, distinct, cases, num_perm).items():
+            found[t].append(example)
+        if None in copies:
+            copied = rest.filter(F.col("kind") == collisions.COPY).select("plan", "leader", F.col("row_id").alias("copy"))
+            gone = pairs.select("plan", F.col("row_id").alias("leader"))
+            kept = copied.join(gone, ["plan", "leader"], "left_anti")
+            for r in kept.groupBy("plan").agg(F.min(F.struct("leader", "copy")).alias("ex")).collect():
+                copies[r["plan"]] = tuple(r["ex"])
     lines = []
-    for threshold in thresholds:
-        n_kept, pairs = examples[band_plan(threshold, num_perm)]
-        dropped = n_signed - n_kept
-        gap = F.abs(F.col("sim") - F.lit(threshold))
-        nearest = pairs.agg(F.min(F.struct(gap.alias("gap"), "leader", "row_id", "sim")).alias("ex"))
-        lines.append(nearest.select(
-            F.lit(threshold).alias("threshold"),
-            F.lit(dropped).cast("bigint").alias("dropped"),
-            F.lit(total - dropped).cast("bigint").alias("remaining"),
-            F.col("ex.gap").alias("gap"), F.col("ex.sim").alias("sim"),
-            F.col("ex.leader").alias("keeper"), F.col("ex.row_id").alias("dropped_row"),
-        ))
-    return reduce(lambda a, b: a.unionByName(b), lines)
+    for (plan, threshold), examples in zip(cases, found):
+        if copies[plan]:
+            examples.append((abs(1.0 - threshold), *copies[plan], 1.0))
+        gap, keeper, dropped_row, sim = min((e for e in examples if e), default=(None,) * 4)
+        n = n_signed - n_distinct + dropped[plan]
+        lines.append((threshold, n, total - n, gap, sim, keeper, dropped_row))
+    return df.sparkSession.createDataFrame(
+        lines, "threshold double, dropped bigint, remaining bigint, gap double, sim double, keeper bigint, dropped_row bigint")
 
 
 def with_example_texts(sweep: DataFrame, df: DataFrame) -> DataFrame:
